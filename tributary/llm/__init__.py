@@ -9,6 +9,7 @@ from __future__ import annotations
 from importlib import import_module
 
 NAMES = (
+    "near_dedup",
     "mixing",
     "sharding",
 )
