@@ -12,6 +12,7 @@ NAMES = (
     "near_dedup",
     "mixing",
     "sharding",
+    "vector_search",
     "jpeg_media",
 )
 
