@@ -14,6 +14,7 @@ NAMES = (
     "sharding",
     "vector_search",
     "jpeg_media",
+    "license_scan",
 )
 
 
