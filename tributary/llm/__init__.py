@@ -15,6 +15,7 @@ NAMES = (
     "vector_search",
     "jpeg_media",
     "license_scan",
+    "quality",
 )
 
 

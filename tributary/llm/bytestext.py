@@ -15,6 +15,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -74,10 +76,10 @@ def blocks(parts: list[bytes], limit: int = 1 << 21):
         yield first, len(parts)
 
 
-def word_spans(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(parts: list[bytes], gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes of all parts with a space between; starts and ends of words; first word of each part."""
     data = LOWER[np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)]
-    word = ~SPACE[data]
+    word = ~gap[data]
     edges = np.flatnonzero(word[1:] != word[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -85,9 +87,9 @@ def word_spans(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return data, starts, ends, np.searchsorted(starts, begins)
 
 
-def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(parts: list[bytes], gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all parts, and the first word of each part (and the end)."""
-    data, starts, ends, firsts = word_spans(parts)
+    data, starts, ends, firsts = word_spans(parts, gap)
     return substring_hashes(prefix_hashes(data), starts, ends), firsts
 
 

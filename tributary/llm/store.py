@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -31,3 +32,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def text_key(text="text"):
+    """Tells rows with one doc_id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and text_key are in kept (doc_id, key)."""
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (text_key() == F.col("__key")), "left_semi")
