@@ -10,6 +10,7 @@ from importlib import import_module
 
 NAMES = (
     "near_dedup",
+    "suffix_dedup",
     "mixing",
     "sharding",
     "vector_search",

@@ -43,3 +43,30 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id and text_key are in kept (doc_id, key)."""
     kept = kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (text_key() == F.col("__key")), "left_semi")
+
+
+def bitmap(keys: DataFrame):
+    """A numpy bitmap of the hashes in keys (one long column), 16 bits a row and at most 16 MB.
+
+    Built by partial aggregates; what reaches the driver is the bitmap, whatever the input's size.
+    """
+    import numpy as np
+
+    (name,) = keys.columns
+    bits = 1 << min(max((16 * keys.count()).bit_length(), 10), 27)
+    bit = F.pmod(F.xxhash64(name), F.lit(bits))
+    words = keys.select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("set"))
+    out = np.zeros(bits // 32, np.uint32)
+    found = words.toPandas()
+    out[found["word"].to_numpy(np.int64)] = found["set"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def maybe_in(table, key: str):
+    """A column expression's bit in a bitmap made by bitmap(), to be tested by has_bit inside a batch."""
+    return F.pmod(F.xxhash64(key), F.lit(len(table) * 32))
+
+
+def has_bit(table, bit):
+    """For an array of bit numbers, whether each is set."""
+    return (table[bit // 32] >> (bit % 32).astype(table.dtype)) & 1 == 1
