@@ -1,17 +1,23 @@
 """Near-duplicate detection with HyperMinHash sketches.
 
-Each document's set of word shingles is hashed into 128 buckets. A register keeps, of the
+Each document's set of word shingles is hashed into 256 buckets. A register keeps, of the
 bucket's smallest value, the number of leading zeros and the next ten mantissa bits (16 bits in
 all); an empty bucket takes the register of the first non-empty one in a fixed random order.
-Sketches are cut into 32 bands of 4 registers.
+The first 128 registers are cut into 32 bands of 4; all 256 serve the Jaccard estimates, which
+are corrected for chance matches.
 
 1. Equal sets form a class at once, by a 128-bit digest; all later work is on classes.
-2. In every band bucket each class is paired with the bucket's smallest class (joins on an
-   aggregate: no bucket is gathered). Pairs whose collision-corrected Jaccard estimate is not
-   far below the threshold are confirmed on full shingle sets, and components are formed.
-3. Buckets that still hold classes of different components (few) are searched in full: every
-   class outside the bucket's largest component against all classes of other components, so no
-   link that could change the result is lost. These pairs are confirmed in the same way.
+2. In every band bucket each class meets the bucket's smallest class (a join on an aggregate: no
+   bucket is gathered). Each class is confirmed against the one that it meets most often.
+3. Buckets that still hold classes of different components are searched: every class outside
+   the bucket's largest component is confirmed against the class of another component with the
+   highest estimate.
+4. Buckets that even then hold several components (few) are searched in full: every class
+   outside the bucket's largest component against all classes of other components whose
+   estimate is not far below the threshold. So no link that could change the result is left out.
+
+Links are confirmed on full shingle sets, 64-bit hashes each. The texts of the classes to be
+compared are found by a bitmap of bounded size, so texts are never shuffled.
 
 Defined results: a text without words has an empty set and no links; a null doc_id is linked by
 its text like any other row and never names a component unless the whole component has none;
@@ -27,20 +33,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.bytestext import blocks, encode, mix, shingle_sets
+from tributary.llm.bytestext import blocks, encode, shingle_sets
 from tributary.llm.components import components
-from tributary.llm.store import documents, materialize
+from tributary.llm.store import bitmap, documents, has_bit, materialize, maybe_in
 
-BUCKETS, BANDS, ROWS = 128, 32, 4
+BUCKETS, BANDS, ROWS = 256, 32, 4
 MANTISSA = 10
-VALUE_BITS = 57
+VALUE_BITS = 56
 LIMITS = (np.arange(1, BUCKETS, dtype=np.uint64)) << np.uint64(VALUE_BITS)
 _rng = np.random.default_rng(7)
 PROBES = np.array([_rng.permutation(BUCKETS) for _ in range(BUCKETS)])
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
-    """128 registers of a sorted, non-empty array of distinct 64-bit values."""
+    """256 registers of a sorted, non-empty array of distinct 64-bit values."""
     first = np.concatenate([[0], np.searchsorted(values, LIMITS), [len(values)]])
     full = first[:-1] < first[1:]
     low = values[np.minimum(first[:-1], len(values) - 1)] & np.uint64((1 << VALUE_BITS) - 1)
@@ -62,45 +68,50 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 
 def floor_of(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
-    """Estimates under this are of pairs below the threshold but for odds under one in a million."""
+    """Four standard deviations below the threshold, by the number of registers that differ in origin."""
     effective = BUCKETS * (1 - np.exp(-np.minimum(n, m) / BUCKETS))
-    return threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(effective, 1))
+    return threshold - 4 * np.sqrt(threshold * (1 - threshold) / np.maximum(effective, 1))
 
 
-def _sets(batches, width, want):
+def _sketched(batches, width):
     for batch in batches:
         parts = encode(batch["text"])
         for a, b in blocks(parts):
             sets = shingle_sets(parts[a:b], width)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            if want == "sets":
-                yield pd.DataFrame({"cls": digests, "shingles": [s.astype("<u8").tobytes() for s in sets]})
-            else:
-                yield pd.DataFrame(
-                    {
-                        "doc_id": batch["doc_id"].iloc[a:b].astype("Int64"),
-                        "n_shingles": [len(s) for s in sets],
-                        "cls": digests,
-                        "sketch": [sketch(s).tobytes() if len(s) else None for s in sets],
-                    }
-                )
+            yield pd.DataFrame(
+                {
+                    "doc_id": batch["doc_id"].iloc[a:b].astype("Int64"),
+                    "n_shingles": [len(s) for s in sets],
+                    "cls": [_digest(s) for s in sets],
+                    "sketch": [sketch(s).tobytes() if len(s) else None for s in sets],
+                }
+            )
+
+
+def _digest(values: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, cls (digest of the set, null if empty) and sketch of every row."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        lambda batches: _sets(batches, width, "sketches"), "doc_id long, n_shingles long, cls binary, sketch binary"
+        lambda batches: _sketched(batches, width), "doc_id long, n_shingles long, cls binary, sketch binary"
     )
 
 
-def _near(batches, threshold):
-    for p in batches:
-        if len(p):
-            n, m = p["n"].to_numpy(float), p["m"].to_numpy(float)
-            a = np.frombuffer(b"".join(p["sa"]), "<u2").reshape(-1, BUCKETS)
-            b = np.frombuffer(b"".join(p["sb"]), "<u2").reshape(-1, BUCKETS)
-            near = (estimate(a, b, n, m) >= floor_of(n, m, threshold)) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
-            yield p.loc[near, ["a", "b"]]
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """cls and shingles of the documents in wanted (doc_id), and perhaps of some others, known by a bitmap."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.coalesce("doc_id", F.lit(-1)).alias("id"))))
+
+    def chosen(batches):
+        for batch in batches:
+            parts = encode(batch["text"][has_bit(shared.value, batch["bit"].to_numpy(np.int64))])
+            for a, b in blocks(parts):
+                sets = shingle_sets(parts[a:b], width)
+                yield pd.DataFrame({"cls": [_digest(s) for s in sets], "shingles": [s.astype("<u8").tobytes() for s in sets]})
+
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), "text").withColumn("bit", maybe_in(shared.value, "id"))
+    return ids.select("bit", "text").mapInPandas(chosen, "cls binary, shingles binary").where("cls is not null")
 
 
 def _confirmed(batches, percent):
@@ -108,44 +119,42 @@ def _confirmed(batches, percent):
         keep = []
         for x, y in zip(p["sa"], p["sb"], strict=True):
             x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = len(x) + len(y) - len(np.union1d(x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
         yield p.loc[np.array(keep, bool), ["a", "b"]]
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full shingle sets are as near as asked."""
-    some = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = some.join(classes.select("cls", "doc_id"), "cls").select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = materialize(
-        texts.mapInPandas(lambda batches: _sets(batches, width, "sets"), "cls binary, shingles binary").where("cls is not null")
-    )
-    return (
-        pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
-        .join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
-        .mapInPandas(lambda batches: _confirmed(batches, percent), "a binary, b binary")
-        .distinct()
+    pairs = materialize(pairs.select("a", "b").distinct())
+    ids = lambda side: pairs.select(F.col(side).alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls").select("doc_id").distinct()
+    sets = lambda side: _sets_of(docs, ids(side), width).select(F.col("cls").alias(side), F.col("shingles").alias(f"s{side}"))
+    return materialize(
+        pairs.join(sets("b"), "b").join(sets("a"), "a").mapInPandas(lambda batches: _confirmed(batches, percent), "a binary, b binary").distinct()
     )
 
 
-def _across(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Near pairs of one bucket between different components: the smaller ones against all."""
-    root, size = np.unique(group["root"].to_numpy(object), return_inverse=True)[1], None
+def _across(group: pd.DataFrame, threshold: float, best: bool) -> pd.DataFrame:
+    """Near pairs of one bucket between different components: the smaller ones' classes with the best of the others, or with all."""
+    root = np.unique(group["root"].to_numpy(object), return_inverse=True)[1]
     size = np.bincount(root)
     n = group["n_shingles"].to_numpy(float)
     regs = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(-1, BUCKETS)
     names = group["cls"].to_numpy(object)
     largest, found = size.argmax(), []
     for i in np.flatnonzero(root != largest):
-        other = np.flatnonzero((root != root[i]) & ((root == largest) | (root > root[i])) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]) - 1e-9))
+        other = root != root[i] if best else (root == largest) | (root > root[i])
+        other = np.flatnonzero(other & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]) - 1e-9))
         if len(other):
-            near = other[estimate(regs[other], regs[i], n[other], n[i]) >= floor_of(n[other], n[i], threshold)]
-            found += [(min(names[i], names[j]), max(names[i], names[j])) for j in near]
-    return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
+            near = estimate(regs[other], regs[i], n[other], n[i])
+            some = near >= floor_of(n[other], n[i], threshold)
+            if best:
+                some &= np.arange(len(other)) == near.argmax()
+            found += [(names[i], names[j], e) for j, e in zip(other[some], near[some], strict=True)]
+    return pd.DataFrame(found, columns=["x", "y", "near"])
 
 
-def _buckets(batches, threshold):
+def _buckets(batches, threshold, best):
     """Runs of rows with one bucket, from a partition sorted by bucket."""
     rest = None
     for batch in batches:
@@ -155,14 +164,32 @@ def _buckets(batches, threshold):
         cut = np.flatnonzero(batch["bucket"].to_numpy()[1:] != batch["bucket"].to_numpy()[:-1]) + 1
         edges = [0, *cut]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield _across(batch.iloc[a:b], threshold)
+            yield _across(batch.iloc[a:b], threshold, best)
         rest = batch.iloc[edges[-1] :]
     if rest is not None:
-        yield _across(rest, threshold)
+        yield _across(rest, threshold, best)
+
+
+def _searched(bands: DataFrame, classes: DataFrame, links: DataFrame, threshold: float, best: bool) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket but, by the links so far, no component."""
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "cls")
+    named = materialize(classes.select("cls").join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")))
+    owned = bands.join(named, "cls")
+    open_ = owned.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    pairs = (
+        owned.join(open_, "bucket")
+        .join(classes.drop("doc_id"), "cls")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInPandas(lambda batches: _buckets(batches, threshold, best), "x binary, y binary, near double")
+    )
+    if best:
+        pairs = pairs.groupBy("x").agg(F.max_by("y", F.struct("near", "y")).alias("y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and n_texts (different sets in the component) of every row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id, n_texts (different sets in the component) and kept of every row of docs (doc_id, text)."""
     threshold = percent / 100
     rows = materialize(sketches(docs, width))
     classes = materialize(
@@ -171,25 +198,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     bands = classes.select(
         "cls", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> substring(sketch, 1 + i * {2 * ROWS}, {2 * ROWS}))")).alias("band", "part")
     ).select("cls", F.xxhash64("band", "part").alias("bucket"))
-    hubs = bands.groupBy("bucket").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    stars = bands.join(hubs.select("bucket", "hub"), "bucket").where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    links = materialize(_confirm(materialize(_estimated(stars, classes, threshold)), classes, docs, width, percent))
-    roots = materialize(components(links.toDF("u", "v")))
-
-    named = classes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
-    owned = bands.join(named, "cls")
-    open_ = owned.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    searched = (
-        owned.join(open_, "bucket")
-        .join(classes.drop("doc_id"), "cls")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket")
-        .mapInPandas(lambda batches: _buckets(batches, threshold), "a binary, b binary")
-        .distinct()
-    )
-    more = materialize(_confirm(materialize(searched), classes, docs, width, percent))
-    roots = components(links.union(more).toDF("u", "v"))
-    named = materialize(classes.select("cls", "doc_id").join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root")))
+    hubs = bands.groupBy("bucket").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
+    met = bands.join(hubs, "bucket").where("cls <> hub").groupBy("hub", "cls").agg(F.count("*").alias("n")).where("n > 2")
+    first = met.groupBy("cls").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+    links = _confirm(first, classes, docs, width, percent)
+    links = links.union(_confirm(_searched(bands, classes, links, threshold, best=True), classes, docs, width, percent))
+    links = links.union(_confirm(_searched(bands, classes, links, threshold, best=False), classes, docs, width, percent))
+
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "cls")
+    named = materialize(classes.select("cls", "doc_id").join(roots, "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root")))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_texts"))
     owner = named.join(smallest, "root").select("cls", "component_id", "n_texts")
     return (
@@ -205,11 +222,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     )
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    side = lambda x, n: classes.select(F.col("cls").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(n))
-    return pairs.join(side("b", "m"), "b").join(side("a", "n"), "a").mapInPandas(lambda batches: _near(batches, threshold), "a binary, b binary")
-
-
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
