@@ -54,7 +54,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, sche
         F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("capped"),
         F.sum("w").over(by_level.rowsBetween(0, Window.unboundedFollowing)).alias("weights"),
     ).withColumn("water", (F.col("wanted") - F.col("capped")) / F.col("weights"))
-    level = F.min(F.when(F.col("water") <= F.col("level"), F.col("water"))).over(Window.partitionBy())
+    # once the level is passed, the candidates only fall
+    level = F.max(F.when(F.col("water") <= F.col("level"), F.col("water"))).over(Window.partitionBy())
     return filled.select(
         "no_source",
         "src",
@@ -128,7 +129,7 @@ ORACLE = {
     l AS (SELECT *, (2 * source_size)::DOUBLE / w AS level FROM r),
     f AS (SELECT *, (wanted - coalesce(sum(2 * source_size) OVER (ORDER BY level, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
                     / sum(w) OVER (ORDER BY level, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS water FROM l),
-    t AS (SELECT source, source_size, g, least((2 * source_size)::DOUBLE, coalesce(min(CASE WHEN water <= level THEN water END) OVER (), level) * w) AS target FROM f),
+    t AS (SELECT source, source_size, g, least((2 * source_size)::DOUBLE, coalesce(max(CASE WHEN water <= level THEN water END) OVER (), level) * w) AS target FROM f),
     p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.g,
                  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
                  CASE WHEN t.source_size > 0 THEN floor(floor(t.target) / t.source_size) ELSE 0 END AS whole
