@@ -10,8 +10,10 @@ from importlib import import_module
 
 NAMES = (
     "near_dedup",
-    "suffix_dedup",
+    "sentencepiece_lattice",
     "mixing",
+    "suffix_dedup",
+    "maxent_lm",
     "sharding",
     "vector_search",
     "jpeg_media",

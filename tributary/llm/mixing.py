@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.store import documents, materialize
+from tributary.llm.store import documents, materialize, text_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -65,14 +65,16 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, sche
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, schedule=SCHEDULE) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, schedule=SCHEDULE, also=()) -> DataFrame:
     """doc_id, size, source_size, target, taken, passes and position of every row of docs (doc_id, text, source).
 
-    passes is the number of times the document appears, the last perhaps in part.
+    passes is the number of times the document appears, the last perhaps in part. also: further
+    columns, expressions over docs, that stay with their rows.
     """
     base = materialize(
         docs.select(
             "doc_id",
+            *also,
             F.col("source").isNull().alias("no_source"),
             F.coalesce("source", F.lit("")).alias("src"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -93,6 +95,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, schedule=SCHEDUL
     whole = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(0)
     y = F.col("start") / F.col("target")
     g = F.col("ramp")
+    kept = base.columns[1 : 1 + len(also)]
     return (
         rows.join(plan, ["no_source", "src", "span"])
         .withColumn("start", F.col("span_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -101,6 +104,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, schedule=SCHEDUL
         .withColumn("taken", (F.col("whole") * F.col("size") + F.col("part")).cast("long"))
         .select(
             "doc_id",
+            *kept,
             "size",
             "source_size",
             "target",
@@ -115,6 +119,20 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).orderBy("position", "doc_id")
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: every document as often as the mix takes it, in order of its position in training.
+
+    A document that the mix takes in part stands there whole; rows with one doc_id, source and
+    text share their passes evenly.
+    """
+    plan = mix(docs, also=[text_key().alias("key"), F.col("source").alias("from")])
+    plan = plan.groupBy("doc_id", "from", "key").agg(F.ceil(F.sum("passes") / F.count("*")).cast("int").alias("passes"), F.min("position").alias("position"))
+    plan = plan.where("passes > 0").toDF("__id", "__from", "__key", "__passes", "__position")
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__from")) & (text_key() == F.col("__key"))
+    every = docs.join(plan, same).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes"))))
+    return every.orderBy("__pass", "__position", "__id").select(*docs.columns)
+
+
 QUERIES = {"op3_mixing": op3_mixing}
 ORACLE = {
     "op3_mixing": r"""
