@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tributary.llm.store import documents, materialize
 
 OVERHEAD = 16
-PART_ROWS = 4096
+PART_ROWS = 512
 
 
 def _search(shards: int) -> str:
