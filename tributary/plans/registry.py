@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tributary.plans import order_summary
+from tributary.plans import dashboards, order_summary, transforms
 
-MODULES = [order_summary]
+MODULES = [order_summary, transforms, dashboards]
 FLAGSHIP = "order_summary"
 
 
