@@ -91,11 +91,11 @@ def expected_interval(runs: DataFrame, last: int = 10, default: float = 24.0) ->
     """Hours between each source's latest successful runs, and the warning and critical ages that follow."""
     newest = Window.partitionBy("source_id").orderBy(F.desc("started_at"), F.desc("run_id"))
     good = runs.where("status = 'success'").select("source_id", "started_at", "run_id", F.row_number().over(newest).alias("n"), F.lag("started_at").over(newest).alias("next"))
-    gap = hours_between(F.col("next"), F.col("started_at"))
-    out = good.where(F.col("n") <= last).groupBy("source_id").agg(F.count("*").alias("runs"), F.avg(gap).alias("mean_gap"))
+    gap = F.timestamp_diff("SECOND", F.col("started_at"), F.col("next"))
+    out = good.where(F.col("n") <= last).groupBy("source_id").agg(F.count("*").alias("runs"), (F.sum(gap) / F.count(gap) / 3600.0).alias("mean_gap"))
     hours = F.when(F.col("runs") >= 2, F.col("mean_gap")).otherwise(F.lit(default))
     levels = (("expected_hours", 1.0), ("warning_hours", 1.5), ("critical_hours", 2.0))
-    return out.select("source_id", "runs", *[F.round(hours * k, 4).alias(n) for n, k in levels])
+    return out.select("source_id", "runs", *[F.round(hours * k, 6).alias(n) for n, k in levels])
 
 
 def consecutive_failures(runs: DataFrame, most: int = 10) -> DataFrame:

@@ -90,9 +90,9 @@ def expected_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 _INTERVAL_SQL = f"""
     WITH {RUNS}, g AS (SELECT source_id, started_at, row_number() OVER o AS n, lag(started_at) OVER o AS nxt FROM runs WHERE status = 'success' WINDOW o AS (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC)),
-    a AS (SELECT source_id, count(*) AS runs, avg(floor(epoch_us(nxt - started_at) / 1000000) / 3600.0::DOUBLE) AS gap FROM g WHERE n <= 10 GROUP BY source_id),
+    a AS (SELECT source_id, count(*) AS runs, sum(CAST(floor(epoch_us(nxt - started_at) / 1000000) AS BIGINT))::DOUBLE / count(nxt) / 3600.0::DOUBLE AS gap FROM g WHERE n <= 10 GROUP BY source_id),
     h AS (SELECT source_id, runs, (CASE WHEN runs >= 2 THEN gap ELSE 24 END)::DOUBLE AS g FROM a)
-    SELECT source_id, runs, round(g, 4) AS expected_hours, round(g * 1.5::DOUBLE, 4) AS warning_hours, round(g * 2.0::DOUBLE, 4) AS critical_hours FROM h"""
+    SELECT source_id, runs, round(g, 6) AS expected_hours, round(g * 1.5::DOUBLE, 6) AS warning_hours, round(g * 2.0::DOUBLE, 6) AS critical_hours FROM h"""
 
 
 def failures_in_a_row(spark: SparkSession, d: str) -> DataFrame:

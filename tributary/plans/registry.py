@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tributary.plans import dashboards, order_summary, transforms
+from tributary.plans import changes, checks, dashboards, graphs, order_summary, transforms
 
-MODULES = [order_summary, transforms, dashboards]
+MODULES = [order_summary, transforms, dashboards, checks, changes, graphs]
 FLAGSHIP = "order_summary"
 
 
