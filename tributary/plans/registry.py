@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tributary.plans import changes, checks, dashboards, graphs, order_summary, transforms
+from tributary.plans import changes, checks, dashboards, flows, graphs, order_summary, transforms
 
-MODULES = [order_summary, transforms, dashboards, checks, changes, graphs]
+MODULES = [order_summary, transforms, dashboards, checks, changes, graphs, flows]
 FLAGSHIP = "order_summary"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,9 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tributary-"))
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path beside the checkpoints, which all executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{named or 'file://' + tempfile.mkdtemp(prefix='tributary-')}/t-{uuid.uuid4().hex}"
