@@ -98,6 +98,7 @@ def infer(rows: DataFrame, threshold: float = 0.95) -> list[Field]:
                 shortest=r["shortest"] if kind == "string" else None, longest=r["longest"] if kind == "string" else None,
             )
         )
+    out += [Field(c) for c in rows.columns if not c.startswith("_") and c not in {f.name for f in out}]  # no rows at all
     return sorted(out, key=lambda f: f.name)
 
 
