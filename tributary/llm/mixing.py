@@ -93,7 +93,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, schedule=SCHEDUL
     within = Window.partitionBy("no_source", "src", "span").orderBy(digest, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     want = F.floor("target")
     whole = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(0)
-    y = F.col("start") / F.col("target")
+    y = F.try_divide(F.col("start").cast("double"), F.col("target"))
     g = F.col("ramp")
     kept = base.columns[1 : 1 + len(also)]
     return (
@@ -110,7 +110,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, schedule=SCHEDUL
             "target",
             "taken",
             (F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int").alias("passes"),
-            F.when(F.col("taken") > 0, 2 * y / ((1 - g) + F.sqrt((1 - g) * (1 - g) + 4 * g * y))).alias("position"),
+            # at a start weight of 0 the first token has position 0
+            F.when(F.col("taken") > 0, F.coalesce(F.try_divide(2 * y, (1 - g) + F.sqrt(F.greatest(F.lit(0.0), (1 - g) * (1 - g) + 4 * g * y))), F.lit(0.0))).alias("position"),
         )
     )
 
