@@ -115,6 +115,9 @@ def _sorted_runs(data: np.ndarray, prefix: np.ndarray, run: np.ndarray, start: n
         heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
         sizes = np.diff(np.append(heads, len(run)))
         low, high, at = agreed[heads], np.full(len(heads), length), start[order]
+        value = substring_hashes(prefix, at, at + length)
+        same = np.minimum.reduceat(value, heads) == np.maximum.reduceat(value, heads)
+        low, high = np.where(same, length, low), np.where(same, length, length - 1)
         while (low < high).any():  # how far each run agrees
             middle = (low + high + 1) // 2
             ahead = np.repeat(middle, sizes)
@@ -136,8 +139,27 @@ def _sorted_runs(data: np.ndarray, prefix: np.ndarray, run: np.ndarray, start: n
     return done
 
 
+def _twins(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys that occur more than once, and for each the place of another one."""
+    slot = (keys & U((1 << 21) - 1)).astype(np.int64)
+    last, several = np.empty(1 << 21, np.int32), np.zeros(1 << 21, bool)
+    every = np.arange(len(keys), dtype=np.int32)
+    last[slot] = every
+    several[slot[last[slot] != every]] = True
+    some = np.flatnonzero(several[slot])
+    some = some[np.argsort(keys[some], kind="stable")]
+    value = keys[some]
+    after = np.concatenate([value[1:] == value[:-1], [False]]) if len(some) else np.zeros(0, bool)
+    before = np.concatenate([[False], after[:-1]])
+    return some[after | before], np.where(after, np.roll(some, -1), np.roll(some, 1))[after | before]
+
+
 def _repeats(group_ids: np.ndarray, rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """For each row, the first and last offset before the anchor at which a repeated string starts; -1 if none."""
+    """For each row, the first and last offset before the anchor at which a repeated string starts; -1 if none.
+
+    Strings whose hash nothing else at their offset has are no repeats and stay out of the sort;
+    so do all but each row's outermost ones, with a twin each.
+    """
     parts = rows["bytes"].tolist()
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -147,7 +169,8 @@ def _repeats(group_ids: np.ndarray, rows: pd.DataFrame, length: int) -> pd.DataF
     low = np.maximum(first, length - (sizes - left))
     high = np.minimum(last, left)
     least, most = np.full(len(parts), -1), np.full(len(parts), -1)
-    step = max(1, 400_000 // max(len(parts), 1))
+    twin = np.full((2, len(parts)), -1)
+    step = max(1, 200_000 // max(len(parts), 1))
     for offset in range(max(int(low.min()), 0), int(high.max()) + 1, step):
         offsets = np.arange(offset, offset + step)
         row, place = np.nonzero((offsets >= low[:, None]) & (offsets <= high[:, None]))
@@ -155,15 +178,26 @@ def _repeats(group_ids: np.ndarray, rows: pd.DataFrame, length: int) -> pd.DataF
             continue
         place = offsets[place]
         start = begin[row] + left[row] - place
-        for found in _sorted_runs(data, prefix, group_ids[row] * (length + 1) + place, start, length):
-            for i, other in ((found, np.roll(found, 1)),):
-                r, p = row[i], place[i]
-                better_low, better_high = (least[r] < 0) | (p < least[r]), p > most[r]
-                new = better_low | better_high
-                for x, y in zip(start[i[new]], start[other[new]], strict=True):
-                    if data[x : x + length].tobytes() != data[y : y + length].tobytes():
-                        return _by_bytes(group_ids, rows, length)
-                least[r[better_low]], most[r[better_high]] = p[better_low], p[better_high]
+        value = substring_hashes(prefix, start, start + length)
+        one, other = _twins(mix(value + (group_ids[row] * (length + 1) + place).astype(U) * U(0x9E3779B97F4A7C15)))
+        r, p, other = row[one], place[one], row[other]
+        lowest = np.lexsort((p, r))
+        r, p, other = r[lowest], p[lowest], other[lowest]
+        head = np.concatenate([[True], r[1:] != r[:-1]]) if len(r) else np.zeros(0, bool)
+        tail = np.concatenate([head[1:], [True]]) if len(r) else head
+        head &= least[r] < 0
+        least[r[head]], twin[0, r[head]] = p[head], other[head]
+        most[r[tail]], twin[1, r[tail]] = p[tail], other[tail]
+    found = np.flatnonzero(most >= 0)
+    both = [(found, least[found]), (twin[0, found], least[found]), (found, most[found]), (twin[1, found], most[found])]
+    pairs = np.unique(np.concatenate([r * (length + 1) + p for r, p in both])) if len(found) else np.zeros(0, np.int64)
+    row, place = np.divmod(pairs, length + 1)
+    start = begin[row] + left[row] - place
+    for run in _sorted_runs(data, prefix, group_ids[row] * (length + 1) + place, start, length):
+        at = start[run].tolist()
+        model = data[at[0] : at[0] + length].tobytes()
+        if any(data[x : x + length].tobytes() != model for x in at[1:]):
+            return _by_bytes(group_ids, rows, length)
     return pd.DataFrame({"least": least, "most": most}, index=rows.index)
 
 
@@ -330,6 +364,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def shortened(batch: pd.DataFrame, runs: list) -> pd.DataFrame:
         out = batch[names].copy()
+        out["text"] = batch["text"].where(~batch["__null"].to_numpy(bool), None)
         for i, r in enumerate(runs):
             if r:
                 text = _cut(batch["text"].iat[i].encode("utf-8", "surrogatepass"), r).decode("utf-8", "ignore")
@@ -338,7 +373,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     out.iat[i, names.index("n_chars")] = len(text)
         return out
 
-    return without_repeats(docs, shortened, docs.schema)
+    return without_repeats(docs.withColumn("__null", F.col("text").isNull()), shortened, docs.schema)
 
 
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
