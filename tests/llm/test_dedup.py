@@ -77,3 +77,25 @@ def test_empty_tables(spark, docs):
     assert near_dedup.near_duplicates(none).count() == 0
     assert suffix_dedup.cut_repeats(spark, none, "").count() == 0
     assert near_dedup.keep_one(spark, none.withColumn("x", F.lit(1)), "").columns[-1] == "x"
+
+
+def test_large_buckets_go_in_blocks(spark, docs, corpus, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    want = {corpus[i][0]: root for i, (_, root) in brute.near_components(corpus).items() if corpus[i][0] not in (None, 7)}
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect() if r["doc_id"] not in (None, 7)}
+    assert got == want
+
+
+def test_chains_just_above_the_threshold(spark):
+    import random
+
+    rng, texts = random.Random(9), []
+    for _ in range(3):
+        words = [f"v{rng.randrange(10_000)}" for _ in range(120)]
+        for _ in range(25):
+            texts.append(" ".join(words))
+            for k in rng.sample(range(120), 3):
+                words[k] = f"v{rng.randrange(10_000)}"
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root for i, (_, root) in brute.near_components(rows).items()}

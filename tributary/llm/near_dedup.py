@@ -14,7 +14,10 @@ are corrected for chance matches.
    highest estimate.
 4. Buckets that even then hold several components (few) are searched in full: every class
    outside the bucket's largest component against all classes of other components whose
-   estimate is not far below the threshold. So no link that could change the result is left out.
+   estimate is not far below the threshold, each pair in the first bucket that it shares. The
+   classes concerned bring their full sets, and only links that join components come out, so
+   nothing that is written grows with the square of a bucket, and no link that could change the
+   result is left out. Large buckets are compared in pairs of blocks.
 
 Links are confirmed on full shingle sets, 64-bit hashes each. The texts of the classes to be
 compared are found by a bitmap of bounded size, so texts are never shuffled.
@@ -35,10 +38,12 @@ from pyspark.sql import functions as F
 
 from tributary.llm.bytestext import blocks, encode, shingle_sets
 from tributary.llm.components import components
-from tributary.llm.store import bitmap, documents, has_bit, materialize, maybe_in
+from tributary.llm.store import bitmap, documents, has_bit, keep_rows, materialize, maybe_in, text_key
 
 BUCKETS, BANDS, ROWS = 256, 32, 4
 MANTISSA = 10
+#: classes of a bucket that are compared in one task
+BLOCK = 4_096
 VALUE_BITS = 56
 LIMITS = (np.arange(1, BUCKETS, dtype=np.uint64)) << np.uint64(VALUE_BITS)
 _rng = np.random.default_rng(7)
@@ -81,6 +86,7 @@ def _sketched(batches, width):
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"].iloc[a:b].astype("Int64"),
+                    "key": batch["key"].iloc[a:b],
                     "n_shingles": [len(s) for s in sets],
                     "cls": [_digest(s) for s in sets],
                     "sketch": [sketch(s).tobytes() if len(s) else None for s in sets],
@@ -93,9 +99,9 @@ def _digest(values: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, cls (digest of the set, null if empty) and sketch of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        lambda batches: _sketched(batches, width), "doc_id long, n_shingles long, cls binary, sketch binary"
+    """doc_id, key (of the text), n_shingles, cls (digest of the set, null if empty) and sketch of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key")).mapInPandas(
+        lambda batches: _sketched(batches, width), "doc_id long, key long, n_shingles long, cls binary, sketch binary"
     )
 
 
@@ -134,62 +140,142 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     )
 
 
-def _across(group: pd.DataFrame, threshold: float, best: bool) -> pd.DataFrame:
-    """Near pairs of one bucket between different components: the smaller ones' classes with the best of the others, or with all."""
-    root = np.unique(group["root"].to_numpy(object), return_inverse=True)[1]
-    size = np.bincount(root)
-    n = group["n_shingles"].to_numpy(float)
-    regs = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(-1, BUCKETS)
-    names = group["cls"].to_numpy(object)
-    largest, found = size.argmax(), []
-    for i in np.flatnonzero(root != largest):
-        other = root != root[i] if best else (root == largest) | (root > root[i])
-        other = np.flatnonzero(other & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]) - 1e-9))
+def _union(root: np.ndarray, a: int, b: int) -> None:
+    root[root == root[a]] = root[b]
+
+
+class _Cell:
+    """The classes of one bucket, or of two blocks of a large one, and which of them may be linked."""
+
+    def __init__(self, rows: pd.DataFrame, threshold: float):
+        self.threshold = threshold
+        self.root = np.unique(rows["root"].to_numpy(object), return_inverse=True)[1]
+        self.n = rows["n_shingles"].to_numpy(float)
+        self.regs = np.frombuffer(b"".join(rows["sketch"]), "<u2").reshape(-1, BUCKETS)
+        self.bands = self.regs[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+        self.band, self.part = int(rows["band"].iat[0]), rows["part"].to_numpy()
+        self.apart = rows["lo"].iat[0] != rows["hi"].iat[0]
+        self.largest = np.bincount(self.root).argmax()
+
+    def seekers(self) -> np.ndarray:
+        """Classes outside the largest component."""
+        return np.flatnonzero(self.root != self.largest)
+
+    def near(self, i: int, once: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of other components that may be as near to class i as asked, with their estimates.
+
+        once: every pair from one side only, and in the first bucket that both share.
+        """
+        other = self.root != self.root[i]
+        if once:
+            other &= (self.root == self.largest) | (self.root > self.root[i])
+        if self.apart:
+            other &= self.part != self.part[i]
+        other = np.flatnonzero(other & (np.minimum(self.n, self.n[i]) >= self.threshold * np.maximum(self.n, self.n[i]) - 1e-9))
+        estimates = estimate(self.regs[other], self.regs[i], self.n[other], self.n[i])
+        some = estimates >= floor_of(self.n[other], self.n[i], self.threshold)
+        other, estimates = other[some], estimates[some]
+        if once and len(other):
+            first = (self.bands[other] == self.bands[i]).all(axis=2).argmax(axis=1) == self.band
+            other, estimates = other[first], estimates[first]
+        return other, estimates
+
+
+def _best(rows: pd.DataFrame, threshold: float, percent: int) -> pd.DataFrame:
+    """For each class outside the largest component, the nearest of another one."""
+    cell, names, found = _Cell(rows, threshold), rows["cls"].to_numpy(object), []
+    for i in cell.seekers():
+        other, estimates = cell.near(i, once=False)
         if len(other):
-            near = estimate(regs[other], regs[i], n[other], n[i])
-            some = near >= floor_of(n[other], n[i], threshold)
-            if best:
-                some &= np.arange(len(other)) == near.argmax()
-            found += [(names[i], names[j], e) for j, e in zip(other[some], near[some], strict=True)]
+            found.append((names[i], names[other[estimates.argmax()]], estimates.max()))
     return pd.DataFrame(found, columns=["x", "y", "near"])
 
 
-def _buckets(batches, threshold, best):
-    """Runs of rows with one bucket, from a partition sorted by bucket."""
+def _involved(rows: pd.DataFrame, threshold: float, percent: int) -> pd.DataFrame:
+    """The classes with anything to compare in this bucket."""
+    cell, busy = _Cell(rows, threshold), np.zeros(len(rows), bool)
+    for i in cell.seekers():
+        other, _ = cell.near(i, once=True)
+        busy[other] = True
+        busy[i] |= len(other) > 0
+    return rows.loc[busy, ["cls", "bucket", "band"]]
+
+
+def _linked(rows: pd.DataFrame, threshold: float, percent: int) -> pd.DataFrame:
+    """Confirmed links that join components: one fewer than the components that they join."""
+    cell, names, found = _Cell(rows, threshold), rows["cls"].to_numpy(object), []
+    sets, now = [np.frombuffer(x, "<u8") for x in rows["shingles"]], cell.root.copy()
+    for i in cell.seekers():
+        for j in cell.near(i, once=True)[0]:
+            if now[i] != now[j]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    _union(now, i, j)
+                    found.append((names[i], names[j]))
+    return pd.DataFrame(found, columns=["x", "y"])
+
+
+def _cells(batches, work, threshold, percent):
+    """work over the runs of rows with one cell, from a partition sorted by cell."""
     rest = None
     for batch in batches:
         batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
         if not len(batch):
             continue
-        cut = np.flatnonzero(batch["bucket"].to_numpy()[1:] != batch["bucket"].to_numpy()[:-1]) + 1
-        edges = [0, *cut]
+        cell = batch[["bucket", "lo", "hi"]].to_numpy()
+        edges = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield _across(batch.iloc[a:b], threshold, best)
+            yield work(batch.iloc[a:b], threshold, percent)
         rest = batch.iloc[edges[-1] :]
     if rest is not None:
-        yield _across(rest, threshold, best)
+        yield work(rest, threshold, percent)
+
+
+def _by_cell(rows: DataFrame, work, schema: str, threshold: float, percent: int) -> DataFrame:
+    """work over every bucket of rows (cls, bucket, band, root, ...) with several components; a large bucket goes in pairs of blocks."""
+    several = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y")
+    blocks = several.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "bucket").withColumn("part", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    placed = placed.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other", "blocks")
+    placed = placed.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return placed.mapInPandas(lambda batches: _cells(batches, work, threshold, percent), schema)
+
+
+def _named(classes: DataFrame, links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """cls and root of every class, by links (a, b) and the roots before them, which stand for all earlier links."""
+    if before is not None:
+        if links.isEmpty():
+            return before
+        links = before.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")).union(links)
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "cls")
+    return materialize(classes.select("cls").join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")))
 
 
-def _searched(bands: DataFrame, classes: DataFrame, links: DataFrame, threshold: float, best: bool) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket but, by the links so far, no component."""
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "cls")
-    named = materialize(classes.select("cls").join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")))
-    owned = bands.join(named, "cls")
-    open_ = owned.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    pairs = (
-        owned.join(open_, "bucket")
-        .join(classes.drop("doc_id"), "cls")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket")
-        .mapInPandas(lambda batches: _buckets(batches, threshold, best), "x binary, y binary, near double")
-    )
-    if best:
-        pairs = pairs.groupBy("x").agg(F.max_by("y", F.struct("near", "y")).alias("y"))
+def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _nearest(bands: DataFrame, classes: DataFrame, named: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Pairs (a, b): each class with the nearest that it shares a bucket with, but no component."""
+    rows = bands.join(named, "cls").join(classes.drop("doc_id"), "cls")
+    found = _by_cell(rows, _best, "x binary, y binary, near double", threshold, percent)
+    return _ordered(found.groupBy("x").agg(F.max_by("y", F.struct("near", "y")).alias("y")))
+
+
+def _remaining(bands: DataFrame, classes: DataFrame, named: DataFrame, docs: DataFrame, width: int, threshold: float, percent: int) -> DataFrame:
+    """Links (a, b) that join components which still share a bucket."""
+    about = named.join(classes, "cls")
+    rows = bands.join(about.drop("doc_id"), "cls")
+    open_ = materialize(_by_cell(rows, _involved, "cls binary, bucket long, band int", threshold, percent).distinct())
+    some = materialize(about.join(open_.select("cls").distinct(), "cls"))
+    sets = _sets_of(docs, some.select("doc_id").distinct(), width).dropDuplicates(["cls"])
+    whole = open_.join(some.drop("doc_id").join(sets, "cls"), "cls")
+    return materialize(_ordered(_by_cell(whole, _linked, "x binary, y binary", threshold, percent)).distinct())
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_texts (different sets in the component) and kept of every row of docs (doc_id, text)."""
+    """doc_id, key (of the text), n_shingles, component_id, n_texts (different sets in the component) and kept of every row of docs (doc_id, text)."""
     threshold = percent / 100
     rows = materialize(sketches(docs, width))
     classes = materialize(
@@ -197,16 +283,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     )
     bands = classes.select(
         "cls", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> substring(sketch, 1 + i * {2 * ROWS}, {2 * ROWS}))")).alias("band", "part")
-    ).select("cls", F.xxhash64("band", "part").alias("bucket"))
+    ).select("cls", F.col("band").cast("int").alias("band"), F.xxhash64("band", "part").alias("bucket"))
     hubs = bands.groupBy("bucket").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
     met = bands.join(hubs, "bucket").where("cls <> hub").groupBy("hub", "cls").agg(F.count("*").alias("n")).where("n > 2")
     first = met.groupBy("cls").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
-    links = _confirm(first, classes, docs, width, percent)
-    links = links.union(_confirm(_searched(bands, classes, links, threshold, best=True), classes, docs, width, percent))
-    links = links.union(_confirm(_searched(bands, classes, links, threshold, best=False), classes, docs, width, percent))
-
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "cls")
-    named = materialize(classes.select("cls", "doc_id").join(roots, "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root")))
+    named = _named(classes, _confirm(first, classes, docs, width, percent))
+    named = _named(classes, _confirm(_nearest(bands, classes, named, threshold, percent), classes, docs, width, percent), named)
+    named = _named(classes, _remaining(bands, classes, named, docs, width, threshold, percent), named)
+    named = named.join(classes.select("cls", "doc_id"), "cls")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_texts"))
     owner = named.join(smallest, "root").select("cls", "component_id", "n_texts")
     return (
@@ -214,6 +298,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         .join(owner, "cls", "left")
         .select(
             "doc_id",
+            "key",
             "n_shingles",
             F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
             F.coalesce("n_texts", F.lit(1)).cast("long").alias("n_texts"),
@@ -223,13 +308,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).drop("key")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near-duplicates stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs).where("kept").groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    kept = materialize(kept)
+    out = keep_rows(docs, kept)
+    if kept.where("n > 1").isEmpty():
+        return out
+    return out.withColumn("__key", text_key()).dropDuplicates(["doc_id", "__key"]).drop("__key")
 
 
 QUERIES = {"op1_near_dedup": op1_near_dedup}
