@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tributary.plans import changes, checks, dashboards, flows, graphs, order_summary, transforms
+from tributary.plans import changes, checks, dashboards, flows, graphs, order_summary, transforms, workflows
 
-MODULES = [order_summary, transforms, dashboards, checks, changes, graphs, flows]
+MODULES = [order_summary, transforms, dashboards, checks, changes, graphs, flows, workflows]
 FLAGSHIP = "order_summary"
 
 
