@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.bytestext import INVERSE, BASE, mix, powers
-from tributary.llm.store import documents, materialize
+from tributary.llm.store import documents, materialize, tidied
 
 WORDS = 1 << 20
 CHARS = 48
@@ -170,7 +170,7 @@ def _counted(batches, table: Pieces):
 def counted_words(docs: DataFrame, table: Pieces) -> DataFrame:
     """(word, n) of all words of at most CHARS characters."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    return docs.select("text").mapInPandas(lambda batches: _counted(batches, shared.value), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(tidied(lambda batches: _counted(batches, shared.value)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 FOLD = """aggregate(edges, array(named_struct('score', 0D, 'start', 0, 'id', 0)),
@@ -232,7 +232,7 @@ def dictionary(docs: DataFrame, table: Pieces, words: int = WORDS) -> Dictionary
     least = by_count.withColumn("total", F.expr("sum(c) over (order by n desc)")).where(F.col("total") <= words).agg(F.min("n")).first()[0]
     chosen = counts.where(F.col("n") >= (least if least is not None else 1 << 62)).select("word")
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    packed = segmented(chosen.repartition("word"), table).mapInPandas(lambda batches: _packed(batches, shared.value), "hashes binary, sizes binary, ids binary").toPandas()
+    packed = segmented(chosen.repartition("word"), table).mapInPandas(tidied(lambda batches: _packed(batches, shared.value)), "hashes binary, sizes binary, ids binary").toPandas()
     return Dictionary(*(np.frombuffer(b"".join(packed[c]), kind) for c, kind in (("hashes", U), ("sizes", np.int32), ("ids", np.int32))))
 
 
@@ -265,23 +265,27 @@ def _encoded(texts: list[str], table: Pieces, words: Dictionary, memo: dict) ->
     return [flat[a:b] if t else flat[:0] for t, a, b in zip(texts, edges[:-1], edges[1:], strict=True)]
 
 
-def encode(docs: DataFrame, path: str | None = None, words: int = WORDS) -> DataFrame:
-    """All columns of docs but text, with ids (array of int)."""
-    table = pieces(path or default_model())
+def _with_ids(docs: DataFrame, table: Pieces, words: int, use, schema: str) -> DataFrame:
+    """use(batch, ids of its texts) for every batch of docs, in the task that encodes it."""
     context = docs.sparkSession.sparkContext
     shared, known = context.broadcast(table), context.broadcast(dictionary(docs, table, words))
-    rest = [c for c in docs.columns if c not in ("text", "ids")]
 
     def encoded(batches):
         memo: dict = {}
         for batch in batches:
-            if len(memo) > 300_000:
+            if len(memo) > 100_000:
                 memo.clear()
-            ids = [x for _, texts in _text_blocks(batch["text"]) for x in _encoded(texts, shared.value, known.value, memo)]
-            yield batch[rest].assign(ids=ids)
+            yield use(batch, [x for _, texts in _text_blocks(batch["text"]) for x in _encoded(texts, shared.value, known.value, memo)])
+
+    return docs.mapInPandas(tidied(encoded), schema)
 
+
+def encode(docs: DataFrame, path: str | None = None, words: int = WORDS) -> DataFrame:
+    """All columns of docs but text, with ids (array of int)."""
+    rest = [c for c in docs.columns if c not in ("text", "ids")]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
-    return docs.select(*rest, "text").mapInPandas(encoded, f"{kinds}{', ' if kinds else ''}ids array<int>")
+    use = lambda batch, ids: batch[rest].assign(ids=ids)
+    return _with_ids(docs.select(*rest, "text"), pieces(path or default_model()), words, use, f"{kinds}{', ' if kinds else ''}ids array<int>")
 
 
 def decoded(ids: np.ndarray, table: Pieces) -> bytes:
@@ -313,22 +317,21 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(text).alias("crc"), F.octet_length(text).alias("n"))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def checked(batches):
-        for batch in batches:
-            back = [decoded(x, shared.value) for x in batch["ids"]]
-            sums = np.array([zlib.crc32(x) for x in back], np.int64)
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].astype("Int64"),
-                    "n_pieces": [len(x) for x in batch["ids"]],
-                    "ids": batch["ids"],
-                    "decoded_bytes": [len(x) for x in back],
-                    "decoded_crc32": sums,
-                    "round_trip": (sums == batch["crc"].to_numpy(np.int64)) & (np.array([len(x) for x in back]) == batch["n"].to_numpy(np.int64)),
-                }
-            )
-
-    return encode(both, path).mapInPandas(checked, RESULT)
+    def checked(batch: pd.DataFrame, ids: list) -> pd.DataFrame:
+        back = [decoded(x, shared.value) for x in ids]
+        sums, sizes = np.array([zlib.crc32(x) for x in back], np.int64), np.array([len(x) for x in back], np.int64)
+        return pd.DataFrame(
+            {
+                "doc_id": batch["doc_id"].astype("Int64"),
+                "n_pieces": [len(x) for x in ids],
+                "ids": ids,
+                "decoded_bytes": sizes,
+                "decoded_crc32": sums,
+                "round_trip": (sums == batch["crc"].to_numpy(np.int64)) & (sizes == batch["n"].to_numpy(np.int64)),
+            }
+        )
+
+    return _with_ids(both, table, WORDS, checked, RESULT)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

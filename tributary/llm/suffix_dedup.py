@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.bytestext import encode, mix, prefix_hashes, substring_hashes
-from tributary.llm.store import bitmap, documents, has_bit, materialize, maybe_in
+from tributary.llm.store import bitmap, documents, has_bit, materialize, maybe_in, tidied
 
 LENGTH = 400
 GROUP_ROWS = 16_384
@@ -264,16 +264,16 @@ def _grouped(rows: DataFrame, length: int, most: int) -> DataFrame:
         large = counts.where((F.col("c") > most) & (F.col("w") > 0)).select("key")
         again = not large.isEmpty()
         here = rows.join(large, "key", "left_anti") if again else rows
-        done = here.repartition("key").sortWithinPartitions("key").mapInPandas(lambda batches: _compared(batches, length), "tk long, n int, a int, b int")
+        done = here.repartition("key").sortWithinPartitions("key").mapInPandas(tidied(lambda batches: _compared(batches, length)), "tk long, n int, a int, b int")
         found = done if found is None else found.union(done)
         if not again:
             return found
-        rows = materialize(rows.join(large, "key").mapInPandas(lambda batches: _halved(batches, length), AROUND))
+        rows = materialize(rows.join(large, "key").mapInPandas(tidied(lambda batches: _halved(batches, length)), AROUND))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, most: int = GROUP_ROWS) -> DataFrame:
     """(tk, n, spans) of each different text with repeats; docs as of keyed. spans: array of (a, b), may overlap."""
-    rows = materialize(docs.select("tk", "text").mapInPandas(lambda batches: _anchored(batches, length), "tk long, n int, at int, gram long, around long"))
+    rows = materialize(docs.select("tk", "text").mapInPandas(tidied(lambda batches: _anchored(batches, length)), "tk long, n int, at int, gram long, around long"))
     grams = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("around").alias("x"), F.max("around").alias("y")).where("c > 1")
     shared = materialize(rows.join(grams.select("gram", (F.col("x") != F.col("y")).alias("mixed")), "gram"))
     twice = shared.groupBy("around").agg(F.count("*").alias("c")).where("c > 1").select("around")
@@ -282,8 +282,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, most: int = GROUP_ROWS) -> D
     edges = shared.where("mixed").groupBy("gram", "around").agg(F.count("*").alias("c"), F.min(F.struct("tk", "n", "at")).alias("r"))
     edges = edges.select("gram", (F.col("c") == 1).alias("lone"), "r.tk", "r.n", "r.at")
     listed = materialize(edges.groupBy("tk", "n").agg(F.collect_list(F.struct("tk", "gram", "lone", "at")).alias("rows")))
-    some = _possible(docs, listed, length).select("tk", "n", "text").dropDuplicates(["tk", "n"])
-    around = materialize(some.join(listed, ["tk", "n"]).select("text", "rows").mapInPandas(lambda batches: _surroundings(batches, length), AROUND))
+    some = _possible(docs, listed).select("tk", "n", "text").dropDuplicates(["tk", "n"])
+    around = materialize(some.join(listed, ["tk", "n"]).select("text", "rows").mapInPandas(tidied(lambda batches: _surroundings(batches, length)), AROUND))
     copies = docs.select("tk", "n").groupBy("tk", "n").agg(F.count("*").alias("c")).where(F.col("c") > 1).where(F.col("n") >= length)
     spans = whole.union(_grouped(around, length, most)).union(copies.select("tk", "n", F.lit(0).alias("a"), F.col("n").alias("b")))
     return spans.groupBy("tk", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
@@ -295,16 +295,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", text).withColumn("tk", F.xxhash64("text")).withColumn("n", F.octet_length("text").cast("int"))
 
 
-def _possible(docs: DataFrame, listed: DataFrame, length: int, inside: bool = True) -> DataFrame:
-    """The rows of docs whose tk may be in listed (or is not), by a bitmap of bounded size."""
+def _possible(docs: DataFrame, listed: DataFrame, inside: bool = True, use=None, schema=None) -> DataFrame:
+    """The rows of docs whose tk may be in listed (or is not), by a bitmap of bounded size; through use, if given."""
     table = docs.sparkSession.sparkContext.broadcast(bitmap(listed.select("tk")))
     bit = maybe_in(table.value, "tk")
 
     def chosen(batches):
         for batch in batches:
-            yield batch[has_bit(table.value, batch["__bit"].to_numpy(np.int64)) == inside].drop(columns="__bit")
+            some = batch[has_bit(table.value, batch["__bit"].to_numpy(np.int64)) == inside].drop(columns="__bit")
+            if len(some):
+                yield use(some) if use else some
 
-    return docs.withColumn("__bit", bit).mapInPandas(chosen, docs.schema)
+    return docs.withColumn("__bit", bit).mapInPandas(tidied(chosen), schema or docs.schema)
 
 
 def merged(spans, n: int) -> list[tuple[int, int]]:
@@ -328,16 +330,12 @@ def without_repeats(docs: DataFrame, use, schema, length: int = LENGTH) -> DataF
     rows = keyed(docs)
     spans = materialize(repeated(rows.select("tk", "n", "text"), length))
 
-    def plain(batches):
-        for batch in batches:
-            yield use(batch, [[]] * len(batch))
-
     def spanned(batches):
         for batch in batches:
             yield use(batch, [merged(s, n) if s is not None else [] for s, n in zip(batch["spans"], batch["n"], strict=True)])
 
-    left = _possible(rows, spans, length, inside=False).mapInPandas(plain, schema)
-    return left.union(_possible(rows, spans, length).join(spans, ["tk", "n"], "left").mapInPandas(spanned, schema))
+    left = _possible(rows, spans, False, lambda batch: use(batch, [[]] * len(batch)), schema)
+    return left.union(_possible(rows, spans).join(spans, ["tk", "n"], "left").mapInPandas(tidied(spanned), schema))
 
 
 def _digests(batch: pd.DataFrame, runs: list) -> pd.DataFrame:
