@@ -36,6 +36,8 @@ from tributary.llm.store import documents, materialize, tidied
 
 WORDS = 1 << 20
 CHARS = 48
+#: tasks that take the words apart; there are about 40 substrings a word
+PARTS = 64
 MARK = "▁"
 TABLE = 1 << 11
 BLOCK = 1 << 19
@@ -232,7 +234,7 @@ def dictionary(docs: DataFrame, table: Pieces, words: int = WORDS) -> Dictionary
     least = by_count.withColumn("total", F.expr("sum(c) over (order by n desc)")).where(F.col("total") <= words).agg(F.min("n")).first()[0]
     chosen = counts.where(F.col("n") >= (least if least is not None else 1 << 62)).select("word")
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    packed = segmented(chosen.repartition("word"), table).mapInPandas(tidied(lambda batches: _packed(batches, shared.value)), "hashes binary, sizes binary, ids binary").toPandas()
+    packed = segmented(chosen.repartition(PARTS, "word"), table).mapInPandas(tidied(lambda batches: _packed(batches, shared.value)), "hashes binary, sizes binary, ids binary").toPandas()
     return Dictionary(*(np.frombuffer(b"".join(packed[c]), kind) for c, kind in (("hashes", U), ("sizes", np.int32), ("ids", np.int32))))
 
 
