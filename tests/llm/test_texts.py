@@ -110,6 +110,20 @@ def test_the_class_model_is_a_distribution_and_learns():
     assert np.exp(maxent_lm.class_log_probability(w, every, np.arange(maxent_lm.CLASSES))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_the_class_model_keeps_its_classes_and_steps(spark):
+    texts = [(" ".join(f"w{j}" for j in range(63) for _ in range(70 - j)),)]
+    counts = maxent_lm.Counts(maxent_lm.token_counts(spark.createDataFrame(texts, "text string")), 1 << 10)
+    assert sorted(counts.near.columns[1].tolist()) == list(range(64))  # the end and 63 words have a class each
+    rng = np.random.default_rng(3)
+    cls = rng.integers(0, maxent_lm.CLASSES, 4_096)
+    rows = maxent_lm.feature_rows(rng.zipf(1.4, 4_096) % 500, np.full(64, 64))
+    once, twice = ((maxent_lm.start(np.ones(maxent_lm.CLASSES)), np.zeros(maxent_lm.FEATURES), np.zeros(maxent_lm.FEATURES, int)) for _ in range(2))
+    maxent_lm.follow(*once, rows, cls)
+    for part in (slice(0, 2_048), slice(2_048, None)):  # an update for every 2,048 tokens
+        maxent_lm.follow(*twice, rows[:, part], cls[part])
+    assert all(np.array_equal(a, b) for a, b in zip(once, twice, strict=True))
+
+
 def test_held_out_texts_score_above_the_base(spark):
     rows = [r for r in maxent_lm.op5_maxent_lm(spark, oracle.DATA).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)

@@ -33,14 +33,14 @@ from tributary.llm.store import documents, materialize, tidied
 
 FOLDS, HELD = 7, 2
 WORDS = 1 << 18
-SINGLE, SUFFIXES = 31, 32
+SINGLE, SUFFIXES = 63, 64
 CLASSES = SINGLE + 1 + SUFFIXES
 #: words that count by themselves in a history
 KNOWN = 4_096
 FEATURES = 1 << 14
 TASK_TOKENS = 2_000_000
-BATCH, STEP = 2_048, 16_384
-RATE, CALM = 0.3, 24.0
+BATCH, STEP = 512, 2_048
+RATE, CALM = 0.15, 24.0
 END = U(0x5851F42D4C957F2D)
 PAD = KNOWN + CLASSES
 SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], U)
@@ -164,9 +164,10 @@ def start(mass: np.ndarray) -> np.ndarray:
 
 
 def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]]
-    for r in rows[1:]:
-        z += weights[r]
+    z = weights.take(rows[1], axis=0)
+    z += weights[0]  # the constant
+    for r in rows[2:]:
+        z += weights.take(r, axis=0)
     z -= z.max(axis=1, keepdims=True)
     return z
 
@@ -183,6 +184,7 @@ def class_log_probability(weights: np.ndarray, rows: np.ndarray, cls: np.ndarray
 
 def follow(weights: np.ndarray, heat: np.ndarray, seen: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> None:
     """One pass of gradient updates, in place. heat: of each row, the squared gradients so far."""
+    place = np.zeros(FEATURES, np.int64)
     for i in range(0, len(cls), STEP):
         part = rows[:, i : i + STEP]
         p = _logits(weights, part)
@@ -191,11 +193,12 @@ def follow(weights: np.ndarray, heat: np.ndarray, seen: np.ndarray, rows: np.nda
         p[np.arange(len(p)), cls[i : i + STEP]] -= 1
         n = np.bincount(part[1:].ravel(), minlength=FEATURES)
         n[0] = len(p)
-        used, flat = np.flatnonzero(n), part[1:]
+        used = np.flatnonzero(n)
+        place[used] = np.arange(len(used))
+        flat = place[part[1:]].ravel()
         grad = np.empty((len(used), CLASSES), np.float32)
-        for c in range(CLASSES):  # sums by row, a class at a time
-            own = np.ascontiguousarray(p[:, c], np.float64)
-            grad[:, c] = sum(np.bincount(f, own, FEATURES) for f in flat)[used]
+        for c, own in enumerate(np.ascontiguousarray(p.T, np.float64)):  # sums by row, a class at a time
+            grad[:, c] = np.bincount(flat, np.tile(own, len(part) - 1), len(used))
         grad[0] = p.sum(axis=0)  # the constant
         heat[used] += np.einsum("ij,ij->i", grad, grad) / CLASSES
         weights[used] -= grad * (RATE / np.sqrt(heat[used] + CALM / CLASSES))[:, None].astype(np.float32)
