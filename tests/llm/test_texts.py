@@ -1,9 +1,11 @@
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
 import brute
+import duckdb
 import numpy as np
 import pytest
 
@@ -75,6 +77,33 @@ def test_licenses(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_every_rule_passes_the_gate(spark, tmp_path):
+    def plain(pattern):  # the shortest text of a pattern: optional parts go, of alternatives the first stays
+        pattern = pattern.replace("[1-4]", "1").replace("(?:19|20)[0-9][0-9]", "2020").replace("[a-z]+", "x").replace("[d]?", "").replace("[sc]", "s")
+        while (new := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(\?|\+)?", lambda m: "" if m[2] == "?" else m[1], pattern)) != pattern:
+            pattern = new
+        return re.sub(" +", " ", re.sub(r".\?", "", pattern)).strip()
+
+    rules = license_scan.rules()
+    texts = [plain(r["pattern"]).replace("odbl", "open database license") for r in rules]  # the rule's key is open
+    texts += ["Released under MIT", "distributed under Apache 2.0", "published under GPL v3", "available under CC BY 4.0"]
+    assert all(re.search(r["pattern"], f" {t.replace(' ', '  ')} ") for r, t in zip(rules, texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    assert all(r["n_detections"] > 0 for r in got.values())
+    assert [got[len(rules) + i]["labels"] for i in range(3)] == ["mit", "apache-2.0", "gpl-3.0"]
+    assert got[len(rules) + 3]["labels"].split(",") == ["cc-by", "cc-by-4.0"]
+    # and the same rows as the SQL without its gate
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sql = license_scan.ORACLE["op9_license_scan"]
+    gate = sql[sql.index("contains(lower(text)") : sql.index(" AS gate")]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rel = con.sql(sql.replace(gate, "true"))
+    found = license_scan.scan(docs)
+    assert oracle.rows_of(found.columns, [tuple(r) for r in found.collect()]) == oracle.rows_of(rel.columns, rel.fetchall())
+
+
 def test_license_query_gives_the_rows_of_its_sql(spark):
     for name, sql in license_scan.ORACLE.items():
         oracle.compare(spark, license_scan.QUERIES[name], sql)

@@ -24,6 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 STEMS = ("licen", "copyright", "spdx", "reserved", "domain", "warrant", "redistribut", "propriet", "permission")
+#: a stem of the second use, which needs none of the others; the registered SQL does not have it
+UNDER = "under"
 
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -173,7 +175,7 @@ def scan(docs: DataFrame) -> DataFrame:
         "doc_id",
         text.alias("text"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
-        some(STEMS).alias("gate"),
+        some((*STEMS, UNDER)).alias("gate"),
         (low.contains("cc") & low.contains("by")).alias("gate_by"),
     )
     words = F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), GAP, " "))
