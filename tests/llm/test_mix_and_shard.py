@@ -31,6 +31,20 @@ def test_positions_follow_the_schedule(spark):
     assert abs(early[True] - early[False]) < 20  # one source comes early, the other late
 
 
+def test_second_passes_follow_the_schedule(spark):
+    docs = spark.createDataFrame([(i, "a b c d", s) for i in range(200) for s in ("p", "q")], "doc_id long, text string, source string")
+    for r in mixing.mix(docs, weights=(1, 1), share=2.0, schedule=((1, 1), (2, 0))).where("source_size = 800").collect():
+        assert len(r["positions"]) == r["passes"] == 2 and r["positions"][0] == r["position"] < r["positions"][1] < 1
+    order = [(r["source"], r["doc_id"]) for r in mixing.mixed(spark, docs, "").collect()]
+    seen, firsts, seconds = set(), [], []
+    for at, key in enumerate(order):
+        (seconds if key in seen else firsts).append((at, key[0]))
+        seen.add(key)
+    # the first source, which comes early, repeats before the other's first pass is over
+    assert min(at for at, s in seconds if s == "p") < max(at for at, s in firsts if s == "q")
+    assert len(order) == len(firsts) + len(seconds) == 600
+
+
 def test_mixed_repeats_whole_documents(spark, docs):
     out = mixing.mixed(spark, docs, "")
     assert out.columns == docs.columns

@@ -7,8 +7,8 @@ that order, pass after pass, until the source's target is met (the last document
 
 Training time runs from 0 to 1. A source's weight moves linearly from a start to an end value,
 so the tokens that it has supplied by time t are target * ((1 - g) t + g t^2) with
-g = (end - start) / (end + start). Inverting that integral at a document's first token gives its
-position in training, and the result is range-sorted by position.
+g = (end - start) / (end + start). Inverting that integral at a document's first token of each
+pass gives that pass's position in training, and the result is range-sorted by position.
 
 Prefix sums come in two steps (4,096 ranges of the digest, then within a range), so no window
 spans a source, however large. The only undivided windows have one row per source.
@@ -66,10 +66,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, sche
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, schedule=SCHEDULE, also=()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, passes and position of every row of docs (doc_id, text, source).
+    """doc_id, size, source_size, target, taken, passes, position and positions of every row of docs (doc_id, text, source).
 
     passes is the number of times the document appears, the last perhaps in part. also: further
-    columns, expressions over docs, that stay with their rows.
+    columns, expressions over docs, that stay with their rows. positions: the position of each
+    pass, of which position is the first.
     """
     base = materialize(
         docs.select(
@@ -93,8 +94,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, schedule=SCHEDUL
     within = Window.partitionBy("no_source", "src", "span").orderBy(digest, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     want = F.floor("target")
     whole = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(0)
-    y = F.try_divide(F.col("start").cast("double"), F.col("target"))
     g = F.col("ramp")
+    passes = (F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int")
+
+    def position(k) -> Column:
+        """Where pass k (from 0) begins; at a start weight of 0 the first token has position 0."""
+        y = F.try_divide((F.col("start") + k * F.col("source_size")).cast("double"), F.col("target"))
+        return F.coalesce(F.try_divide(2 * y, (1 - g) + F.sqrt(F.greatest(F.lit(0.0), (1 - g) * (1 - g) + 4 * g * y))), F.lit(0.0))
+
     kept = base.columns[1 : 1 + len(also)]
     return (
         rows.join(plan, ["no_source", "src", "span"])
@@ -109,29 +116,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, schedule=SCHEDUL
             "source_size",
             "target",
             "taken",
-            (F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int").alias("passes"),
-            # at a start weight of 0 the first token has position 0
-            F.when(F.col("taken") > 0, F.coalesce(F.try_divide(2 * y, (1 - g) + F.sqrt(F.greatest(F.lit(0.0), (1 - g) * (1 - g) + 4 * g * y))), F.lit(0.0))).alias("position"),
+            passes.alias("passes"),
+            F.when(F.col("taken") > 0, position(F.lit(0))).alias("position"),
+            F.when(passes > 0, F.transform(F.sequence(F.lit(0), passes - 1), position)).otherwise(F.array().cast("array<double>")).alias("positions"),
         )
     )
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).orderBy("position", "doc_id")
+    return mix(documents(spark, sf_dir)).drop("positions").orderBy("position", "doc_id")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it, in order of its position in training.
+    """Pipeline stage: every document as often as the mix takes it, in order of each pass's position in training.
 
     A document that the mix takes in part stands there whole; rows with one doc_id, source and
     text share their passes evenly.
     """
     plan = mix(docs, also=[text_key().alias("key"), F.col("source").alias("from")])
-    plan = plan.groupBy("doc_id", "from", "key").agg(F.ceil(F.sum("passes") / F.count("*")).cast("int").alias("passes"), F.min("position").alias("position"))
-    plan = plan.where("passes > 0").toDF("__id", "__from", "__key", "__passes", "__position")
+    # passes of one source differ by one at most, so each row of a group has as many as the most
+    plan = plan.select("doc_id", "from", "key", F.posexplode("positions").alias("pass", "position"))
+    plan = plan.groupBy("doc_id", "from", "key", "pass").agg(F.min("position").alias("position"))
+    plan = plan.toDF("__id", "__from", "__key", "__pass", "__position")
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__from")) & (text_key() == F.col("__key"))
-    every = docs.join(plan, same).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes"))))
-    return every.orderBy("__pass", "__position", "__id").select(*docs.columns)
+    return docs.join(plan, same).orderBy("__position", "__pass", "__id").select(*docs.columns)
 
 
 QUERIES = {"op3_mixing": op3_mixing}
