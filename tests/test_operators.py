@@ -98,3 +98,14 @@ def test_graphs(spark):
     assert {r["id"]: r["component"] for r in lineage.components(diamond, ids).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "a", "x": "x", "lone": "lone"}
     long = _edges(spark, [(f"{i:02}", f"{i + 1:02}") for i in range(14)])
     assert lineage.reach(long, spark.createDataFrame([("00",)], "id string")).count() == 10
+
+
+def test_an_error_meets_two_cases_at_most(spark):
+    from tributary.operators import workflow
+
+    errors = spark.createDataFrame([(i, f"p{i % 50}", "c") for i in range(100)], "error_id long, pattern string, category string")
+    cases = spark.createDataFrame([(i, f"p{i}", "c", 0.5 + i % 2 / 2, i) for i in range(60)], "case_id long, pattern string, category string, success_rate double, success_count long")
+    best = workflow.best_cases(errors, cases)
+    assert [(r["error_id"], r["case_id"]) for r in best.orderBy("error_id").collect()] == [(i, 59) for i in range(100)]
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 3 and plan.count("Join") == 2  # cases are reduced to one a key before each join

@@ -94,12 +94,12 @@ def find_version(versions: DataFrame, source_id, number: int | None = None, tag:
 def best_cases(errors: DataFrame, cases: DataFrame, least: float = 0.6) -> DataFrame:
     """Each error (error_id, pattern, category) with the known case (case_id, pattern, category, success_rate, success_count) of its pattern or else category.
 
-    An OR between two keys is two equi-joins united, so neither side meets all of the other.
+    An OR between two keys is two equi-joins united, each with the best case of every key, so an error meets two cases at most.
     """
     good = cases.where(F.col("success_rate") >= least)
-    named = good.select(F.col("pattern").alias("p"), F.col("category").alias("c"), "case_id", "success_count")
-    found = [errors.join(named, F.col(a) == F.col(b)).select("error_id", "case_id", "success_count") for a, b in (("pattern", "p"), ("category", "c"))]
-    return found[0].union(found[1]).groupBy("error_id").agg(F.max_by("case_id", F.struct("success_count", "case_id")).alias("case_id"))
+    best = F.max(F.struct("success_count", "case_id")).alias("best")
+    found = [errors.join(good.groupBy(F.col(key).alias("__key")).agg(best), F.col(key) == F.col("__key")).select("error_id", "best") for key in ("pattern", "category")]
+    return found[0].union(found[1]).groupBy("error_id").agg(F.max("best")["case_id"].alias("case_id"))
 
 
 def conditional_totals(rows: DataFrame, by: Sequence[str], size: str, ok: Column, stamp: str) -> DataFrame:
