@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 
 from tributary.llm.bytestext import blocks, encode, shingle_sets
 from tributary.llm.components import components
-from tributary.llm.store import bitmap, documents, has_bit, keep_rows, materialize, maybe_in, text_key
+from tributary.llm.store import bitmap, discard, documents, has_bit, keep_rows, materialize, maybe_in, text_key, tidied
 
 BUCKETS, BANDS, ROWS = 256, 32, 4
 MANTISSA = 10
-#: classes of a bucket that are compared in one task
-BLOCK = 4_096
+#: classes of a bucket, and bytes of their shingle sets, that are compared in one task (twice as many of two blocks)
+BLOCK, BLOCK_BYTES = 4_096, 1 << 26
 VALUE_BITS = 56
 LIMITS = (np.arange(1, BUCKETS, dtype=np.uint64)) << np.uint64(VALUE_BITS)
 _rng = np.random.default_rng(7)
@@ -101,7 +101,7 @@ def _digest(values: np.ndarray) -> bytes | None:
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, key (of the text), n_shingles, cls (digest of the set, null if empty) and sketch of every row."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key")).mapInPandas(
-        lambda batches: _sketched(batches, width), "doc_id long, key long, n_shingles long, cls binary, sketch binary"
+        tidied(lambda batches: _sketched(batches, width)), "doc_id long, key long, n_shingles long, cls binary, sketch binary"
     )
 
 
@@ -117,7 +117,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pd.DataFrame({"cls": [_digest(s) for s in sets], "shingles": [s.astype("<u8").tobytes() for s in sets]})
 
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), "text").withColumn("bit", maybe_in(shared.value, "id"))
-    return ids.select("bit", "text").mapInPandas(chosen, "cls binary, shingles binary").where("cls is not null")
+    return ids.select("bit", "text").mapInPandas(tidied(chosen), "cls binary, shingles binary").where("cls is not null")
 
 
 def _confirmed(batches, percent):
@@ -135,9 +135,11 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     pairs = materialize(pairs.select("a", "b").distinct())
     ids = lambda side: pairs.select(F.col(side).alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls").select("doc_id").distinct()
     sets = lambda side: _sets_of(docs, ids(side), width).select(F.col("cls").alias(side), F.col("shingles").alias(f"s{side}"))
-    return materialize(
-        pairs.join(sets("b"), "b").join(sets("a"), "a").mapInPandas(lambda batches: _confirmed(batches, percent), "a binary, b binary").distinct()
+    found = materialize(
+        pairs.join(sets("b"), "b").join(sets("a"), "a").mapInPandas(tidied(lambda batches: _confirmed(batches, percent)), "a binary, b binary").distinct()
     )
+    discard(pairs)
+    return found
 
 
 def _union(root: np.ndarray, a: int, b: int) -> None:
@@ -231,15 +233,20 @@ def _cells(batches, work, threshold, percent):
         yield work(rest, threshold, percent)
 
 
-def _by_cell(rows: DataFrame, work, schema: str, threshold: float, percent: int) -> DataFrame:
-    """work over every bucket of rows (cls, bucket, band, root, ...) with several components; a large bucket goes in pairs of blocks."""
-    several = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y")
-    blocks = several.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+def _by_cell(met: DataFrame, about: DataFrame, work, schema: str, threshold: float, percent: int) -> DataFrame:
+    """work over every bucket of met (cls, bucket, band, root) with several components; a large bucket goes in pairs of blocks.
+
+    about: cls, n_shingles, sketch (and shingles) of the classes; they join only the buckets that are left.
+    """
+    several = met.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    rows = met.join(several, "bucket", "left_semi").join(about, "cls")
+    blocks = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"))
+    blocks = blocks.select("bucket", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = rows.join(blocks, "bucket").withColumn("part", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     placed = placed.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other", "blocks")
     placed = placed.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return placed.mapInPandas(lambda batches: _cells(batches, work, threshold, percent), schema)
+    return placed.mapInPandas(tidied(lambda batches: _cells(batches, work, threshold, percent)), schema)
 
 
 def _named(classes: DataFrame, links: DataFrame, before: DataFrame | None = None) -> DataFrame:
@@ -258,20 +265,20 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _nearest(bands: DataFrame, classes: DataFrame, named: DataFrame, threshold: float, percent: int) -> DataFrame:
     """Pairs (a, b): each class with the nearest that it shares a bucket with, but no component."""
-    rows = bands.join(named, "cls").join(classes.drop("doc_id"), "cls")
-    found = _by_cell(rows, _best, "x binary, y binary, near double", threshold, percent)
+    found = _by_cell(bands.join(named, "cls"), classes.drop("doc_id"), _best, "x binary, y binary, near double", threshold, percent)
     return _ordered(found.groupBy("x").agg(F.max_by("y", F.struct("near", "y")).alias("y")))
 
 
 def _remaining(bands: DataFrame, classes: DataFrame, named: DataFrame, docs: DataFrame, width: int, threshold: float, percent: int) -> DataFrame:
     """Links (a, b) that join components which still share a bucket."""
-    about = named.join(classes, "cls")
-    rows = bands.join(about.drop("doc_id"), "cls")
-    open_ = materialize(_by_cell(rows, _involved, "cls binary, bucket long, band int", threshold, percent).distinct())
-    some = materialize(about.join(open_.select("cls").distinct(), "cls"))
+    met, about = bands.join(named, "cls"), classes.drop("doc_id")
+    open_ = materialize(_by_cell(met, about, _involved, "cls binary, bucket long, band int", threshold, percent).distinct())
+    some = materialize(classes.join(open_.select("cls").distinct(), "cls"))
     sets = _sets_of(docs, some.select("doc_id").distinct(), width).dropDuplicates(["cls"])
-    whole = open_.join(some.drop("doc_id").join(sets, "cls"), "cls")
-    return materialize(_ordered(_by_cell(whole, _linked, "x binary, y binary", threshold, percent)).distinct())
+    whole = materialize(some.drop("doc_id").join(sets, "cls"))
+    found = materialize(_ordered(_by_cell(open_.join(named, "cls"), whole, _linked, "x binary, y binary", threshold, percent)).distinct())
+    discard(open_, some, whole)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -285,7 +292,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         "cls", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> substring(sketch, 1 + i * {2 * ROWS}, {2 * ROWS}))")).alias("band", "part")
     ).select("cls", F.col("band").cast("int").alias("band"), F.xxhash64("band", "part").alias("bucket"))
     hubs = bands.groupBy("bucket").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    met = bands.join(hubs, "bucket").where("cls <> hub").groupBy("hub", "cls").agg(F.count("*").alias("n")).where("n > 2")
+    # the buckets of one class end here
+    bands = materialize(bands.join(hubs, "bucket"))
+    met = bands.where("cls <> hub").groupBy("hub", "cls").agg(F.count("*").alias("n")).where("n > 2")
+    bands = bands.drop("hub")
     first = met.groupBy("cls").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
     named = _named(classes, _confirm(first, classes, docs, width, percent))
     named = _named(classes, _confirm(_nearest(bands, classes, named, threshold, percent), classes, docs, width, percent), named)
