@@ -46,13 +46,13 @@ def test_repeats_are_those_of_all_substrings(spark, docs, corpus):
             edges = [0, *(x for r in runs for x in r), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             want[doc_id, len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest()] += 1
-        rows = suffix_dedup.without_repeats(docs.select("doc_id", "text"), suffix_dedup._digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length)
-        assert Counter(tuple(r) for r in rows.collect()) == want
+        rows = suffix_dedup.without_repeats(docs.select("doc_id", "text"), suffix_dedup._digests, suffix_dedup.DIGESTS, length)
+        assert Counter(tuple(r)[:5] for r in rows.collect()) == want
 
 
 def test_large_groups_are_cut_in_two(spark, docs, corpus):
-    keyed = suffix_dedup.keyed(docs.select("doc_id", "text")).select("tk", "n", "text")
-    spans = lambda most: {(r["tk"], r["n"]): suffix_dedup.merged(r["spans"], r["n"]) for r in suffix_dedup.repeated(keyed, 60, most).collect()}
+    keyed = suffix_dedup.keyed(docs.select("doc_id", "text")).select("__tk", "__n", "text")
+    spans = lambda most: {(r["tk"], r["n"]): suffix_dedup.merged(r["spans"] or [], r["n"]) for r in suffix_dedup.repeated(keyed, 60, most).collect()}
     assert spans(3) == spans(10_000)
 
 

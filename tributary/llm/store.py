@@ -46,6 +46,16 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def join_keys(rows: DataFrame, keys: DataFrame, on: str, most: int = 1_024) -> DataFrame:
+    """rows joined with keys (written, one row a key, with c rows of rows each): `most` hot keys at most are broadcast, so none meets in one task."""
+    limit = max(10_000, rows.count() // most)
+    hot, cold = keys.where(F.col("c") > limit).drop("c"), keys.where(F.col("c") <= limit).drop("c")
+    if hot.isEmpty():
+        return rows.join(cold, on)
+    few = F.broadcast(hot)  # at most `most` rows, since each stands for more than one in `most` of all
+    return rows.join(few, on).unionByName(rows.join(few.select(on), on, "left_anti").join(cold, on))
+
+
 def small_batches(spark: SparkSession, rows: int = 250) -> None:
     """Rows hold whole texts here, so fewer of them go to a Python worker at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

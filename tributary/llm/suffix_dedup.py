@@ -5,24 +5,32 @@ document. Every such string holds an anchor: the position of the least hash of a
 3/10 of the length among the grams in it (the rightmost of equal ones). Both copies of a string
 have the same anchor, so only anchors and their surroundings need comparing.
 
-1. Anchors with the gram's hash and the hash of their whole surroundings (all strings that could
-   hold the anchor). Anchors whose gram occurs once end here.
+1. Anchors with the gram's hash and a 128-bit BLAKE2b digest of their whole surroundings (all
+   strings that could hold the anchor). Anchors whose gram occurs once end here.
 2. Surroundings that occur twice are repeats from end to end.
 3. The remaining anchors and one of each repeated surroundings meet by gram. In a group, the
-   suffixes at each offset before the anchor are sorted: prefix polynomial hashes and a binary
-   search find how far all suffixes of a run agree, the run is merge-sorted by the eight bytes
-   that follow, and runs that fall apart are sorted again from there. Runs that agree on the full
-   length are repeats. The outermost repeats of each anchor are verified byte by byte; where
-   hashes collide, the group is compared by its bytes.
-   Groups too large for one task are cut in two by offset, with the hash of what all strings of
-   that half share as the new key, as often as needed.
-
-Equal texts are repeats as a whole and take part once a task. Texts travel only if a bitmap of
-bounded size says that they have something to compare or to remove.
+   suffixes at one offset before the anchor are merge-sorted: two suffixes are compared by
+   prefix polynomial hashes and a binary search for their common extension. Neighbours that
+   agree on the full length, and whose bytes prove equal, are repeats. Strings whose hash
+   nothing else at their offset has stay out of the sort, and each row enters with its
+   outermost others and a twin of each. Where hashes collide, the group is compared by bytes.
+   Groups too large for one task are cut in two by offset, with the digest of what all strings
+   of that half share as the new key, as often as needed; those with one offset left are
+   settled by an aggregate over the digests of their strings.
+
+Passages: a run of 51 words or more that another text holds as well may have fewer bytes than
+`length` (it has some 315 in the median). Such runs are found in the same scan by anchors over
+words (grams of 11), whose windows of 44 words, 8 words apart, are compared by hash: one of them
+lies inside every common run of 51 words around the anchor. They are reported, not removed.
+
+Equal texts are repeats as a whole and take part once a task; texts are known by their MD5 and
+length. Texts travel only if a bitmap of bounded size says that they have something to compare
+or to remove. Keys with many rows are joined from a broadcast of the (few) hottest keys.
 
 Defined results: a null text has no bytes; texts shorter than the length lose nothing; repeated
 rows are copies of each other; null or repeated doc_ids do not matter, since texts are known by
-their hash and length.
+their digest; an empty table gives an empty one. Columns of the input keep their names and
+values; only names that begin with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -34,10 +42,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.bytestext import encode, mix, prefix_hashes, substring_hashes
-from tributary.llm.store import bitmap, documents, has_bit, materialize, maybe_in, tidied
+from tributary.llm.bytestext import BASE, SPACE, encode, mix, powers, prefix_hashes, substring_hashes
+from tributary.llm.store import bitmap, discard, documents, has_bit, join_keys, materialize, maybe_in, tidied
 
 LENGTH = 400
+#: words of a passage, of the grams that anchor it, and of the windows that are compared, which lie STEP words apart
+PASSAGE, WORD_GRAM, WINDOW, STEP = 51, 11, 44, 8
 GROUP_ROWS = 16_384
 BATCH_BYTES = 1 << 22
 U = np.uint64
@@ -48,16 +58,9 @@ def _gram(length: int) -> int:
     return max(1, 3 * length // 10)
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of a text's anchors, hashes of their grams and of their surroundings."""
-    n, gram = len(data), _gram(length)
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
-    window = length - gram + 1
-    prefix = prefix_hashes(data)
-    at = np.arange(n - gram + 1)
-    grams = substring_hashes(prefix, at, at + gram)
-    order = (grams & ~LOW) | (LOW - at.astype(U))
+def _least(grams: np.ndarray, window: int) -> np.ndarray:
+    """Positions that have the least hash (by its upper half, the rightmost of equal ones) in some window."""
+    order = (grams & ~LOW) | (LOW - np.arange(len(grams)).astype(U))
     full = np.full(-(-len(order) // window) * window, ~U(0))
     full[: len(order)] = order
     full = full.reshape(-1, window)
@@ -65,22 +68,64 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     behind = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
     count = len(order) - window + 1
     least = (LOW - (np.minimum(behind[:count], ahead[window - 1 : window - 1 + count]) & LOW)).astype(np.int64)
-    at = least[np.concatenate([[True], least[1:] != least[:-1]])]
+    return least[np.concatenate([[True], least[1:] != least[:-1]])]
+
+
+def anchors(data: bytes, prefix: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Positions of a text's anchors, hashes of their grams and digests of their surroundings."""
+    n, gram = len(data), _gram(length)
+    if n < length:
+        return np.zeros(0, np.int64), np.zeros(0, U), []
+    window = length - gram + 1
+    at = np.arange(n - gram + 1)
+    grams = substring_hashes(prefix, at, at + gram)
+    at = _least(grams, window)
     low, high = np.maximum(at - window + 1, 0), np.minimum(at + length, n)
-    around = mix(substring_hashes(prefix, low, high) + (at - low).astype(U) * U(0x9E3779B97F4A7C15) + (high - at).astype(U))
+    around = [
+        hashlib.blake2b(data[a:b], digest_size=16, salt=(i - a).to_bytes(8, "big")).digest() for i, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True)
+    ]
     return at, grams[at], around
 
 
+def passages(data: bytes, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams of a text's word anchors, and of their windows (a row each; NONE where the text has no such window)."""
+    word = np.concatenate([[False], ~SPACE[np.frombuffer(data, np.uint8)], [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    n = len(starts)
+    if n < PASSAGE:
+        return np.zeros(0, U), np.zeros((0, PASSAGE // STEP), np.int64)
+    run = np.concatenate([np.zeros(1, U), np.cumsum(substring_hashes(prefix, starts, ends) * powers(BASE, n))])
+    at = np.arange(n - WORD_GRAM + 1)
+    grams = substring_hashes(run, at, at + WORD_GRAM)
+    at = _least(grams, PASSAGE - WORD_GRAM + 1)
+    begin = at[:, None] - np.arange(0, PASSAGE - WORD_GRAM + 1, STEP)
+    there = (begin >= 0) & (begin + WINDOW <= n)
+    inside = np.where(there, begin, 0)
+    windows = substring_hashes(run, inside, inside + WINDOW).view(np.int64)
+    return grams[at], np.where(there, windows, NONE)
+
+
+NONE = np.iinfo(np.int64).min
+WINDOWS = [f"w{i}" for i in range(len(range(0, PASSAGE - WORD_GRAM + 1, STEP)))]
+ANCHORS = "tk binary, n int, words boolean, at int, gram long, around binary, " + ", ".join(f"{w} long" for w in WINDOWS)
+
+
 def _anchored(batches, length):
     for batch in batches:
         seen, out = set(), []
-        for key, part in zip(batch["tk"], encode(batch["text"]), strict=True):
+        for key, part in zip(batch["__tk"], encode(batch["text"]), strict=True):
             if (key, len(part)) in seen:
                 continue
             seen.add((key, len(part)))
-            at, gram, around = anchors(np.frombuffer(part, np.uint8), length)
+            prefix = prefix_hashes(np.frombuffer(part, np.uint8))
+            at, gram, around = anchors(part, prefix, length)
             if len(at):
-                out.append(pd.DataFrame({"tk": key, "n": len(part), "at": at, "gram": gram.view(np.int64), "around": around.view(np.int64)}))
+                out.append(pd.DataFrame({"tk": key, "n": len(part), "words": False, "at": at, "gram": gram.view(np.int64), "around": around} | dict.fromkeys(WINDOWS, NONE)))
+            gram, windows = passages(part, prefix)
+            if len(gram):
+                own = dict(zip(WINDOWS, windows.T, strict=True))
+                out.append(pd.DataFrame({"tk": key, "n": len(part), "words": True, "at": -1, "gram": gram.view(np.int64), "around": None} | own))
         if out:
             yield pd.concat(out)
 
@@ -89,54 +134,85 @@ def _surroundings(batches, length):
     """The bytes around each listed anchor of a text, with the anchor's place in them."""
     window = length - _gram(length) + 1
     for batch in batches:
-        for text, rows in zip(encode(batch["text"]), batch["rows"], strict=True):
-            out = []
-            for r in rows:
-                low, high = max(r["at"] - window + 1, 0), min(r["at"] + length, len(text))
-                out.append((r["gram"], r["lone"], r["tk"], len(text), r["at"], 0, window - 1, r["at"] - low, text[low:high]))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in AROUND.split(", ")])
-
-
-AROUND = "key long, lone boolean, tk long, n int, at int, first int, last int, left int, bytes binary"
+        texts, sizes = encode(batch["text"]), batch["at"].map(len).to_numpy()
+        at, n = np.concatenate(batch["at"].tolist()), np.repeat([len(t) for t in texts], sizes)
+        low, high = np.maximum(at - window + 1, 0), np.minimum(at + length, n)
+        whose = np.repeat(np.arange(len(texts)), sizes)
+        yield pd.DataFrame(
+            {
+                "key": np.concatenate(batch["gram"].tolist()),
+                "lone": np.concatenate(batch["lone"].tolist()),
+                "tk": batch["tk"].to_numpy(object)[whose],
+                "n": n,
+                "at": at,
+                "first": 0,
+                "last": window - 1,
+                "left": at - low,
+                "bytes": [texts[i][a:b] for i, a, b in zip(whose.tolist(), low.tolist(), high.tolist(), strict=True)],
+            }
+        )
+
+
+AROUND = "key long, lone boolean, tk binary, n int, at int, first int, last int, left int, bytes binary"
+
+
+def _common(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """How many bytes (at most length) the suffixes at a and b share, by hashes and a binary search."""
+    low, high = np.zeros(len(a), np.int64), np.full(len(a), length)
+    middle = high.copy()  # whole strings first, since most agree
+    while len(open_ := np.flatnonzero(low < high)):
+        m, x, y = middle[open_], a[open_], b[open_]
+        same = substring_hashes(prefix, x, x + m) == substring_hashes(prefix, y, y + m)
+        low[open_] = np.where(same, m, low[open_])
+        high[open_] = np.where(same, high[open_], m - 1)
+        middle = (low + high + 1) // 2
+    return low
+
+
+def _merge_sorted(data: np.ndarray, prefix: np.ndarray, run: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """An order of start that is sorted by run and, in a run, by the suffixes' first `length` bytes.
+
+    A mergesort of all runs at once: an element of one half finds its place in the other half by
+    a binary search, whose comparisons look for the two suffixes' common extension.
+    """
+    order = np.argsort(run, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], run[order][1:] != run[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(order)))
+    head, size = np.repeat(head, size), np.repeat(size, size)
+    place = np.arange(len(order)) - head
+    width = 1
+    while width < size.max(initial=0):
+        half = place // width
+        other = (half ^ 1) * width
+        low, high = np.minimum(other, size), np.minimum(other + width, size)
+        begin, left = low.copy(), half % 2 == 0
+        while len(open_ := np.flatnonzero(low < high)):
+            middle = (low[open_] + high[open_]) // 2
+            mine, its = start[order[open_]], start[order[head[open_] + middle]]
+            shared = _common(prefix, mine, its, length)
+            at = np.minimum(shared, length - 1)
+            x, y = data[its + at], data[mine + at]
+            before = np.where(shared < length, x < y, ~left[open_])  # equal strings of the left half come first
+            low[open_] = np.where(before, middle + 1, low[open_])
+            high[open_] = np.where(before, high[open_], middle)
+        to = (half // 2) * 2 * width + (place - half * width) + (low - begin)
+        moved = np.empty_like(order)
+        moved[head + to] = order
+        order = moved
+        width *= 2
+    return order
 
 
 def _sorted_runs(data: np.ndarray, prefix: np.ndarray, run: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
-    """Runs (arrays of indexes into start) of suffixes that agree on `length` bytes, within the given runs."""
-    words = np.lib.stride_tricks.sliding_window_view(data, 8)
-    order = np.argsort(run, kind="stable")
-    run, agreed, done = run[order], np.zeros(len(run), np.int64), []
-    while len(order):
-        heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-        sizes = np.diff(np.append(heads, len(run)))
-        many = np.repeat(sizes > 1, sizes)
-        order, run, agreed = order[many], run[many], agreed[many]
-        if not len(order):
-            break
-        heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-        sizes = np.diff(np.append(heads, len(run)))
-        low, high, at = agreed[heads], np.full(len(heads), length), start[order]
-        value = substring_hashes(prefix, at, at + length)
-        same = np.minimum.reduceat(value, heads) == np.maximum.reduceat(value, heads)
-        low, high = np.where(same, length, low), np.where(same, length, length - 1)
-        while (low < high).any():  # how far each run agrees
-            middle = (low + high + 1) // 2
-            ahead = np.repeat(middle, sizes)
-            value = substring_hashes(prefix, at, at + ahead)
-            same = np.minimum.reduceat(value, heads) == np.maximum.reduceat(value, heads)
-            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
-        whole = low >= length
-        done += [order[a : a + s] for a, s in zip(heads[whole], sizes[whole], strict=True)]
-        rest = np.repeat(~whole, sizes)
-        agreed = np.repeat(low, sizes)
-        order, run, at, agreed = order[rest], run[rest], at[rest], agreed[rest]
-        if not len(order):
-            break
-        take = np.minimum(agreed, length - 8) if length >= 8 else agreed
-        word = np.ascontiguousarray(words[at + take]).view(">u8")[:, 0].astype(U)
-        sort = np.lexsort((word, run))
-        order, agreed, word, run = order[sort], agreed[sort], word[sort], run[sort]
-        run = np.cumsum(np.concatenate([[0], (run[1:] != run[:-1]) | (word[1:] != word[:-1])]))
-    return done
+    """Runs (arrays of indexes into start, two at least) of suffixes that agree on `length` bytes, within the given runs."""
+    if not len(start):
+        return []
+    order = _merge_sorted(data, prefix, run, start, length)
+    same = run[order][1:] == run[order][:-1]
+    pair = np.flatnonzero(same)
+    same[pair] = _common(prefix, start[order[pair]], start[order[pair + 1]], length) == length
+    edges = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(order)]])
+    return [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1]
 
 
 def _twins(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,11 +269,16 @@ def _repeats(group_ids: np.ndarray, rows: pd.DataFrame, length: int) -> pd.DataF
     pairs = np.unique(np.concatenate([r * (length + 1) + p for r, p in both])) if len(found) else np.zeros(0, np.int64)
     row, place = np.divmod(pairs, length + 1)
     start = begin[row] + left[row] - place
+    least[:], most[:] = -1, -1  # what follows decides: strings that the sort brings together and whose bytes agree
     for run in _sorted_runs(data, prefix, group_ids[row] * (length + 1) + place, start, length):
         at = start[run].tolist()
         model = data[at[0] : at[0] + length].tobytes()
         if any(data[x : x + length].tobytes() != model for x in at[1:]):
             return _by_bytes(group_ids, rows, length)
+        p = place[run[0]]
+        who = row[run]
+        least[who] = np.where(least[who] < 0, p, np.minimum(least[who], p))
+        most[who] = np.maximum(most[who], p)
     return pd.DataFrame({"least": least, "most": most}, index=rows.index)
 
 
@@ -256,49 +337,78 @@ def _halved(batches, length):
         yield pd.DataFrame(out, columns=batch.columns)
 
 
+def _settled(rows: DataFrame, length: int) -> DataFrame:
+    """(tk, n, a, b) of the repeats among rows with one offset each, by an aggregate over the digests of their strings."""
+    string = F.expr(f"substring(bytes, left - first + 1, {length})")
+    rows = materialize(rows.where(f"left >= first and octet_length(bytes) - left >= {length} - first").select("tk", "n", "at", "first", "lone", F.md5(string).alias("string")))
+    several = materialize(rows.groupBy("string").agg(F.count("*").alias("c")).where("c > 1"))
+    a = F.col("at") - F.col("first")
+    return join_keys(rows, several, "string").where("lone").select("tk", "n", a.alias("a"), (a + length).alias("b"))
+
+
 def _grouped(rows: DataFrame, length: int, most: int) -> DataFrame:
     """(tk, n, a, b) of the repeats in groups of one key, however large the groups are."""
     found = None
     while True:
         counts = rows.groupBy("key").agg(F.count("*").alias("c"), F.max(F.col("last") - F.col("first")).alias("w"))
-        large = counts.where((F.col("c") > most) & (F.col("w") > 0)).select("key")
+        large = materialize(counts.where(F.col("c") > most).select("key", "c", "w"))
         again = not large.isEmpty()
         here = rows.join(large, "key", "left_anti") if again else rows
-        done = here.repartition("key").sortWithinPartitions("key").mapInPandas(tidied(lambda batches: _compared(batches, length)), "tk long, n int, a int, b int")
+        done = here.repartition("key").sortWithinPartitions("key").mapInPandas(tidied(lambda batches: _compared(batches, length)), "tk binary, n int, a int, b int")
         found = done if found is None else found.union(done)
         if not again:
             return found
-        rows = materialize(rows.join(large, "key").mapInPandas(tidied(lambda batches: _halved(batches, length)), AROUND))
+        wide, narrow = large.where("w > 0").drop("w"), large.where("w = 0").drop("w")
+        if not narrow.isEmpty():
+            found = found.union(_settled(join_keys(rows, narrow, "key"), length))
+        rows = materialize(join_keys(rows, wide, "key").select("key", *[c.split()[0] for c in AROUND.split(", ")[1:]]).mapInPandas(tidied(lambda batches: _halved(batches, length)), AROUND))
+
+
+def _passages(rows: DataFrame) -> DataFrame:
+    """(tk, n) of the texts that share a run of words; rows: those of ANCHORS that anchor words."""
+    shared = materialize(rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("tk").alias("x"), F.max("tk").alias("y")).where("x <> y").select("gram", "c"))
+    window = F.explode(F.array(*WINDOWS)).alias("window")
+    windows = materialize(join_keys(rows, shared, "gram").select("tk", "n", window).where(F.col("window") != NONE).distinct())
+    again = materialize(windows.groupBy("window").agg(F.count("*").alias("c"), F.min("tk").alias("x"), F.max("tk").alias("y")).where("x <> y").select("window", "c"))
+    found = materialize(join_keys(windows, again, "window").select("tk", "n").distinct())
+    discard(shared, windows, again)
+    return found
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, most: int = GROUP_ROWS) -> DataFrame:
-    """(tk, n, spans) of each different text with repeats; docs as of keyed. spans: array of (a, b), may overlap."""
-    rows = materialize(docs.select("tk", "text").mapInPandas(tidied(lambda batches: _anchored(batches, length)), "tk long, n int, at int, gram long, around long"))
+    """(tk, n, spans, passage) of each different text with repeats; docs as of keyed. spans: array of (a, b), may overlap; null without any."""
+    every = materialize(docs.select("__tk", "text").mapInPandas(tidied(lambda batches: _anchored(batches, length)), ANCHORS))
+    passage = _passages(every.where("words").select("tk", "n", "gram", *WINDOWS))
+    rows = every.where("not words").select("tk", "n", "at", "gram", "around")
     grams = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("around").alias("x"), F.max("around").alias("y")).where("c > 1")
-    shared = materialize(rows.join(grams.select("gram", (F.col("x") != F.col("y")).alias("mixed")), "gram"))
-    twice = shared.groupBy("around").agg(F.count("*").alias("c")).where("c > 1").select("around")
+    grams = materialize(grams.select("gram", "c", (F.col("x") != F.col("y")).alias("mixed")))
+    shared = materialize(join_keys(rows, grams, "gram"))
+    twice = materialize(shared.groupBy("around").agg(F.count("*").alias("c")).where("c > 1"))
+    discard(every, grams)
     window = length - _gram(length) + 1
-    whole = shared.join(twice, "around").select("tk", "n", F.greatest(F.lit(0), F.col("at") - window + 1).alias("a"), F.least("n", F.col("at") + length).alias("b"))
+    whole = join_keys(shared, twice, "around").select("tk", "n", F.greatest(F.lit(0), F.col("at") - window + 1).alias("a"), F.least("n", F.col("at") + length).alias("b"))
     edges = shared.where("mixed").groupBy("gram", "around").agg(F.count("*").alias("c"), F.min(F.struct("tk", "n", "at")).alias("r"))
     edges = edges.select("gram", (F.col("c") == 1).alias("lone"), "r.tk", "r.n", "r.at")
-    listed = materialize(edges.groupBy("tk", "n").agg(F.collect_list(F.struct("tk", "gram", "lone", "at")).alias("rows")))
-    some = _possible(docs, listed).select("tk", "n", "text").dropDuplicates(["tk", "n"])
-    around = materialize(some.join(listed, ["tk", "n"]).select("text", "rows").mapInPandas(tidied(lambda batches: _surroundings(batches, length)), AROUND))
-    copies = docs.select("tk", "n").groupBy("tk", "n").agg(F.count("*").alias("c")).where(F.col("c") > 1).where(F.col("n") >= length)
+    listed = edges.groupBy("tk", "n").agg(F.collect_list(F.struct("at", "gram", "lone")).alias("rows"))
+    listed = materialize(listed.select("tk", "n", *[F.expr(f"transform(rows, r -> r.{c})").alias(c) for c in ("at", "gram", "lone")]))
+    some = _possible(docs, listed).select(F.col("__tk").alias("tk"), F.col("__n").alias("n"), "text").dropDuplicates(["tk", "n"])
+    around = materialize(some.join(listed, ["tk", "n"]).mapInPandas(tidied(lambda batches: _surroundings(batches, length)), AROUND))
+    copies = docs.select(F.col("__tk").alias("tk"), F.col("__n").alias("n")).groupBy("tk", "n").agg(F.count("*").alias("c")).where(F.col("c") > 1).where(F.col("n") >= length)
     spans = whole.union(_grouped(around, length, most)).union(copies.select("tk", "n", F.lit(0).alias("a"), F.col("n").alias("b")))
-    return spans.groupBy("tk", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = spans.groupBy("tk", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return spans.join(passage.withColumn("passage", F.lit(True)), ["tk", "n"], "full").withColumn("passage", F.coalesce("passage", F.lit(False)))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with tk (the text's hash) and n (its bytes)."""
+    """docs with __tk (the text's MD5) and __n (its bytes)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("text", text).withColumn("tk", F.xxhash64("text")).withColumn("n", F.octet_length("text").cast("int"))
+    return docs.withColumn("text", text).withColumn("__tk", F.unhex(F.md5("text"))).withColumn("__n", F.octet_length("text").cast("int"))
 
 
 def _possible(docs: DataFrame, listed: DataFrame, inside: bool = True, use=None, schema=None) -> DataFrame:
-    """The rows of docs whose tk may be in listed (or is not), by a bitmap of bounded size; through use, if given."""
+    """The rows of docs whose __tk may be in listed (or is not), by a bitmap of bounded size; through use, if given."""
     table = docs.sparkSession.sparkContext.broadcast(bitmap(listed.select("tk")))
-    bit = maybe_in(table.value, "tk")
+    bit = maybe_in(table.value, "__tk")
 
     def chosen(batches):
         for batch in batches:
@@ -326,16 +436,25 @@ def _cut(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def without_repeats(docs: DataFrame, use, schema, length: int = LENGTH) -> DataFrame:
-    """use(batch of docs' rows, runs to remove of each row) for every row of docs (doc_id, text, ...), as a table of `schema`."""
+    """use(batch of docs' rows, runs to remove of each row) for every row of docs (doc_id, text, ...), as a table of `schema`.
+
+    The batches also have __passage: whether another text holds a run of PASSAGE words of this one.
+    """
     rows = keyed(docs)
-    spans = materialize(repeated(rows.select("tk", "n", "text"), length))
+    spans = repeated(rows.select("__tk", "__n", "text"), length)
+    spans = materialize(spans.toDF("__tk", "__n", "__spans", "__passage"))
 
     def spanned(batches):
         for batch in batches:
-            yield use(batch, [merged(s, n) if s is not None else [] for s, n in zip(batch["spans"], batch["n"], strict=True)])
+            batch["__passage"] = batch["__passage"].eq(True)
+            yield use(batch, [merged(s, n) if s is not None else [] for s, n in zip(batch["__spans"], batch["__n"], strict=True)])
+
+    found = spans.select(F.col("__tk").alias("tk"))
+    left = _possible(rows, found, False, lambda batch: use(batch.assign(__passage=False), [[]] * len(batch)), schema)
+    return left.union(_possible(rows, found).join(spans, ["__tk", "__n"], "left").mapInPandas(tidied(spanned), schema))
+
 
-    left = _possible(rows, spans, False, lambda batch: use(batch, [[]] * len(batch)), schema)
-    return left.union(_possible(rows, spans).join(spans, ["tk", "n"], "left").mapInPandas(tidied(spanned), schema))
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean"
 
 
 def _digests(batch: pd.DataFrame, runs: list) -> pd.DataFrame:
@@ -347,13 +466,14 @@ def _digests(batch: pd.DataFrame, runs: list) -> pd.DataFrame:
             "n_removed": [sum(b - a for a, b in r) for r in runs],
             "n_spans": [len(r) for r in runs],
             "kept_sha256": [hashlib.sha256(_cut(p, r)).hexdigest() for p, r in zip(parts, runs, strict=True)],
+            "shares_passage": batch["__passage"],
         }
     )
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return without_repeats(docs, _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return without_repeats(docs, _digests, DIGESTS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
