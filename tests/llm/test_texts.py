@@ -85,7 +85,7 @@ def test_every_rule_passes_the_gate(spark, tmp_path):
         return re.sub(" +", " ", re.sub(r".\?", "", pattern)).strip()
 
     rules = license_scan.rules()
-    texts = [plain(r["pattern"]).replace("odbl", "open database license") for r in rules]  # the rule's key is open
+    texts = [plain(r["pattern"]) for r in rules]
     texts += ["Released under MIT", "distributed under Apache 2.0", "published under GPL v3", "available under CC BY 4.0"]
     assert all(re.search(r["pattern"], f" {t.replace(' ', '  ')} ") for r, t in zip(rules, texts))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -93,13 +93,11 @@ def test_every_rule_passes_the_gate(spark, tmp_path):
     assert all(r["n_detections"] > 0 for r in got.values())
     assert [got[len(rules) + i]["labels"] for i in range(3)] == ["mit", "apache-2.0", "gpl-3.0"]
     assert got[len(rules) + 3]["labels"].split(",") == ["cc-by", "cc-by-4.0"]
-    # and the same rows as the SQL without its gate
+    # and the same rows as the SQL, which has no gate
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    sql = license_scan.ORACLE["op9_license_scan"]
-    gate = sql[sql.index("contains(lower(text)") : sql.index(" AS gate")]
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    rel = con.sql(sql.replace(gate, "true"))
+    rel = con.sql(license_scan.ORACLE["op9_license_scan"])
     found = license_scan.scan(docs)
     assert oracle.rows_of(found.columns, [tuple(r) for r in found.collect()]) == oracle.rows_of(rel.columns, rel.fetchall())
 
