@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.bytestext import BASE, SPACE, encode, mix, powers, prefix_hashes, substring_hashes
+from tributary.llm.bytestext import BASE, SPACE, blocks, encode, mix, powers, prefix_hashes, substring_hashes
 from tributary.llm.store import bitmap, discard, documents, has_bit, join_keys, materialize, maybe_in, tidied
 
 LENGTH = 400
@@ -58,8 +58,8 @@ def _gram(length: int) -> int:
     return max(1, 3 * length // 10)
 
 
-def _least(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions that have the least hash (by its upper half, the rightmost of equal ones) in some window."""
+def _least(grams: np.ndarray, window: int, valid: np.ndarray) -> np.ndarray:
+    """Positions that have the least hash (by its upper half, the rightmost of equal ones) in some valid window."""
     order = (grams & ~LOW) | (LOW - np.arange(len(grams)).astype(U))
     full = np.full(-(-len(order) // window) * window, ~U(0))
     full[: len(order)] = order
@@ -67,43 +67,60 @@ def _least(grams: np.ndarray, window: int) -> np.ndarray:
     ahead = np.minimum.accumulate(full, axis=1).ravel()
     behind = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
     count = len(order) - window + 1
-    least = (LOW - (np.minimum(behind[:count], ahead[window - 1 : window - 1 + count]) & LOW)).astype(np.int64)
-    return least[np.concatenate([[True], least[1:] != least[:-1]])]
-
-
-def anchors(data: bytes, prefix: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Positions of a text's anchors, hashes of their grams and digests of their surroundings."""
-    n, gram = len(data), _gram(length)
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, U), []
-    window = length - gram + 1
-    at = np.arange(n - gram + 1)
-    grams = substring_hashes(prefix, at, at + gram)
-    at = _least(grams, window)
-    low, high = np.maximum(at - window + 1, 0), np.minimum(at + length, n)
-    around = [
-        hashlib.blake2b(data[a:b], digest_size=16, salt=(i - a).to_bytes(8, "big")).digest() for i, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True)
-    ]
-    return at, grams[at], around
-
-
-def passages(data: bytes, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the grams of a text's word anchors, and of their windows (a row each; NONE where the text has no such window)."""
-    word = np.concatenate([[False], ~SPACE[np.frombuffer(data, np.uint8)], [False]])
-    edges = np.flatnonzero(word[1:] != word[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    n = len(starts)
-    if n < PASSAGE:
-        return np.zeros(0, U), np.zeros((0, PASSAGE // STEP), np.int64)
-    run = np.concatenate([np.zeros(1, U), np.cumsum(substring_hashes(prefix, starts, ends) * powers(BASE, n))])
-    at = np.arange(n - WORD_GRAM + 1)
-    grams = substring_hashes(run, at, at + WORD_GRAM)
-    at = _least(grams, PASSAGE - WORD_GRAM + 1)
-    begin = at[:, None] - np.arange(0, PASSAGE - WORD_GRAM + 1, STEP)
-    there = (begin >= 0) & (begin + WINDOW <= n)
-    inside = np.where(there, begin, 0)
-    windows = substring_hashes(run, inside, inside + WINDOW).view(np.int64)
-    return grams[at], np.where(there, windows, NONE)
+    least = np.minimum(behind[:count], ahead[window - 1 : window - 1 + count])[valid[:count]]
+    least = (LOW - (least & LOW)).astype(np.int64)
+    return least[np.concatenate([[True], least[1:] != least[:-1]])] if len(least) else least
+
+
+class _Block:
+    """Some texts with a space between, with the hashes of all prefixes."""
+
+    def __init__(self, parts: list[bytes]):
+        self.text = b" ".join(parts)
+        self.data = np.frombuffer(self.text, np.uint8)
+        self.prefix = prefix_hashes(self.data)
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.begins = np.cumsum(self.sizes + 1) - self.sizes - 1
+
+    def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """The text of each anchor, its position there, the hash of its gram and the digest of its surroundings."""
+        gram, n = _gram(length), len(self.data)
+        if n < length:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), []
+        window = length - gram + 1
+        at = np.arange(n - gram + 1)
+        grams = substring_hashes(self.prefix, at, at + gram)
+        left = np.repeat(self.begins + self.sizes, self.sizes + 1)[:n] - np.arange(n)
+        at = _least(grams, window, left >= length)
+        whose = np.searchsorted(self.begins, at, side="right") - 1
+        begin, end = self.begins[whose], (self.begins + self.sizes)[whose]
+        low, high = np.maximum(at - window + 1, begin), np.minimum(at + length, end)
+        around = [
+            hashlib.blake2b(self.text[a:b], digest_size=16, salt=(i - a).to_bytes(8, "big")).digest() for i, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True)
+        ]
+        return whose, at - begin, grams[at], around
+
+    def passages(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The text of each word anchor, the hash of its gram, and of its windows (a row each; NONE where the text has no such window)."""
+        word = np.concatenate([[False], ~SPACE[self.data], [False]])
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        n = len(starts)
+        if n < PASSAGE:
+            return np.zeros(0, np.int64), np.zeros(0, U), np.zeros((0, len(WINDOWS)), np.int64)
+        firsts = np.searchsorted(starts, self.begins)
+        counts = np.diff(np.append(firsts, n))
+        last = np.repeat(firsts + counts, counts)
+        run = np.concatenate([np.zeros(1, U), np.cumsum(substring_hashes(self.prefix, starts, ends) * powers(BASE, n))])
+        at = np.arange(n - WORD_GRAM + 1)
+        grams = substring_hashes(run, at, at + WORD_GRAM)
+        at = _least(grams, PASSAGE - WORD_GRAM + 1, last - np.arange(n) >= PASSAGE)
+        whose = np.repeat(np.arange(len(firsts)), counts)[at]
+        begin = at[:, None] - np.arange(0, PASSAGE - WORD_GRAM + 1, STEP)
+        there = (begin >= firsts[whose][:, None]) & (begin + WINDOW <= last[at][:, None])
+        inside = np.where(there, begin, 0)
+        windows = substring_hashes(run, inside, inside + WINDOW).view(np.int64)
+        return whose, grams[at], np.where(there, windows, NONE)
 
 
 NONE = np.iinfo(np.int64).min
@@ -113,21 +130,24 @@ ANCHORS = "tk binary, n int, words boolean, at int, gram long, around binary, "
 
 def _anchored(batches, length):
     for batch in batches:
-        seen, out = set(), []
-        for key, part in zip(batch["__tk"], encode(batch["text"]), strict=True):
-            if (key, len(part)) in seen:
-                continue
-            seen.add((key, len(part)))
-            prefix = prefix_hashes(np.frombuffer(part, np.uint8))
-            at, gram, around = anchors(part, prefix, length)
-            if len(at):
-                out.append(pd.DataFrame({"tk": key, "n": len(part), "words": False, "at": at, "gram": gram.view(np.int64), "around": around} | dict.fromkeys(WINDOWS, NONE)))
-            gram, windows = passages(part, prefix)
-            if len(gram):
-                own = dict(zip(WINDOWS, windows.T, strict=True))
-                out.append(pd.DataFrame({"tk": key, "n": len(part), "words": True, "at": -1, "gram": gram.view(np.int64), "around": None} | own))
-        if out:
-            yield pd.concat(out)
+        texts = dict(zip(batch["__tk"], encode(batch["text"]), strict=True))
+        keys, parts = np.array([*texts, None], object)[:-1], list(texts.values())
+        for a, b in blocks(parts):
+            block = _Block(parts[a:b])
+            whose, at, gram, around = block.anchors(length)
+            who, word_gram, windows = block.passages()
+            both, n, m = np.concatenate([whose, who]), len(whose), len(who)
+            yield pd.DataFrame(
+                {
+                    "tk": keys[a + both],
+                    "n": block.sizes[both],
+                    "words": np.repeat([False, True], [n, m]),
+                    "at": np.concatenate([at, np.full(m, -1)]),
+                    "gram": np.concatenate([gram, word_gram]).view(np.int64),
+                    "around": [*around, *[None] * m],
+                }
+                | {w: np.concatenate([np.full(n, NONE), windows[:, i]]) for i, w in enumerate(WINDOWS)}
+            )
 
 
 def _surroundings(batches, length):
