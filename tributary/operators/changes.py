@@ -20,14 +20,14 @@ def last_by_key(rows: DataFrame, keys: Sequence[str], order: str | None) -> Data
 def detect(batch: DataFrame, store: DataFrame, keys: Sequence[str]) -> DataFrame:
     """batch with _change: new, modified or unchanged by content_hash against the store (keys, content_hash)."""
     old = store.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("content_hash").alias("__hash"))
-    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     change = F.when(F.col("__hash").isNull(), "new").when(F.col("__hash") == F.col("content_hash"), "unchanged").otherwise("modified")
     return batch.join(old, same, "left").withColumn("_change", change).select(*batch.columns, "_change")
 
 
 def deleted(batch: DataFrame, store: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of the store without a row in the batch."""
-    return store.join(batch.select(*keys), list(keys), "left_anti")
+    return _without(store, batch, keys)
 
 
 def updated_store(batch: DataFrame, store: DataFrame, keys: Sequence[str], stamp: Column) -> DataFrame:
@@ -85,17 +85,25 @@ def warnings(counts: DataFrame) -> DataFrame:
 
 def delta(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What turns old into new: new's changed and added rows with _op upsert, and deleted keys with _op delete."""
+    kinds, there = dict(new.dtypes), set(old.columns)
     names = [c for c in new.columns if c not in keys]
-    hashed = lambda df: df.withColumn("__h", F.xxhash64(*names))
-    before = hashed(old).select(*keys, F.col("__h").alias("__old"))
-    changed = hashed(new).join(before, list(keys), "left").where(F.col("__old").isNull() | (F.col("__h") != F.col("__old"))).select(*new.columns, F.lit("upsert").alias("_op"))
-    gone = old.select(*keys).join(new.select(*keys), list(keys), "left_anti").withColumn("_op", F.lit("delete"))
+    row = lambda have: F.struct(*[(F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in names])
+    before = old.select(*[F.col(k).alias(f"__{k}") for k in keys], row(there).alias("__old"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    changed = new.withColumn("__new", row(kinds)).join(before, same, "left").where(~F.col("__new").eqNullSafe(F.col("__old"))).select(*new.columns, F.lit("upsert").alias("_op"))
+    gone = _without(old.select(*keys), new, keys).withColumn("_op", F.lit("delete"))
     return changed.unionByName(gone, allowMissingColumns=True)
 
 
+def _without(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows whose keys (nulls equal nulls) are not among those of others."""
+    other = others.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    return rows.join(other, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_anti")
+
+
 def apply(base: DataFrame, patch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """base without the patch's keys, and the patch's upserts."""
-    rest = base.join(patch.select(*keys).distinct(), list(keys), "left_anti")
+    rest = _without(base, patch, keys)
     return rest.unionByName(patch.where("_op = 'upsert'").drop("_op"), allowMissingColumns=True)
 
 

@@ -45,19 +45,26 @@ def impact(edges: DataFrame, start: DataFrame, types: DataFrame, deleted: bool =
 
 
 def paths(edges: DataFrame, start, end, depth: int = 10, most: int | None = None, shortest: bool = False) -> DataFrame:
-    """(path, length) of the simple paths from one node to another; with shortest, of the first of the shortest."""
+    """(path, length) of the simple paths from one node to another; with shortest, of the first of the shortest.
+
+    Paths grow by one step at a time from nodes that can still reach the end in what is left of
+    `depth`; with `most`, steps end once so many are found, since later ones are longer.
+    """
     edges = _clean(edges)
+    goal = edges.sparkSession.createDataFrame([(end,)], edges.select(F.col("source").alias("id")).schema)
+    near = reach(edges, goal, depth, upstream=True).select(F.col("id").alias("target"), "distance").union(goal.select("id", F.lit(0)))
+    edges = cut(edges.join(near, "target"))
     front = edges.sparkSession.createDataFrame([(start, [start])], edges.select(F.col("source").alias("id"), F.array("source").alias("path")).schema)
     found = front.where("false").withColumn("length", F.lit(0))
     for step in range(1, depth + 1):
-        front = front.join(edges, F.col("id") == F.col("source")).where(~F.array_contains("path", F.col("target")))
+        front = front.join(edges, F.col("id") == F.col("source")).where(~F.array_contains("path", F.col("target"))).where(F.col("distance") <= depth - step)
         front = front.select(F.col("target").alias("id"), F.array_append("path", F.col("target")).alias("path"))
         if shortest:
             front = front.groupBy("id").agg(F.min("path").alias("path"))
         front = cut(front)
         here = front.where(F.col("id") == end).withColumn("length", F.lit(step))
         found = found.union(here)
-        if shortest and not here.isEmpty():
+        if shortest and not here.isEmpty() or most and found.count() >= most:
             break
         front = front.where(F.col("id") != end)
         if front.isEmpty():
@@ -103,9 +110,8 @@ def levels(edges: DataFrame) -> DataFrame:
     return stuck if out is None else out.union(stuck)
 
 
-def cyclic(edges: DataFrame) -> DataFrame:
+def _peeled(rest: DataFrame) -> DataFrame:
     """Edges that lie on a cycle or between cycles: what is left when roots and leaves are peeled off."""
-    rest = _clean(edges)
     while True:
         inner = rest.join(rest.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(rest.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
         inner = cut(inner)
@@ -114,6 +120,52 @@ def cyclic(edges: DataFrame) -> DataFrame:
         rest = inner
 
 
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (id, label) after every node has taken the least label of all nodes with a way to it."""
+    while True:
+        low = edges.join(labels, F.col("source") == F.col("id")).groupBy("target").agg(F.min("label").alias("low"))
+        new = cut(labels.join(low, F.col("id") == F.col("target"), "left").select("id", F.least("label", "low").alias("label"), F.col("label").alias("old")))
+        labels = new.select("id", "label")
+        if new.where("label <> old").isEmpty():
+            return labels
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every node on a cycle: nodes with ways to each other share the least id among them.
+
+    Each node takes the least id that has a way to it; those of one colour that also have a way to
+    the colour's own node are a component. They go, and the rest is peeled and coloured again.
+    """
+    rest, found = _peeled(_clean(edges)), None
+    while not rest.isEmpty():
+        nodes = rest.select(F.col("source").alias("id")).union(rest.select("target")).distinct()
+        colours = _spread(cut(nodes.withColumn("label", F.col("id"))), rest)
+        inside = rest.join(colours.toDF("source", "a"), "source").join(colours.toDF("target", "b"), "target").where("a = b")
+        inside = cut(inside.select("source", "target"))
+        front = cut(colours.where("id = label"))
+        seen = front
+        while not front.isEmpty():
+            near = inside.join(front, F.col("target") == F.col("id")).select(F.col("source").alias("id"), "label").distinct()
+            front = cut(near.join(seen.select("id"), "id", "left_anti"))
+            seen = cut(seen.union(front))
+        found = seen if found is None else cut(found.union(seen))
+        gone = seen.select("id")
+        left = rest.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
+        rest = _peeled(cut(left.select("source", "target")))
+    if found is None:
+        found = edges.select(F.col("source").alias("id"), F.col("source").alias("label")).where("false")
+    here = edges.where("source = target").select(F.col("source").alias("id"))
+    sizes = found.groupBy("label").agg(F.count("*").alias("n"))
+    # a node by itself is a component only if it leads to itself
+    return found.join(sizes, "label").join(here.distinct().withColumn("self", F.lit(True)), "id", "left").where("n > 1 or self").select("id", F.col("label").alias("component"))
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """Edges that lie on a cycle: both ends are in one strong component."""
+    of = strong_components(edges)
+    return edges.select("source", "target").distinct().join(of.toDF("source", "a"), "source").join(of.toDF("target", "b"), "target").where("a = b").select("source", "target")
+
+
 def roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("id")).distinct().join(edges.select(F.col("target").alias("id")), "id", "left_anti")
 

@@ -181,22 +181,31 @@ def alerts(metrics: DataFrame, rules: Sequence[dict]) -> DataFrame:
 
 
 def cooled(fired: DataFrame, keys: Sequence[str], stamp: str, minutes: int) -> DataFrame:
-    """Alerts without another of their key in the minutes before: the start of each burst."""
-    before = F.lag(stamp).over(Window.partitionBy(*keys).orderBy(stamp))
-    gap = F.timestamp_diff("SECOND", before, F.col(stamp))
-    return fired.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") >= minutes * 60)).drop("__gap")
+    """Alerts that are sent: one is skipped if the last of its key that was not skipped is less than so many minutes old."""
+    return throttled(fired, keys, stamp, 1, minutes * 60).where("sent").drop("sent")
 
 
-def throttled(fired: DataFrame, key: str, stamp: str, most: int, seconds: int) -> DataFrame:
+def throttled(fired: DataFrame, keys: str | Sequence[str], stamp: str, most: int, seconds: int) -> DataFrame:
     """fired with sent: at most `most` sends of a key in any trailing window. What counts is what was sent.
 
-    A key's rows are cut where it was silent for longer than the window, so no long history meets in one task.
+    A key's rows are cut where it was silent for longer than the window: first by the buckets of one
+    window's length in which it fired (a partial aggregate), since two empty buckets apart nothing
+    can count, then by the gaps inside such a stretch. So only what hangs together meets in one task.
     """
     import pandas as pd
 
-    window = Window.partitionBy(key).orderBy(stamp)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    bucket = F.floor(F.unix_micros(F.col(stamp).cast("timestamp")) / (seconds * 1_000_000)).cast("long")
+    rows = fired.withColumn("__bucket", bucket)
+    busy = rows.groupBy(*keys, "__bucket").agg(F.lit(1).alias("__one"))
+    order = Window.partitionBy(*keys).orderBy("__bucket")
+    apart = F.coalesce((F.col("__bucket") - F.lag("__bucket").over(order) > 1).cast("int"), F.lit(0))
+    stretch = busy.withColumn("__apart", apart).withColumn("__stretch", F.sum("__apart").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__one", "__apart")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "__bucket"]]
+    rows = rows.alias("a").join(stretch.alias("b"), same).select(*[F.col(f"a.`{c}`") for c in fired.columns], "b.__stretch")
+    window = Window.partitionBy(*keys, "__stretch").orderBy(stamp)
     gap = F.timestamp_diff("SECOND", F.lag(stamp).over(window), F.col(stamp)) > seconds
-    pieces = fired.withColumn("__piece", F.sum(gap.cast("int")).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = rows.withColumn("__piece", F.coalesce(F.sum(gap.cast("int")).over(window.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
 
     def send(rows: pd.DataFrame) -> pd.DataFrame:
         rows, kept, sent = rows.sort_values(stamp, kind="stable"), [], []
@@ -205,7 +214,7 @@ def throttled(fired: DataFrame, key: str, stamp: str, most: int, seconds: int) -
             sent.append(len(kept) < most)
             if sent[-1]:
                 kept.append(at)
-        return rows.drop(columns="__piece").assign(sent=sent)
+        return rows.drop(columns=["__stretch", "__piece"]).assign(sent=sent)
 
     kinds = ", ".join(f"`{n}` {k}" for n, k in fired.dtypes)
-    return pieces.withColumn("__piece", F.coalesce("__piece", F.lit(0))).groupBy(key, "__piece").applyInPandas(send, f"{kinds}, sent boolean")
+    return pieces.groupBy(*keys, "__stretch", "__piece").applyInPandas(send, f"{kinds}, sent boolean")

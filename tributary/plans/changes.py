@@ -102,9 +102,14 @@ def diff_fields(spark: SparkSession, d: str) -> DataFrame:
     return c.field_counts(c.diff(docs, _second(docs), ["doc_id"]))
 
 
+def _moved(docs: DataFrame) -> DataFrame:
+    """docs with a new key for every second one."""
+    return docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 1, F.col("doc_id") + 2_000_000_000).otherwise(F.col("doc_id")))
+
+
 def diff_warnings(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    return c.warnings(c.summary(c.diff(docs.where("doc_id % 3 > 0"), _second(docs).where("doc_id % 2 = 0"), ["doc_id"])))
+    return c.warnings(c.summary(c.diff(docs, _moved(_second(docs)), ["doc_id"])))
 
 
 def applied_delta(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +190,7 @@ ORACLE = {
     "diff_summary": f"""{_CHANGES}, k AS (SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'deleted') AS deleted, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'unchanged') AS unchanged FROM ch)
         SELECT *, added + deleted + modified AS total_changes, deleted + modified + unchanged AS "before", added + modified + unchanged AS "after", round((added + deleted + modified) * 100.0::DOUBLE / greatest(deleted + modified + unchanged, added + modified + unchanged), 2) AS change_rate FROM k""",
     "diff_fields": f"{_CHANGES}, f AS (SELECT unnest(string_split(fields, ',')) AS f FROM ch WHERE change = 'modified') SELECT split_part(f, ':', 1) AS field, split_part(f, ':', 2) AS change, count(*) AS n FROM f GROUP BY ALL",
-    "diff_warnings": f"""WITH {_SECOND}, a AS (SELECT * FROM docs WHERE doc_id % 3 > 0), b AS (SELECT * FROM second WHERE doc_id % 2 = 0),
+    "diff_warnings": f"""WITH {_SECOND}, a AS (SELECT * FROM docs), b AS (SELECT * REPLACE (CASE WHEN doc_id % 2 = 1 THEN doc_id + 2000000000 ELSE doc_id END AS doc_id) FROM second),
         k AS (SELECT count(*) FILTER (a.doc_id IS NULL) AS added, count(*) FILTER (b.doc_id IS NULL) AS deleted, count(*) FILTER (a.text <> b.text OR a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AND a.lang IS DISTINCT FROM b.lang) AS modified, greatest(count(a.doc_id), count(b.doc_id))::DOUBLE AS n FROM a FULL JOIN b ON a.doc_id = b.doc_id),
         s AS (SELECT 'many_total_changes' AS warning, (added + deleted + modified) / n AS share, 0.5 AS bound FROM k UNION ALL SELECT 'many_deleted', deleted / n, 0.3 FROM k UNION ALL SELECT 'many_added', added / n, 0.8 FROM k)
         SELECT warning, round(share, 4) AS share FROM s WHERE share > bound""",

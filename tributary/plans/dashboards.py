@@ -264,8 +264,13 @@ ORACLE = {
         FROM s JOIN f USING (source_id)""",
     "alert_hits": f"""WITH {RUNS}, s AS ({_SOURCES}), h AS (SELECT 'slow' AS rule, 'warning' AS severity FROM s WHERE mean_ms > 20 UNION ALL SELECT 'failing', 'error' FROM s WHERE success_rate < 18
         UNION ALL SELECT 'odd', 'info' FROM s WHERE regexp_matches(source_id::VARCHAR, '^1.3$')) SELECT rule, severity, count(*) AS sources FROM h GROUP BY ALL""",
-    "alert_bursts": f"""WITH {RUNS}, g AS (SELECT source_id, started_at, lag(started_at) OVER (PARTITION BY source_id ORDER BY started_at) AS b FROM runs WHERE status = 'failed')
-        SELECT source_id, count(*) AS bursts FROM g WHERE b IS NULL OR floor(epoch_us(started_at - b) / 1000000) >= 36000 GROUP BY source_id""",
+    "alert_bursts": f"""WITH RECURSIVE {RUNS}, f AS (SELECT source_id, started_at AS t, row_number() OVER (PARTITION BY source_id ORDER BY started_at) AS i FROM runs WHERE status = 'failed'),
+        s AS (SELECT source_id, i, t FROM f WHERE i = 1 UNION ALL SELECT f.source_id, min(f.i), min(f.t) FROM s JOIN f ON f.source_id = s.source_id AND f.i > s.i AND f.t >= s.t + INTERVAL 10 HOUR GROUP BY f.source_id)
+        SELECT source_id, count(*) AS bursts FROM s GROUP BY source_id""",
+    "alert_throttle": f"""WITH RECURSIVE {RUNS}, f AS (SELECT source_id, started_at AS t, row_number() OVER (PARTITION BY source_id ORDER BY started_at) AS i FROM runs WHERE status = 'failed'),
+        s AS (SELECT source_id, i, t, NULL::TIMESTAMP AS before FROM f WHERE i = 1 UNION ALL
+              SELECT f.source_id, min(f.i), min(f.t), min(s.t) FROM s JOIN f ON f.source_id = s.source_id AND f.i > s.i AND (s.before IS NULL OR f.t >= s.before + INTERVAL 1 DAY) GROUP BY f.source_id),
+        c AS (SELECT source_id, count(*) AS sent FROM s GROUP BY source_id) SELECT source_id, sent, count(*) AS fired FROM f JOIN c USING (source_id) GROUP BY source_id, sent""",
     "time_histogram": f"""WITH {RUNS} SELECT status, le::DOUBLE AS le, count(*) FILTER (le IS NULL OR ms <= le) AS n FROM runs, (VALUES (1), (5), (10), (25), (50), (NULL)) b(le) GROUP BY ALL""",
     "metric_lines": f"""WITH {RUNS} SELECT 'runs_total{{status="' || status || '",category="' || category || '"}} ' || count(*) AS line FROM runs GROUP BY status, category""",
     "review_facets": f"""WITH {REVIEWS} SELECT count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'rejected') AS rejected,

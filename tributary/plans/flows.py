@@ -32,7 +32,7 @@ def page_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def export_rows(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").where("o_orderkey % 100 = 0")
+    orders = table(spark, d, "orders")
     shaped = orders.select(
         F.col("o_orderkey").alias("_id"), F.struct("o_custkey", F.struct("o_orderstatus").alias("state")).alias("of"), F.concat(F.lit("="), "o_orderpriority").alias("priority"), (F.col("o_orderkey") % 200 == 0).alias("even"), "o_orderdate",
         F.array("o_orderstatus", "o_orderpriority").alias("parts"), F.when(F.col("o_orderkey") % 300 == 0, "x").alias("gap"),
@@ -97,7 +97,7 @@ def stream_hours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_throttle(spark: SparkSession, d: str) -> DataFrame:
-    sent = ev.throttled(_changes(spark, d).where("operation = 'delete'"), "user_id", "ts", 2, 86_400)
+    sent = ev.throttled(_changes(spark, d).where("operation = 'delete'"), "user_id", "ts", 2, 86_400, "40 days")
     return ev.drain(sent, scratch(spark)).groupBy("user_id").agg(F.count_if("sent").alias("sent"), F.count("*").alias("fired"))
 
 
@@ -119,7 +119,7 @@ _OPERATION = "CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'del
 ORACLE = {
     "page_languages": """SELECT nullif(regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1), '') AS language, nullif(regexp_extract(html, '(?i)<!doctype [a-z]+>', 0), '') AS kind, count(*) AS n FROM pages GROUP BY ALL""",
     "export_rows": """SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS of_o_custkey, o_orderstatus AS of_state_o_orderstatus, '''=' || o_orderpriority AS priority, CASE WHEN o_orderkey % 200 = 0 THEN 'TRUE' ELSE 'FALSE' END AS even,
-        strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, '["' || o_orderstatus || '","' || o_orderpriority || '"]' AS parts, CASE WHEN o_orderkey % 300 = 0 THEN 'x' ELSE '' END AS gap FROM orders WHERE o_orderkey % 100 = 0""",
+        strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, '["' || o_orderstatus || '","' || o_orderpriority || '"]' AS parts, CASE WHEN o_orderkey % 300 = 0 THEN 'x' ELSE '' END AS gap FROM orders""",
     "category_tables": "SELECT CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN lower(c_mktsegment) ELSE 'generic' END AS table_name, count(*) AS n FROM customer GROUP BY 1",
     "csv_round_trip": "SELECT s_suppkey::DOUBLE AS key, s_name AS name, s_acctbal AS balance FROM supplier",
     "stream_events": f"""WITH c AS (SELECT {_OPERATION} AS operation, user_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
@@ -129,5 +129,9 @@ ORACLE = {
         SELECT user_id, count(*) AS events, count(*) FILTER (a) AS invalid, (count(*) FILTER (a) + count(*) FILTER (b))::BIGINT AS issues FROM c GROUP BY user_id""",
     "stream_first_seen": "SELECT event_id FROM events",
     "stream_hours": f"""SELECT strftime(ts, '%Y-%m-%d') AS day, {_OPERATION} AS operation, count(*)::BIGINT AS n, count(DISTINCT date_trunc('hour', ts)) AS hours FROM events GROUP BY ALL""",
+    "stream_throttle": """WITH RECURSIVE f AS (SELECT user_id, ts AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events WHERE event_type = 'error'),
+        s AS (SELECT user_id, i, t, NULL::TIMESTAMP AS before FROM f WHERE i = 1 UNION ALL
+              SELECT f.user_id, min(f.i), min(f.t), min(s.t) FROM s JOIN f ON f.user_id = s.user_id AND f.i > s.i AND (s.before IS NULL OR f.t >= s.before + INTERVAL 1 DAY) GROUP BY f.user_id),
+        c AS (SELECT user_id, count(*) AS sent FROM s GROUP BY user_id) SELECT user_id, sent, count(*) AS fired FROM f JOIN c USING (user_id) GROUP BY user_id, sent""",
     "stream_dead_letters": """SELECT 'crawl' AS topic, 'out of order' AS error, 3 AS retry_count, count(*) AS n FROM events WHERE event_type = 'error' UNION ALL SELECT 'data', NULL, NULL, count(*) FROM events WHERE event_type <> 'error'""",
 }

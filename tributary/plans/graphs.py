@@ -94,9 +94,13 @@ def lineage_upstream(spark: SparkSession, d: str) -> DataFrame:
     return lin.reach(_edges(spark, d), _start(spark, 9_800), 10, upstream=True)
 
 
-def impact_levels(spark: SparkSession, d: str) -> DataFrame:
+def impact(spark: SparkSession, d: str) -> DataFrame:
     types = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "report").otherwise("table").alias("type"))
-    return lin.impact(_edges(spark, d), _start(spark, 40), types, depth=4).groupBy("type", "distance", "level").agg(F.count("*").alias("n"))
+    return lin.impact(_edges(spark, d), _start(spark, 40), types, depth=4)
+
+
+def impact_levels(spark: SparkSession, d: str) -> DataFrame:
+    return impact(spark, d).groupBy("type", "distance", "level").agg(F.count("*").alias("n"))
 
 
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +136,8 @@ def cycles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey")
     ring = table(spark, d, "nation").select(k.cast("long").alias("source"), F.when(k % 5 == 4, k - 4).otherwise(k + 1).cast("long").alias("target")).where("source < 20")
     tail = table(spark, d, "nation").where(k >= 20).select(k.cast("long").alias("source"), (k - 20).cast("long").alias("target"))
-    return lin.cyclic(ring.union(tail))
+    bridge = table(spark, d, "nation").where(k % 5 == 2).where(k < 15).select(k.cast("long").alias("source"), (k + 5).cast("long").alias("target"))
+    return lin.cyclic(ring.union(tail).union(bridge))
 
 
 def inferred_edges(spark: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tributary.plans import changes, checks, dashboards, flows, graphs, order_summary, transforms, workflows
+from tributary.plans import changes, checks, dashboards, flows, graphs, history, order_summary, transforms, workflows
 
-MODULES = [order_summary, transforms, dashboards, checks, changes, graphs, flows, workflows]
+MODULES = [order_summary, transforms, dashboards, checks, changes, graphs, flows, workflows, history]
 FLAGSHIP = "order_summary"
 
 

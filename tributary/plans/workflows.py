@@ -73,7 +73,7 @@ def version_log(spark: SparkSession, d: str) -> DataFrame:
 def best_cases(spark: SparkSession, d: str) -> DataFrame:
     errors = table(spark, d, "part").select(F.col("p_partkey").alias("error_id"), F.col("p_name").alias("pattern"), F.col("p_brand").alias("category"))
     k = F.col("p_partkey")
-    cases = table(spark, d, "part").where(k % 20 == 0).select(k.alias("case_id"), F.col("p_name").alias("pattern"), F.col("p_brand").alias("category"), ((k % 9) / 10.0).alias("success_rate"), F.col("p_size").alias("success_count"))
+    cases = table(spark, d, "part").select(k.alias("case_id"), F.col("p_name").alias("pattern"), F.col("p_brand").alias("category"), ((k % 9) / 10.0).alias("success_rate"), F.col("p_size").alias("success_count"))
     return w.best_cases(errors, cases)
 
 
@@ -122,8 +122,9 @@ ORACLE = {
     "activity_timeline": f"{_HISTORY} SELECT strftime(t, '%Y-%m-%d %H:00') AS bucket, count(*) AS entries, count(DISTINCT actor) AS actors, array_to_string(list_sort(list(DISTINCT action)), ',') AS actions FROM h GROUP BY 1",
     "history_totals": f"""{_HISTORY}, g AS (SELECT 'action' AS "by", action AS value, count(*) AS n, count(*) FILTER (NOT success) AS failed FROM h GROUP BY action), a AS (SELECT 'actor' AS "by", actor AS value, count(*) AS n, count(*) FILTER (NOT success) AS failed FROM h GROUP BY actor ORDER BY n DESC, value LIMIT 5)
         SELECT * FROM g UNION ALL SELECT * FROM a""",
-    "best_cases": """WITH c AS (SELECT p_partkey AS case_id, p_name, p_brand, p_size FROM part WHERE p_partkey % 20 = 0 AND (p_partkey % 9) / 10.0::DOUBLE >= 0.6)
-        SELECT e.p_partkey AS error_id, arg_max(case_id, row(c.p_size, case_id)) AS case_id FROM part e JOIN c ON e.p_name = c.p_name OR e.p_brand = c.p_brand GROUP BY 1""",
+    "best_cases": """WITH c AS (SELECT p_partkey AS case_id, p_name, p_brand, p_size FROM part WHERE (p_partkey % 9) / 10.0::DOUBLE >= 0.6),
+        g AS (SELECT p_name AS k, max(row(p_size, case_id)) AS b FROM c GROUP BY 1 UNION ALL SELECT p_brand, max(row(p_size, case_id)) FROM c GROUP BY 1)
+        SELECT e.p_partkey AS error_id, arg_max(b[2], b) AS case_id FROM part e JOIN g ON k IN (p_name, p_brand) GROUP BY 1""",
     "order_totals": """WITH o AS (SELECT o_orderpriority, CAST(round(o_totalprice) AS BIGINT) AS s, o_orderstatus = 'F' AS ok, strftime(o_orderdate, '%Y-%m-%d') AS t FROM orders)
         SELECT o_orderpriority, count(*) AS n, count(*) FILTER (ok) AS good, coalesce(sum(s) FILTER (ok), 0)::BIGINT AS bytes, round(avg(s) FILTER (ok), 2) AS mean_bytes, min(t) AS "first", max(t) AS "last" FROM o GROUP BY 1""",
     "source_counters": """WITH r AS (SELECT user_id % 30 AS source_id, count(*) FILTER (event_type = 'view') AS a, count(*) FILTER (event_type = 'error') AS b, count(*) FILTER (event_type NOT IN ('view', 'error')) AS c FROM events GROUP BY 1),

@@ -98,33 +98,34 @@ def by_category(rows: DataFrame, category: str, tables: dict[str, list[str]], de
     return {name: rows.where((~known | (F.col(category) == name)) if name == default else (F.col(category) == name)).select(*columns) for name, columns in tables.items()}
 
 
-def _pointer(spark: SparkSession, path: str):
+def _pointers(spark: SparkSession, path: str):
+    """The folder of pointers, its file system, and the names in it in order: <number>-<snapshot>."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
-    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+    return place, fs, names
 
 
 def publish(rows: DataFrame, path: str, compression: str = "zstd") -> str:
-    """Write rows as the table's next snapshot and point to it; returns its folder."""
+    """Write rows as the table's next snapshot and point to it; returns its folder.
+
+    A pointer is the name of an empty file, made after the snapshot is whole. Nothing is
+    overwritten, so a reader or a crash in between still has the pointer before.
+    """
     spark = rows.sparkSession
     name = f"s-{uuid.uuid4().hex}"
     rows.write.option("compression", compression).parquet(f"{path}/{name}")
-    place, fs = _pointer(spark, path)
-    stream = fs.create(place, True)
-    stream.write(bytearray(name.encode()))
-    stream.close()
+    place, fs, names = _pointers(spark, path)
+    number = int(names[-1].partition("-")[0]) + 1 if names else 1
+    fs.createNewFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place, f"{number:012d}-{name}"))
     return f"{path}/{name}"
 
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The table's current snapshot; None if it has none yet."""
-    place, fs = _pointer(spark, path)
-    if not fs.exists(place):
-        return None
-    stream = fs.open(place)
-    name = bytes(b & 255 for b in stream.readAllBytes()).decode()
-    stream.close()
-    return spark.read.parquet(f"{path}/{name}")
+    names = _pointers(spark, path)[2]
+    return spark.read.parquet(f"{path}/{names[-1].partition('-')[2]}") if names else None
 
 
 def merge_into(batch: DataFrame, path: str, keys: list[str], stamp: Column, order: str | None = None) -> dict[str, int]:

@@ -32,19 +32,46 @@ def map_columns(columns: Sequence[str], fields: Sequence[dict]) -> dict[str, str
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True, encoding: str = "utf-8", schema: str | None = None, columns: Sequence[str] | None = None, skip: int = 0) -> DataFrame:
-    """A delimited file as strings (or by a schema). Lines that do not fit are dropped; skip counts lines before the header."""
-    reader = spark.read.option("sep", sep).option("encoding", encoding).option("multiLine", "true").option("mode", "DROPMALFORMED")
+    """A delimited file as strings (or by a schema). Lines that do not fit are dropped; count_malformed counts them.
+
+    skip: lines of every file before its header; such files are read a line at a time, so their
+    values hold no line breaks, and they are UTF-8.
+    """
     if skip:
-        lines = spark.read.text(path, wholetext=False).select(F.monotonically_increasing_id().alias("i"), "value")
-        # the lines to skip are the first of the file's first partition
-        kept = lines.where(F.col("i") >= skip).orderBy("i").select("value").rdd.map(lambda r: r[0])
-        rows = spark.read.option("sep", sep).csv(kept, header=header, schema=schema)
+        if encoding.lower().replace("-", "") not in ("utf8", "usascii"):
+            raise ValueError("files with lines to skip must be UTF-8")
+        rows = _skipped(spark, path, sep, header, schema, skip)
     else:
-        rows = reader.csv(path, header=header, schema=schema)
+        rows = spark.read.option("sep", sep).option("encoding", encoding).option("multiLine", "true").option("mode", "DROPMALFORMED").csv(path, header=header, schema=schema)
     rows = rows.toDF(*[clean_name(c) for c in rows.columns]) if header and schema is None else rows
     return rows.select(*columns) if columns else rows
 
 
+def _skipped(spark: SparkSession, path: str, sep: str, header: bool, schema: str | None, skip: int) -> DataFrame:
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), "value")
+    # ids follow one another within a block of a file, so its first lines are those from the least id on
+    first = lines.where("block = 0").groupBy("file").agg(F.min("i").alias("first"))
+    after = lines.join(first, "file").where((F.col("block") > 0) | (F.col("i") >= F.col("first") + skip))
+    head = after.where((F.col("block") == 0) & (F.col("i") == F.col("first") + skip)).orderBy("file").select("value").first()
+    if head is None:
+        return spark.createDataFrame([], schema or "unnamed string")
+    cells = F.from_csv(F.lit(head[0]), F.lit(", ".join(f"c{i} string" for i in range(head[0].count(sep) + 1))), {"sep": sep})
+    names = list(spark.range(1).select(cells.alias("r")).select("r.*").first())
+    while names and names[-1] is None:  # separators inside quotes leave fields over
+        names.pop()
+    if header:
+        after = after.where((F.col("block") > 0) | (F.col("i") > F.col("first") + skip))
+    kinds = schema or ", ".join(f"`{n or f'_c{i}'}` string" if header else f"_c{i} string" for i, n in enumerate(names))
+    row = F.from_csv("value", F.lit(f"{kinds}, _bad string"), {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return after.where(F.length("value") > 0).select(row.alias("r")).where("r._bad is null").select("r.*").drop("_bad")
+
+
+def count_malformed(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True, encoding: str = "utf-8") -> int:
+    """How many records do not fit the schema, which readers drop."""
+    reader = spark.read.option("sep", sep).option("encoding", encoding).option("multiLine", "true").option("columnNameOfCorruptRecord", "_bad")
+    return reader.csv(path, header=header, schema=f"{schema}, _bad string").select(F.count("_bad")).first()[0]
+
+
 def read_tabs(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_delimited(spark, path, sep="\t", **options)
 

@@ -81,27 +81,37 @@ def windowed(events: DataFrame, stamp: str, size: str, delay: str, *by: str, sli
     return marked.groupBy(F.window(stamp, size, slide) if slide else F.window(stamp, size), *by).agg(F.count("*").alias("n"))
 
 
-def throttled(events: DataFrame, key: str, stamp: str, most: int, seconds: int) -> DataFrame:
-    """(key, stamp, sent): at most `most` sends of a key in any trailing window; only sends count. State is the sends of one window."""
+def throttled(events: DataFrame, key: str, stamp: str, most: int, seconds: int, delay: str = "1 day") -> DataFrame:
+    """(key, stamp, sent): at most `most` sends of a key in any trailing window; only sends count.
+
+    A key's events of one micro-batch are taken in order of time, whatever Arrow batches they come
+    in; events later than `delay` are dropped. State is the sends of one window, and goes when the
+    watermark has passed the last of them by a window.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     kinds = dict(events.dtypes)
 
     def step(k, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            out = []
-            for at in batch[stamp].sort_values():
-                now = at.timestamp()
-                kept = [x for x in kept if now - x < seconds]
-                out.append((k[0], at, len(kept) < most))
-                if out[-1][2]:
-                    kept.append(now)
-            yield pd.DataFrame(out, columns=[key, stamp, "sent"])
+        times = pd.concat([batch[stamp] for batch in batches]).sort_values()
+        out = []
+        for at in times:
+            now = at.timestamp()
+            kept = [x for x in kept if now - x < seconds]
+            out.append((k[0], at, len(kept) < most))
+            if out[-1][2]:
+                kept.append(now)
         state.update((kept,))
+        state.setTimeoutTimestamp(max(int((max(kept, default=0.0) + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, stamp, "sent"])
 
-    return events.select(key, stamp).groupBy(key).applyInPandasWithState(step, f"`{key}` {kinds[key]}, `{stamp}` {kinds[stamp]}, sent boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select(key, F.col(stamp).cast("timestamp").alias(stamp)).withWatermark(stamp, delay)
+    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kinds[key]}, `{stamp}` timestamp, sent boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def handle(stream: DataFrame, handlers: dict[str, Callable[[DataFrame], None]], out: str, checkpoint: str, retries: int = 3, order: Sequence[str] = ("priority", "event_id")):
