@@ -122,35 +122,52 @@ def test_base_scores_count_all_tokens(spark, docs, corpus):
     assert maxent_lm.scores(docs.limit(0)).count() == 0
 
 
-def test_the_class_model_is_a_distribution_and_learns():
+def test_the_model_is_a_distribution_and_learns():
     rng = np.random.default_rng(1)
-    mass = np.ones(maxent_lm.CLASSES) * 10
-    cls = np.tile(np.arange(4), 3_000)
-    symbols, sizes = cls.astype(np.int64), np.full(300, 40)
-    rows = maxent_lm.feature_rows(symbols, sizes)
-    w = maxent_lm.start(mass)
-    before = maxent_lm.class_log_probability(w, rows, cls).mean()
-    maxent_lm.follow(w, np.zeros(maxent_lm.FEATURES), np.zeros(maxent_lm.FEATURES, int), rows, cls)
-    assert maxent_lm.class_log_probability(w, rows, cls).mean() > before + 1
-    one = rows[:, rng.integers(len(cls), size=1)]
-    every = np.repeat(one, maxent_lm.CLASSES, axis=1)
-    assert np.exp(maxent_lm.class_log_probability(w, every, np.arange(maxent_lm.CLASSES))).sum() == pytest.approx(1, abs=1e-4)
-
-
-def test_the_class_model_keeps_its_classes_and_steps(spark):
-    texts = [(" ".join(f"w{j}" for j in range(63) for _ in range(70 - j)),)]
-    counts = maxent_lm.Counts(maxent_lm.token_counts(spark.createDataFrame(texts, "text string")), 1 << 10)
-    assert sorted(counts.near.columns[1].tolist()) == list(range(64))  # the end and 63 words have a class each
+    size, mass = 1 << 12, rng.integers(1, 50, (maxent_lm.CLASSES, maxent_lm.WIDE)).astype(float)
+    symbols, sizes = np.tile(np.array([3, 40, 700, maxent_lm.KNOWN + 9]), 3_000), np.full(300, 40)
+    rows, wanted = maxent_lm.feature_rows(symbols, sizes, size)
+    w = maxent_lm.start(mass, size)
+    before = maxent_lm.log_probability(w, rows, wanted)
+    cls, member = maxent_lm.members(symbols)
+    assert np.allclose(before, np.log(mass[cls, member] / mass.sum()), atol=1e-4)  # it starts at the frequencies
+    maxent_lm.follow(w, np.zeros(len(w), np.float32), np.zeros(len(w), np.int64), rows, wanted)
+    assert maxent_lm.log_probability(w, rows, wanted).mean() > before.mean() + 2
+    # all classes and members after one history sum to one
+    every = np.concatenate([np.arange(maxent_lm.KNOWN), maxent_lm.KNOWN + np.arange(maxent_lm.CLASSES)])
+    history = np.concatenate([np.array([3, 40, 700, x]) for x in every])
+    rows, wanted = maxent_lm.feature_rows(history, np.full(len(every), 4), size)
+    assert np.exp(maxent_lm.log_probability(w, rows, wanted)[3::4]).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_words_of_one_class_are_told_apart_by_history():
+    # 0 and 1 are members of one class: which of them comes is a matter of the word before
+    symbols, sizes = np.tile(np.array([500, 0, 900, 1]), 4_000), np.full(400, 40)
+    rows, wanted = maxent_lm.feature_rows(symbols, sizes, 1 << 12)
+    w = maxent_lm.start(np.ones((maxent_lm.CLASSES, maxent_lm.WIDE)), 1 << 12)
+    maxent_lm.follow(w, np.zeros(len(w), np.float32), np.zeros(len(w), np.int64), rows, wanted)
+    ends = maxent_lm.feature_rows(np.array([500, 0, 500, 1]), np.array([2, 2]), 1 << 12)
+    good, bad = maxent_lm.log_probability(w, *ends)[1::2]
+    assert good > bad + 1
+
+
+def test_updates_come_every_2048_tokens():
     rng = np.random.default_rng(3)
-    cls = rng.integers(0, maxent_lm.CLASSES, 4_096)
-    rows = maxent_lm.feature_rows(rng.zipf(1.4, 4_096) % 500, np.full(64, 64))
-    once, twice = ((maxent_lm.start(np.ones(maxent_lm.CLASSES)), np.zeros(maxent_lm.FEATURES), np.zeros(maxent_lm.FEATURES, int)) for _ in range(2))
-    maxent_lm.follow(*once, rows, cls)
-    for part in (slice(0, 2_048), slice(2_048, None)):  # an update for every 2,048 tokens
-        maxent_lm.follow(*twice, rows[:, part], cls[part])
+    symbols, sizes = rng.zipf(1.4, 4_096) % 500, np.full(64, 64)
+    rows, wanted = maxent_lm.feature_rows(symbols, sizes, 1 << 12)
+    made = lambda: (maxent_lm.start(np.ones((maxent_lm.CLASSES, maxent_lm.WIDE)), 1 << 12), np.zeros((1 << 12) + maxent_lm.CONSTANTS, np.float32), np.zeros((1 << 12) + maxent_lm.CONSTANTS, np.int64))
+    once, twice = made(), made()
+    maxent_lm.follow(*once, rows, wanted)
+    for part in (slice(0, 2_048), slice(2_048, None)):
+        maxent_lm.follow(*twice, rows[:, :, part], wanted[:, part])
     assert all(np.array_equal(a, b) for a, b in zip(once, twice, strict=True))
 
 
+def test_the_model_does_not_depend_on_partitions(spark, docs):
+    found = [sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["score"]) for r in maxent_lm.scores(docs.repartition(n)).collect()) for n in (1, 5)]
+    assert np.allclose([s for _, s in found[0]], [s for _, s in found[1]])
+
+
 def test_held_out_texts_score_above_the_base(spark):
     rows = [r for r in maxent_lm.op5_maxent_lm(spark, oracle.DATA).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)

@@ -1,24 +1,31 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
 Tokens are the lower-cased words of a text and one end. A token's probability is that of its
-class given the history, times its share of the class. Classes: the end and the most frequent
-words have one each, all other words fall into classes by their last two bytes, so a word's
-class needs no table. A class's share goes by counts plus one, with one more for unknown words.
-
-The class model is a maximum-entropy model over five features hashed into FEATURES rows of
-weights: a constant, the word before, the two words before, and two skip features (the second
-and the third word back). Rare words count by their class there. It starts at the classes'
-own frequencies. Every task then follows its documents' gradients (Adagrad) from the same
+class given the history, times that of the token in its class given the history. There are 256
+classes of 16 members. The KNOWN most frequent tokens are members by themselves, 15 to a class
+in order of frequency; the sixteenth member of a class stands for all other words whose last two
+bytes fall to it, so a word's class needs no table. Among those, a word's share goes by counts
+plus one, with one more for unknown words. The class factor is itself two factors of 16 (the
+class's half bytes), so every softmax is 16 wide and all three are trained.
+
+Each factor is a maximum-entropy model over five features: a constant, the word before, the two
+words before, and two skip features (the second and the third word back), all but the constant
+hashed with what the earlier factors gave into a table of weights, 16 a row. Other words count
+by their class there. The table has a row for about eight different words of the training texts
+(2^14 rows at least, 2^18 at most, 16 MB). Weights start at the tokens' own frequencies. Every
+task then follows its documents' gradients (Adagrad, an update every STEP tokens) from the same
 start, and each row's weights are averaged over the tasks that saw it, by how often they did.
 
 1. Count all tokens of all training documents; counts are a table.
-2. Train on all training documents. Tasks are sized by tokens, so updates stay small beside texts.
+2. Train on all training documents, dealt by a hash of their texts to tasks of about
+   TASK_TOKENS tokens and taken in its order, so the model does not depend on how the input
+   happens to be partitioned. Tasks hand on blocks of rows, so updates stay small beside texts.
 3. Score all documents in sparse batches. The most frequent words (WORDS at most) go to the
    tasks with their counts; documents' other words are joined to the table of counts.
 
 Defined results: a null or empty text is one end; a null doc_id takes part in training; ties in
 frequency go by hash; without training documents every token is unknown; repeated rows count
-and keep a row each.
+and keep a row each; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +40,20 @@ from tributary.llm.store import documents, materialize, tidied
 
 FOLDS, HELD = 7, 2
 WORDS = 1 << 18
-SINGLE, SUFFIXES = 63, 64
-CLASSES = SINGLE + 1 + SUFFIXES
-#: words that count by themselves in a history
-KNOWN = 4_096
-FEATURES = 1 << 14
+WIDE = 16
+CLASSES = WIDE * WIDE
+OTHER = WIDE - 1
+#: tokens that are members of a class by themselves, and count by themselves in a history
+KNOWN = CLASSES * OTHER
+LEAST_FEATURES, MOST_FEATURES = 1 << 14, 1 << 18
+#: rows of weights that a task hands on together
+ROWS = 2_048
+#: rows of the constant: of the first factor, of the second by the first, of the third by the class
+CONSTANTS = 1 + WIDE + CLASSES
 TASK_TOKENS = 2_000_000
-BATCH, STEP = 512, 2_048
+STEP = 2_048
 RATE, CALM = 0.15, 24.0
+ONES = np.ones(WIDE, np.float32)
 END = U(0x5851F42D4C957F2D)
 PAD = KNOWN + CLASSES
 SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], U)
@@ -51,7 +64,7 @@ def _tokens(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, starts, ends, firsts = word_spans(parts)
     words = substring_hashes(prefix_hashes(data), starts, ends)
     last, before = data[ends - 1].astype(U), np.where(ends - starts > 1, data[ends - 2], 0).astype(U)
-    suffix = (mix(last << U(8) | before) % U(SUFFIXES)).astype(np.int16) + np.int16(SINGLE + 1)
+    suffix = (mix(last << U(8) | before) % U(CLASSES)).astype(np.int16)
     at = firsts[1:]
     return np.insert(words, at, END), np.insert(suffix, at, 0), np.diff(firsts) + 1
 
@@ -117,128 +130,145 @@ class Counts:
         least = totals.where(F.col("total") <= words).agg(F.min("n")).first()[0]
         top = counts.where(F.col("n") >= (least if least is not None else 1 << 62)).toPandas()
         top = top.assign(word=top["word"].to_numpy(np.int64).view(U)).sort_values(["n", "word"], ascending=[False, True], kind="stable")
-        own = top[top["word"] != END].head(SINGLE)
-        single = pd.Series(np.arange(1, len(own) + 1), index=own.index)
-        top["own"] = single.reindex(top.index).fillna(top["cls"]).astype(np.int16)
-        mass = np.zeros(CLASSES)
+        near = top.head(KNOWN)
+        rank = np.arange(len(near))
+        # members of every class: their counts plus one; of the last one also one for unknown words
+        mass = np.zeros((CLASSES, WIDE))
         for c, n, v in by_class.itertuples(index=False):
-            mass[c] += n + v
-        for c, n, k in zip(own["cls"], own["n"], single, strict=True):
-            mass[c] -= n + 1
-            mass[k] += n + 1
-        mass[0] = max(mass[0], 1)
-        mass[SINGLE + 1 :] += 1
+            mass[c, OTHER] += n + v
+        np.subtract.at(mass[:, OTHER], near["cls"].to_numpy(np.int64), near["n"].to_numpy(float) + 1)
+        mass[:, OTHER] += 1
+        mass[rank // OTHER, rank % OTHER] = near["n"] + 1
         self.mass = mass
+        self.features = min(max(1 << max(self.types.bit_length() - 3, 0), LEAST_FEATURES), MOST_FEATURES)
         self.lexicon = Lexicon(top["word"].to_numpy(U), top["n"].to_numpy(np.int64))
-        near = top.head(KNOWN)
-        self.near = Lexicon(near["word"].to_numpy(U), np.arange(len(near), dtype=np.int64), near["own"].to_numpy(np.int16))
+        self.near = Lexicon(near["word"].to_numpy(U), rank)
 
-    def symbols(self, hashes: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The class of each token and what it counts as in a history."""
-        at = self.near.find(hashes)
-        known = at >= 0
+    def symbols(self, hashes: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """What each token counts as: its rank if known, KNOWN and its class if not."""
         if not len(self.near.columns[0]):
-            return suffix.astype(np.int64), KNOWN + suffix.astype(np.int64)
-        cls = np.where(known, self.near.columns[1][at], suffix).astype(np.int64)
-        return cls, np.where(known, self.near.columns[0][at], KNOWN + cls)
-
-
-def feature_rows(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Rows of weights of every token's five features; histories end at their text's start."""
-    ends = np.cumsum(sizes)
-    place = np.arange(len(symbols)) - np.repeat(ends - sizes, sizes)
-    back = [np.concatenate([np.full(k, PAD, np.int64), symbols[: len(symbols) - k]]) if k < len(symbols) else np.full(len(symbols), PAD, np.int64) for k in (1, 2, 3)]
-    a, b, c = (np.where(place >= k, x, PAD).astype(U) for k, x in zip((1, 2, 3), back, strict=True))
-    rows = np.empty((5, len(symbols)), np.int64)
-    rows[0] = 0
-    for i, key in enumerate((a, a << U(20) | b, b, c)):
-        rows[i + 1] = 1 + (mix(key + SALTS[i]) % U(FEATURES - 1)).astype(np.int64)
-    return rows
-
-
-def start(mass: np.ndarray) -> np.ndarray:
-    """Weights that give the classes' own frequencies."""
-    weights = np.zeros((FEATURES, CLASSES), np.float32)
-    weights[0] = np.log(np.maximum(mass, 1e-6) / mass.sum())
+            return KNOWN + suffix.astype(np.int64)
+        at = self.near.find(hashes)
+        return np.where(at >= 0, self.near.columns[0][at], KNOWN + suffix)
+
+
+def members(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and member of each token."""
+    known = symbols < KNOWN
+    return np.where(known, symbols // OTHER, symbols - KNOWN), np.where(known, symbols % OTHER, OTHER)
+
+
+def feature_rows(symbols: np.ndarray, sizes: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of weights of every token's five features in each of the three factors, and what the factors are to give; histories end at their text's start."""
+    n, ends = len(symbols), np.cumsum(sizes)
+    place = np.arange(n) - np.repeat(ends - sizes, sizes)
+    a, b, c = (np.where(place >= k, np.concatenate([np.full(min(k, n), PAD, np.int64), symbols[: max(n - k, 0)]]), PAD).astype(U) for k in (1, 2, 3))
+    cls, member = members(symbols)
+    first, second = np.divmod(cls, WIDE)
+    rows = np.empty((3, 5, n), np.int32)
+    keys = [mix(key + SALTS[i]) for i, key in enumerate((a, a << U(20) | b, b, c))]
+    for level, given in enumerate((np.zeros(n, np.int64), 1 + first, 1 + WIDE + cls)):
+        rows[level, 0] = features + given
+        salt = given.astype(U) * SALTS[0]
+        for i, key in enumerate(keys):
+            x = (key ^ salt) * SALTS[1]
+            rows[level, i + 1] = (x >> U(40)).astype(np.int32) & np.int32(features - 1)
+    return rows, np.stack([first, second, member])
+
+
+def start(mass: np.ndarray, features: int) -> np.ndarray:
+    """Weights that give the tokens' own frequencies."""
+    weights = np.zeros((features + CONSTANTS, WIDE), np.float32)
+    classes = mass.sum(axis=1).reshape(WIDE, WIDE)
+    given = np.concatenate([classes.sum(axis=1)[None], classes, mass])
+    weights[features:] = np.log(np.maximum(given, 1e-3) / np.maximum(given.sum(axis=1, keepdims=True), 1e-3))
     return weights
 
 
 def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights.take(rows[1], axis=0)
-    z += weights[0]  # the constant
-    for r in rows[2:]:
-        z += weights.take(r, axis=0)
-    z -= z.max(axis=1, keepdims=True)
-    return z
-
-
-def class_log_probability(weights: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the probability of each token's class."""
-    out = np.empty(len(cls))
-    for i in range(0, len(cls), BATCH):
-        z = _logits(weights, rows[:, i : i + BATCH])
-        own = z[np.arange(len(z)), cls[i : i + BATCH]]
-        out[i : i + BATCH] = own - np.log(np.exp(z, out=z).sum(axis=1))
+    """(factors, tokens, WIDE) sums of weights, small enough for exp."""
+    z = weights.take(rows[:, 0], axis=0)
+    for f in range(1, rows.shape[1]):
+        z += weights.take(rows[:, f], axis=0)
+    return np.minimum(z, 80, out=z)
+
+
+def log_probability(weights: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each token's class and member."""
+    out = np.empty(rows.shape[2])
+    for i in range(0, len(out), STEP):
+        z, want = _logits(weights, rows[:, :, i : i + STEP]), wanted[:, i : i + STEP, None]
+        own = np.take_along_axis(z, want, axis=2)[:, :, 0]
+        out[i : i + STEP] = (own - np.log(np.exp(z, out=z) @ ONES)).sum(axis=0)
     return out
 
 
-def follow(weights: np.ndarray, heat: np.ndarray, seen: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> None:
+def follow(weights: np.ndarray, heat: np.ndarray, seen: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> None:
     """One pass of gradient updates, in place. heat: of each row, the squared gradients so far."""
-    place = np.zeros(FEATURES, np.int64)
-    for i in range(0, len(cls), STEP):
-        part = rows[:, i : i + STEP]
+    place, there = np.zeros(len(weights), np.int64), np.zeros(len(weights), bool)
+    for i in range(0, rows.shape[2], STEP):
+        part = rows[:, :, i : i + STEP]
         p = _logits(weights, part)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), cls[i : i + STEP]] -= 1
-        n = np.bincount(part[1:].ravel(), minlength=FEATURES)
-        n[0] = len(p)
-        used = np.flatnonzero(n)
+        p *= (1 / (p @ ONES))[:, :, None]
+        want = wanted[:, i : i + STEP, None]
+        np.put_along_axis(p, want, np.take_along_axis(p, want, axis=2) - 1, axis=2)
+        flat = part.ravel()
+        there[flat] = True
+        used = np.flatnonzero(there)
+        there[used] = False
         place[used] = np.arange(len(used))
-        flat = place[part[1:]].ravel()
-        grad = np.empty((len(used), CLASSES), np.float32)
-        for c, own in enumerate(np.ascontiguousarray(p.T, np.float64)):  # sums by row, a class at a time
-            grad[:, c] = np.bincount(flat, np.tile(own, len(part) - 1), len(used))
-        grad[0] = p.sum(axis=0)  # the constant
-        heat[used] += np.einsum("ij,ij->i", grad, grad) / CLASSES
-        weights[used] -= grad * (RATE / np.sqrt(heat[used] + CALM / CLASSES))[:, None].astype(np.float32)
-        seen[used] += n[used]
+        flat = place[flat]
+        grad = np.empty((WIDE, len(used)), np.float32)
+        for c, own in enumerate(np.ascontiguousarray(p.transpose(2, 0, 1), np.float64)):  # sums by row, a column at a time
+            grad[c] = np.bincount(flat, np.repeat(own[:, None], part.shape[1], axis=1).ravel(), len(used))
+        grad = np.ascontiguousarray(grad.T)
+        hot = heat[used] + np.einsum("ij,ij->i", grad, grad) / WIDE
+        heat[used] = hot
+        grad *= (RATE / np.sqrt(hot + CALM / WIDE))[:, None]
+        weights[used] -= grad
+        seen[used] += np.bincount(flat, minlength=len(used))
 
 
 def _updated(batches, counts: Counts):
-    weights, heat, seen = start(counts.mass), np.zeros(FEATURES), np.zeros(FEATURES, np.int64)
-    heat[0] = STEP  # the constant starts where it should be
+    size = counts.features + CONSTANTS
+    weights, heat, seen = start(counts.mass, counts.features), np.zeros(size, np.float32), np.zeros(size, np.int64)
+    heat[counts.features :] = STEP  # constants start where they should be
     for batch in batches:
         parts = encode(batch["text"])
         for a, b in blocks(parts):
             hashes, suffix, sizes = _tokens(parts[a:b])
-            cls, symbols = counts.symbols(hashes, suffix)
-            follow(weights, heat, seen, feature_rows(symbols, sizes), cls)
-    used = np.flatnonzero(seen)
-    if len(used):
-        yield pd.DataFrame({"row": used, "n": seen[used], "w": [w.astype(np.float16).tobytes() for w in weights[used]]})
+            follow(weights, heat, seen, *feature_rows(counts.symbols(hashes, suffix), sizes, counts.features))
+    if seen.any():
+        at = range(0, size, ROWS)
+        yield pd.DataFrame({"block": range(len(at)), "n": [seen[i : i + ROWS].tobytes() for i in at], "w": [weights[i : i + ROWS].astype(np.float16).tobytes() for i in at]})
 
 
 def _averaged(batches):
     sums: dict[int, np.ndarray] = {}
-    total: dict[int, int] = {}
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for row, n, w in zip(batch["row"], batch["n"], batch["w"], strict=True):
-            sums[row] = sums.get(row, 0) + np.frombuffer(w, np.float16).astype(np.float64) * n
-            total[row] = total.get(row, 0) + n
+        for block, n, w in zip(batch["block"], batch["n"], batch["w"], strict=True):
+            n = np.frombuffer(n, np.int64).astype(float)
+            w = np.frombuffer(w, np.float16).reshape(-1, WIDE) * n[:, None]
+            sums[block], total[block] = (sums[block] + w, total[block] + n) if block in sums else (w, n)
     if sums:
-        yield pd.DataFrame({"row": list(sums), "w": [(sums[r] / total[r]).astype(np.float32).tobytes() for r in sums]})
+        mean = {b: np.where(total[b][:, None] > 0, sums[b] / np.maximum(total[b], 1)[:, None], np.nan) for b in sums}
+        yield pd.DataFrame({"block": list(mean), "w": [x.astype(np.float32).tobytes() for x in mean.values()]})
 
 
 def train(docs: DataFrame, counts: Counts) -> np.ndarray:
     """The weights, from gradient updates of tasks of about TASK_TOKENS tokens over all of docs (text)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    tasks = docs.select("text").coalesce(max(1, -(-counts.tokens // TASK_TOKENS)))
-    updates = tasks.mapInPandas(tidied(lambda batches: _updated(batches, shared.value)), "row int, n long, w binary")
-    found = updates.repartition("row").mapInPandas(_averaged, "row int, w binary").toPandas()  # at most FEATURES rows
-    weights = start(counts.mass)
-    for row, w in zip(found["row"], found["w"], strict=True):
-        weights[row] = np.frombuffer(w, np.float32)
+    tasks = max(1, -(-counts.tokens // TASK_TOKENS))
+    dealt = docs.select("text", F.xxhash64("text").alias("h")).repartition(tasks, "h").sortWithinPartitions("h", "text").select("text")
+    updates = dealt.mapInPandas(tidied(lambda batches: _updated(batches, shared.value)), "block int, n binary, w binary")
+    found = updates.repartition("block").mapInPandas(tidied(_averaged), "block int, w binary").toPandas()  # the table of weights, 16 MB at most
+    weights = start(counts.mass, counts.features)
+    for block, w in zip(found["block"], found["w"], strict=True):
+        w = np.frombuffer(w, np.float32).reshape(-1, WIDE)
+        here = weights[block * ROWS : (block + 1) * ROWS]
+        here[:] = np.where(np.isnan(w), here, w)
     return weights
 
 
@@ -247,18 +277,19 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base doubl
 
 def _scored(batches, counts: Counts, weights: np.ndarray):
     per_token = np.log10(counts.tokens + counts.types + 1)
-    with np.errstate(divide="ignore"):
-        per_class = np.log10(counts.mass)
+    others = np.log10(np.maximum(counts.mass[:, OTHER], 1))
     for batch in batches:
         parts = encode(batch["text"])
         for a, b in blocks(parts):
             hashes, suffix, sizes = _tokens(parts[a:b])
-            cls, symbols = counts.symbols(hashes, suffix)
-            model = class_log_probability(weights, feature_rows(symbols, sizes), cls) / np.log(10) - per_class[cls]
+            symbols = counts.symbols(hashes, suffix)
+            model = log_probability(weights, *feature_rows(symbols, sizes, counts.features)) / np.log(10)
+            cls, member = members(symbols)
             at = counts.lexicon.find(hashes)
             own = counts.lexicon.columns[0][at] if len(counts.lexicon.columns[0]) else np.zeros(len(at), np.int64)
             known = at >= 0
             share = np.where(known, np.log10(np.where(known, own, 0) + 1), 0)
+            model += np.where(member == OTHER, share - others[cls], 0)
             begins = np.cumsum(sizes) - sizes
             rest: list = [[] for _ in sizes]
             missing = np.flatnonzero(~known)
@@ -277,7 +308,7 @@ def _scored(batches, counts: Counts, weights: np.ndarray):
                     "n_tokens": sizes,
                     "n_known": np.add.reduceat(known.astype(np.int64), begins),
                     "base": np.add.reduceat(share, begins) - sizes * per_token,
-                    "model": np.add.reduceat(share + model, begins),
+                    "model": np.add.reduceat(model, begins),
                     "rest": rest,
                 }
             )
