@@ -92,6 +92,27 @@ def test_capacity_is_the_smallest_feasible(spark):
         assert [r["shard"] for r in sorted(rows, key=lambda r: r["unit"])] == sorted(r["shard"] for r in rows)
 
 
+def test_capacity_is_exact_over_more_groups_than_ranges(spark):
+    import random
+
+    rng = random.Random(4)
+    for count, shards, sizes in ((3_000, 7, lambda: rng.randint(1, 9)), (900, 40, lambda: rng.choice([1, 2, 500])), (2_000, 5, lambda: int(rng.paretovariate(0.8)))):
+        # few ranges of four digits, each with many groups
+        groups = sorted((f"{rng.randrange(8):04x}{rng.getrandbits(112):028x}", sizes()) for _ in range(count))
+        table = spark.createDataFrame(groups, "digest string, bytes long")
+        capacity, cuts = sharding.exact_cuts(table, shards)
+        plain = [s for _, s in groups]
+        low, high = max(plain), sum(plain)
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if greedy(plain, middle) <= shards else (middle + 1, high)
+        assert capacity == low
+        used = Counter()
+        for digest, size in groups:
+            used[sum(c <= digest for c in cuts)] += size
+        assert max(used.values()) <= capacity and len(cuts) < shards
+
+
 def test_search_finds_the_exact_neighbours(spark):
     import random
 
