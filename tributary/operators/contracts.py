@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import text as t
-from tributary.operators.quality import FORMATS
 
 SEVERITIES = ("info", "warning", "error", "critical")
 
@@ -59,8 +58,21 @@ def in_range(column: str, low: float | None = None, high: float | None = None, s
     return Expectation("in_range", column, severity, *_nullable(column, bad, allow_null), mostly)
 
 
+# Named patterns of contracts.
+PRESETS = {
+    "email": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$",
+    "phone_kr": r"^(01[016789]|02|0[3-9][0-9])-?[0-9]{3,4}-?[0-9]{4}$",
+    "url": r"^https?://[^\s]+$",
+    "uuid": r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
+    "date_iso": r"^\d{4}-\d{2}-\d{2}$",
+    "datetime_iso": r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}",
+    "stock_code_kr": r"^\d{6}$",
+    "business_number_kr": r"^\d{3}-\d{2}-\d{5}$",
+}
+
+
 def match_regex(column: str, pattern: str, mostly: float = 1.0, allow_null: bool = True, severity: str = "error") -> Expectation:
-    return Expectation("match_regex", column, severity, *_nullable(column, ~t.py_match(F.col(column).cast("string"), FORMATS.get(pattern, pattern)), allow_null), mostly)
+    return Expectation("match_regex", column, severity, *_nullable(column, ~t.py_match(F.col(column).cast("string"), PRESETS.get(pattern, pattern)), allow_null), mostly)
 
 
 def in_set(column: str, values: Sequence, mostly: float = 1.0, allow_null: bool = True, severity: str = "error") -> Expectation:
@@ -84,6 +96,10 @@ TYPE_FORMS = {
     "boolean": r"(?i)\s*(true|false|yes|no|1|0)\s*$",
     "date_string": r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}",
     "string": r"",
+    "number": r"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$",
+    "list": r"(?s)\[.*\]$",
+    "dict": r"(?s)\{.*\}$",
+    "datetime": r"[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$",
 }
 
 

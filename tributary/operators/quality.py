@@ -17,15 +17,15 @@ from tributary.functions.scores import quality_score, severity_weight
 
 # Formats and signs of broken encodings that results must agree on.
 FORMATS = {
-    "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$",
-    "phone_kr": r"(01[016789]|02|0[3-9][0-9])-?[0-9]{3,4}-?[0-9]{4}$",
-    "url": r"https?://[^\s]+$",
-    "korean_name": r"[가-힣]{2,10}$",
-    "business_number": r"[0-9]{3}-[0-9]{2}-[0-9]{5}$",
-    "postal_code_kr": r"[0-9]{5}$",
+    "email": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$",
+    "phone_kr": r"^(01[016789]|02|0[3-9][0-9])-?[0-9]{3,4}-?[0-9]{4}$",
+    "url": r"^https?://[^\s]+$",
+    "korean_name": r"^[가-힣]{2,10}$",
+    "business_number": r"^\d{3}-\d{2}-\d{5}$",
+    "postal_code_kr": r"^\d{5}$",
 }
-BROKEN = (r"\x{FFFD}", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "â€™|â€œ|â€|Ã©|Ã¨|Ã ", "ï»¿", r"\\x[0-9a-fA-F]{2}")
-BROKEN_KOREAN = (r"[가-힣]+[\x80-\xff]+[가-힣]*", "占쏙옙")
+BROKEN = (r"\ufffd", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", r"\x00", r"â€™|â€œ|â€|Ã©|Ã¨|Ã ", r"ï»¿", r"\\x[0-9a-fA-F]{2}")
+BROKEN_KOREAN = (r"[가-힣]+[\x80-\xff]+[가-힣]*", r"占쏙옙")
 UNUSUAL = r"[\p{Cn}\p{Co}\p{Cs}]"
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy년 MM월 dd일")
 

@@ -169,6 +169,9 @@ _SCORES = f"""{_ISSUES}, b AS (SELECT segment, count(*) AS n, sum(k) AS issues,
     SELECT p.id, segment, count(i.id) AS k, coalesce(sum(i.w), 0) AS w FROM people p LEFT JOIN issues i ON p.id = i.id GROUP BY p.id, segment) GROUP BY segment),
     sc AS (SELECT segment, n, bad_rows, issues::BIGINT AS issues, round(greatest(0, 100 - w / (5 * n) * 100), 4)::DOUBLE AS score FROM b)"""
 ORACLE = {
+    # the two schemas are fixed, and so is what follows from them
+    "schema_changes": """SELECT * FROM (VALUES ('backward', 'backward: balance changes from float to integer, which loses values'), ('backward', 'backward: level is required and has no default'), ('backward', 'backward: name has tighter bounds'),
+        ('step', 'remove country'), ('step', 'remove mail'), ('step', 'remove segment'), ('step', 'add level integer None'), ('step', 'type balance float integer'), ('step', 'type id integer string')) t(kind, what)""",
     "validation_issues": f"WITH {_ISSUES} SELECT p.id, coalesce(array_to_string(list_sort(list(rule || ':' || severity) FILTER (rule IS NOT NULL)), ','), '') AS found FROM people p LEFT JOIN issues i ON p.id = i.id GROUP BY p.id",
     "issues_by_rule": f"WITH {_ISSUES} SELECT rule, field, severity, count(*) AS n FROM issues GROUP BY ALL",
     "batch_scores": f"WITH {_SCORES} SELECT * FROM sc",

@@ -102,8 +102,8 @@ def run_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resume_points(spark: SparkSession, d: str) -> DataFrame:
-    step = F.element_at(F.array(*map(F.lit, STEPS)), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    ledger = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), step.alias("step"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("completed").alias("status"), F.col("l_linenumber").alias("updated_at"))
+    step = F.element_at(F.array(*map(F.lit, STEPS)), (F.col("run_id") % 4 + 1).cast("int"))
+    ledger = runs(spark, d).select(F.concat_ws(":", "source_id", F.date_format("started_at", "yyyy-MM-dd")).alias("key"), step.alias("step"), F.when(F.col("status") == "failed", "failed").otherwise("completed").alias("status"), F.col("run_id").alias("updated_at"))
     return h.resume_points(ledger, STEPS)
 
 
@@ -255,7 +255,7 @@ ORACLE = {
         a AS (SELECT source_id, run_id, row_number() OVER (PARTITION BY source_id ORDER BY started_at, run_id) AS n FROM runs WHERE category = 'view'),
         o AS (SELECT run_id, CASE WHEN r[1] % 3 = 0 THEN 'done' WHEN coalesce(r[2] > TIMESTAMP '2024-01-21', false) OR n > 1 THEN 'held' ELSE 'acquired' END AS outcome FROM a LEFT JOIN l USING (source_id))
         SELECT outcome, count(*) AS n, sum(run_id)::BIGINT AS owners FROM o GROUP BY outcome""",
-    "resume_points": """WITH s AS (SELECT l_orderkey AS key, ['crawl', 'transform', 'validate', 'load'][l_linenumber % 4 + 1] AS step, arg_max(l_returnflag, l_linenumber) = 'R' AS bad FROM lineitem GROUP BY 1, 2),
+    "resume_points": f"""WITH {RUNS}, s AS (SELECT source_id || ':' || strftime(started_at, '%Y-%m-%d') AS key, ['crawl', 'transform', 'validate', 'load'][run_id % 4 + 1] AS step, arg_max(status, run_id) = 'failed' AS bad FROM runs GROUP BY 1, 2),
         g AS (SELECT key, coalesce(list(step) FILTER (NOT bad), []) AS ok, bool_or(bad) AS failed FROM s GROUP BY key)
         SELECT key, len(ok)::INTEGER AS done, list_filter(['crawl', 'transform', 'validate', 'load'], lambda x: NOT list_contains(ok, x))[1] AS next_step, failed FROM g""",
     "job_progress": """WITH j AS (SELECT l_orderkey AS job_id, count(*) AS total, count(*) FILTER (l_returnflag IN ('A', 'R')) AS processed, count(*) FILTER (l_returnflag = 'R') AS failed FROM lineitem GROUP BY 1)

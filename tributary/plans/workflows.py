@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions import pages as pg
 from tributary.operators import workflow as w
+from tributary.operators.history import numbered_versions
 from tributary.plans.common import REVIEWS, RUNS, reviews, runs
 from tributary.session import table
 from tributary.sources.files import union_all
@@ -62,11 +63,15 @@ def history_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def version_log(spark: SparkSession, d: str) -> DataFrame:
     """A source's versions after two more, tagged and looked up."""
-    schema = "source_id string, branch string, version_number int, parent int, status string, records long, data_hash string, tags array<string>, created_at string"
-    versions = spark.createDataFrame([("a", "main", 1, None, "active", 5, "h1", ["first"], "2024-01-01"), ("b", "main", 4, 3, "active", 9, "h", [], "2024-01-01")], schema)
-    versions = w.add_version(w.add_version(versions, "a", 7, "h2", "2024-01-02"), "a", 8, "h3", "2024-01-03")
-    versions = w.tag_version(versions, F.col("version_number") == 3, ["best", "last"], ["last"])
-    picked = w.find_version(versions, "a").unionByName(w.find_version(versions, "a", tag="first")).unionByName(w.find_version(versions, "b", number=4))
+    saves = runs(spark, d).select(
+        F.col("source_id").cast("string").alias("source_id"), F.lit("main").alias("branch"), F.col("started_at").cast("string").alias("created_at"), F.col("run_id").alias("save_id"), (F.col("run_id") % 100).alias("records"),
+        F.md5("props").alias("data_hash"), F.array().cast("array<string>").alias("tags"),
+    )
+    versions = numbered_versions(saves).drop("save_id")
+    versions = w.tag_version(versions, F.col("version_number") == 1, ["first"])
+    versions = w.add_version(w.add_version(versions, "7", 7, "h2", "2024-02-02"), "7", 8, "h3", "2024-02-03")
+    versions = w.tag_version(versions, (F.col("source_id") == "7") & (F.col("status") == "active"), ["best", "last"], ["last"])
+    picked = w.find_version(versions, "7").unionByName(w.find_version(versions, "7", tag="first")).unionByName(w.find_version(versions, "3", number=2))
     return picked.select("source_id", "version_number", "parent", "status", "records", F.array_join("tags", ",").alias("tags"))
 
 
@@ -129,5 +134,11 @@ ORACLE = {
         SELECT o_orderpriority, count(*) AS n, count(*) FILTER (ok) AS good, coalesce(sum(s) FILTER (ok), 0)::BIGINT AS bytes, round(avg(s) FILTER (ok), 2) AS mean_bytes, min(t) AS "first", max(t) AS "last" FROM o GROUP BY 1""",
     "source_counters": """WITH r AS (SELECT user_id % 30 AS source_id, count(*) FILTER (event_type = 'view') AS a, count(*) FILTER (event_type = 'error') AS b, count(*) FILTER (event_type NOT IN ('view', 'error')) AS c FROM events GROUP BY 1),
         n AS (SELECT n_nationkey::BIGINT AS source_id FROM nation) SELECT coalesce(n.source_id, r.source_id) AS source_id, CASE WHEN n.source_id IS NULL THEN 0 ELSE 1 END + coalesce(a, 0) AS recrawls, coalesce(b, 0) AS changed, CASE WHEN n.source_id IS NULL THEN 0 ELSE 2 END + coalesce(c, 0) AS same FROM n FULL JOIN r ON n.source_id = r.source_id""",
+    "version_log": f"""WITH {RUNS}, n AS (SELECT source_id, run_id % 100 AS records, row_number() OVER (PARTITION BY source_id ORDER BY started_at, run_id) AS v FROM runs), m AS (SELECT max(v) AS m FROM n WHERE source_id = 7)
+        SELECT '7' AS source_id, (m + 2)::INTEGER AS version_number, (m + 1)::INTEGER AS parent, 'active' AS status, 8::BIGINT AS records, 'best' AS tags FROM m
+        UNION ALL SELECT '7', 1, NULL, 'archived', records, 'first' FROM n WHERE source_id = 7 AND v = 1 UNION ALL SELECT '3', 2, 1, CASE WHEN (SELECT max(v) FROM n WHERE source_id = 3) > 2 THEN 'archived' ELSE 'active' END, records, '' FROM n WHERE source_id = 3 AND v = 2""",
+    "page_kinds": f"SELECT CASE {' '.join(f"WHEN regexp_matches(lower({c}), '{k[i]}') THEN '{k[0]}'" for c, i in (('url', 1), ('html', 2)) for k in pg.PAGE_KINDS)} ELSE 'general' END AS kind, count(*) AS n FROM pages GROUP BY 1",
+    "content_kinds": r"""WITH l AS (SELECT text, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0) AS ls FROM documents), s AS (SELECT text, len(list_filter(ls, lambda x: regexp_matches(x, '\t|\|| {3,}'))) / nullif(len(ls), 0)::DOUBLE AS share FROM l)
+        SELECT CASE WHEN share >= 0.5 THEN 'table' WHEN length(text) > 200 AND regexp_matches(text, '[.!?。]\s') THEN 'news' ELSE 'general' END AS kind, count(*) AS n FROM s GROUP BY 1""",
     "masked_numbers": r"""SELECT doc_id, len(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?%?'))::INTEGER AS n, md5(regexp_replace(text, '[0-9][0-9,]*(?:\.[0-9]+)?%?', '{{N}}', 'g')) AS hash, true AS same FROM documents""",
 }

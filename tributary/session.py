@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only on one machine (local mode)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    import tempfile
+
+    return "file://" + tempfile.mkdtemp(prefix="tributary-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint: in the folder of spark.checkpoint.dir; only where that is unset, in one of our own."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tributary-"))
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder's path beside the checkpoints, which all executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{named or 'file://' + tempfile.mkdtemp(prefix='tributary-')}/t-{uuid.uuid4().hex}"
+    return f"{spark.sparkContext.getCheckpointDir() or shared(spark)}/t-{uuid.uuid4().hex}"

@@ -69,7 +69,9 @@ def _skipped(spark: SparkSession, path: str, sep: str, header: bool, schema: str
 def count_malformed(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True, encoding: str = "utf-8") -> int:
     """How many records do not fit the schema, which readers drop."""
     reader = spark.read.option("sep", sep).option("encoding", encoding).option("multiLine", "true").option("columnNameOfCorruptRecord", "_bad")
-    return reader.csv(path, header=header, schema=f"{schema}, _bad string").select(F.count("_bad")).first()[0]
+    rows = reader.csv(path, header=header, schema=f"{schema}, _bad string")
+    # the other columns must be read too for a record to be parsed
+    return rows.select(F.count_if(F.col("_bad").isNotNull() & (F.to_json(F.struct(*rows.columns)) != ""))).first()[0]
 
 
 def read_tabs(spark: SparkSession, path: str, **options) -> DataFrame:
