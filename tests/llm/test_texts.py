@@ -16,8 +16,9 @@ from tributary.llm import jpeg_media, license_scan, maxent_lm, quality, sentence
 def test_encoding_is_the_best_path_and_decodes(spark, docs, corpus):
     table = sentencepiece_lattice.pieces(sentencepiece_lattice.default_model())
     want = Counter()
-    for i, t in corpus:
-        want[i, tuple(table.fold(f" {t}")) if t else ()] += 1
+    for (i, t), ids in zip(corpus, brute.best_pieces([t for _, t in corpus], sentencepiece_lattice.default_model()), strict=True):
+        want[i, tuple(ids)] += 1
+        assert (table.fold(f" {t}") if t else []) == ids
     got = sentencepiece_lattice.round_trip(docs).collect()
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
     assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in got)
@@ -26,6 +27,15 @@ def test_encoding_is_the_best_path_and_decodes(spark, docs, corpus):
     assert sentencepiece_lattice.round_trip(docs.limit(0)).count() == 0
 
 
+def test_words_with_one_hash_are_told_apart(spark, monkeypatch):
+    table = sentencepiece_lattice.pieces(sentencepiece_lattice.default_model())
+    words = sentencepiece_lattice.Dictionary(np.array([7], np.uint64), np.array([1]), np.array([table.id["a"]], np.int32))
+    split = table.words
+    monkeypatch.setattr(table, "words", lambda texts: (split(texts)[0], split(texts)[1], np.full(len(split(texts)[1]), 7, np.uint64), split(texts)[3]))
+    (ids,) = sentencepiece_lattice._encoded(["some words here"], table, words, {})
+    assert sentencepiece_lattice.decoded(ids, table) != b"some words here"  # what the comparison in the task catches
+
+
 def test_odd_characters_come_back(spark):
     odd = ["▁ two ▁", " lead", "trail ", "\u0000\u0001", "👩‍👩‍👧 é", "a b", "ß" * 60]
     docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")

@@ -12,8 +12,10 @@ taken apart in Spark: all substrings up to the longest piece are exploded, equi-
 piece table, grouped by word and folded by a higher-order aggregate (Viterbi), which also walks
 back. All of it runs in the partitioning that counting the words left, so edges never travel.
 The segmented words, at most WORDS, are packed into arrays and sent to the tasks that encode
-texts; words beyond them (rarer or longer) are folded there by the same recurrence. Decoding
-joins ids to pieces again. Neither direction moves a text.
+texts; words beyond them (rarer or longer) are folded there by the same recurrence. Words are
+found by a 64-bit hash, so every text's ids are decoded and compared with its bytes where they
+are made; a text that differs is folded as a whole. Decoding joins ids to pieces again. Neither
+direction moves a text.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text; ties go to
 the longer last piece; U+2581 in a text is written as bytes, so decoding always gives the text
@@ -37,10 +39,10 @@ from tributary.llm.store import documents, materialize, tidied
 WORDS = 1 << 20
 CHARS = 48
 #: tasks that take the words apart; there are about 40 substrings a word
-PARTS = 64
+PARTS = 128
 MARK = "▁"
 TABLE = 1 << 11
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 U = np.uint64
 
 
@@ -238,10 +240,16 @@ def dictionary(docs: DataFrame, table: Pieces, words: int = WORDS) -> Dictionary
     return Dictionary(*(np.frombuffer(b"".join(packed[c]), kind) for c, kind in (("hashes", U), ("sizes", np.int32), ("ids", np.int32))))
 
 
-def _gather(starts: np.ndarray, sizes: np.ndarray, source: np.ndarray) -> np.ndarray:
-    """source[start : start + size] of every pair, one after another."""
+def _gather(starts: np.ndarray, sizes: np.ndarray, source: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """source[start : start + size] of every pair, one after another; starts beyond source are in more."""
     ends = np.cumsum(sizes)
-    return source[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(starts, sizes)]
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(starts, sizes)
+    if more is None or not len(more):
+        return source[at]
+    beyond = at >= len(source)
+    out = np.empty(len(at), source.dtype)
+    out[~beyond], out[beyond] = source[at[~beyond]], more[at[beyond] - len(source)]
+    return out
 
 
 def _encoded(texts: list[str], table: Pieces, words: Dictionary, memo: dict) -> list[np.ndarray]:
@@ -249,7 +257,7 @@ def _encoded(texts: list[str], table: Pieces, words: Dictionary, memo: dict) ->
     place = np.minimum(np.searchsorted(words.hashes, hashes), max(len(words.hashes) - 1, 0))
     known = words.hashes[place] == hashes if len(words.hashes) else np.zeros(len(hashes), bool)
     begin, size = (words.starts[place], words.sizes[place].astype(np.int64)) if len(words.hashes) else (np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64))
-    source, rest = [words.ids], np.flatnonzero(~known)
+    source, rest = [], np.flatnonzero(~known)
     ends, at = np.append(starts[1:], len(whole)), len(words.ids)
     for i in rest.tolist():
         word = whole[starts[i] : ends[i]]
@@ -261,14 +269,14 @@ def _encoded(texts: list[str], table: Pieces, words: Dictionary, memo: dict) ->
         source.append(np.array(ids, np.int32))
         begin[i], size[i] = at, len(ids)
         at += len(ids)
-    flat = _gather(begin, size, np.concatenate(source) if len(source) > 1 else words.ids)
+    flat = _gather(begin, size, words.ids, np.concatenate(source) if source else np.zeros(0, np.int32))
     edges = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
     # a text of nothing but its leading space has no pieces
     return [flat[a:b] if t else flat[:0] for t, a, b in zip(texts, edges[:-1], edges[1:], strict=True)]
 
 
 def _with_ids(docs: DataFrame, table: Pieces, words: int, use, schema: str) -> DataFrame:
-    """use(batch, ids of its texts) for every batch of docs, in the task that encodes it."""
+    """use(batch, ids of its texts, those decoded) for every batch of docs, in the task that encodes it."""
     context = docs.sparkSession.sparkContext
     shared, known = context.broadcast(table), context.broadcast(dictionary(docs, table, words))
 
@@ -277,7 +285,16 @@ def _with_ids(docs: DataFrame, table: Pieces, words: int, use, schema: str) -> D
         for batch in batches:
             if len(memo) > 100_000:
                 memo.clear()
-            yield use(batch, [x for _, texts in _text_blocks(batch["text"]) for x in _encoded(texts, shared.value, known.value, memo)])
+            ids, back = [], []
+            for _, texts in _text_blocks(batch["text"]):
+                for text, own in zip(texts, _encoded(texts, shared.value, known.value, memo), strict=True):
+                    raw = decoded(own, shared.value)
+                    if raw != text.encode("utf-8", "surrogatepass"):  # two words with one hash
+                        own = np.array(shared.value.fold(f" {text}"), np.int32)
+                        raw = decoded(own, shared.value)
+                    ids.append(own)
+                    back.append(raw)
+            yield use(batch, ids, back)
 
     return docs.mapInPandas(tidied(encoded), schema)
 
@@ -286,7 +303,7 @@ def encode(docs: DataFrame, path: str | None = None, words: int = WORDS) -> Data
     """All columns of docs but text, with ids (array of int)."""
     rest = [c for c in docs.columns if c not in ("text", "ids")]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
-    use = lambda batch, ids: batch[rest].assign(ids=ids)
+    use = lambda batch, ids, back: batch[rest].assign(ids=ids)
     return _with_ids(docs.select(*rest, "text"), pieces(path or default_model()), words, use, f"{kinds}{', ' if kinds else ''}ids array<int>")
 
 
@@ -317,10 +334,8 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     table = pieces(path or default_model())
     text = F.coalesce(F.col("text"), F.lit(""))
     both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(text).alias("crc"), F.octet_length(text).alias("n"))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def checked(batch: pd.DataFrame, ids: list) -> pd.DataFrame:
-        back = [decoded(x, shared.value) for x in ids]
+    def checked(batch: pd.DataFrame, ids: list, back: list) -> pd.DataFrame:
         sums, sizes = np.array([zlib.crc32(x) for x in back], np.int64), np.array([len(x) for x in back], np.int64)
         return pd.DataFrame(
             {

@@ -63,6 +63,18 @@ def small_batches(spark: SparkSession, rows: int = 250) -> None:
         spark.conf.set(name, str(rows))
 
 
+def _lean() -> None:
+    """Arrays of megabytes come from the system and go back at once, instead of piling up in a worker that lives on."""
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-8, 1)  # M_ARENA_MAX
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def tidied(work):
     """work (a function of batches for mapInPandas), giving memory back to the system when a task ends; workers stay."""
 
@@ -72,6 +84,7 @@ def tidied(work):
 
         import pyarrow as pa
 
+        _lean()
         yield from work(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()
