@@ -197,3 +197,40 @@ def test_quality_edges(spark, docs):
     some = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (1, None, 1), (2, 1, 0), (999, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality.judge(docs, some).count() == docs.count()
     assert quality.judge(docs.limit(0), some).count() == 0
+
+
+def test_posteriors_shrink_sites_toward_their_priors(spark):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(11)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), rng.choice(["en", "de", None]), rng.randrange(1_000_001)) for i in range(300)] + [(300, "lone", "xx", 1_000_000)]
+    scored = spark.createDataFrame(rows, "doc_id long, source string, lang string, good long")
+    got = {r["doc_id"]: r for r in quality.posteriors(scored).collect()}
+
+    def strength(sites):  # (n, mean, prior): documents that a prior is worth, by the spread of sites around it
+        sites = [s for s in sites if s[0] > 1]
+        n = sum(s[0] for s in sites)
+        noise = sum(m * (1 - m) for _, m, _ in sites) / n
+        within = sum(k * p * (1 - p) for k, _, p in sites) / n
+        between = max(sum(k * (m - p) ** 2 for k, m, p in sites) / n - noise, within / 10_000)
+        return float(f"{min(max(within / between - 1, 1.0), 10_000.0):.4g}")
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for _, source, lang, good in rows:
+        hosts[source].append(good / 1e6)
+        paths[source, lang].append(good / 1e6)
+    overall = sum(sum(v) for v in hosts.values()) / len(rows)
+    k = strength([(len(v), sum(v) / len(v), overall) for v in hosts.values()])
+    host = {h: (sum(v) + k * overall) / (len(v) + k) for h, v in hosts.items()}
+    k = strength([(len(v), sum(v) / len(v), host[h]) for (h, _), v in paths.items()])
+    path = {(h, p): (sum(v) + k * host[h]) / (len(v) + k) for (h, p), v in paths.items()}
+    for i, source, lang, _ in rows:
+        assert got[i]["host_posterior"] == pytest.approx(host[source]) and got[i]["path_posterior"] == pytest.approx(path[source, lang])
+    assert overall < path["lone", "xx"] < 1  # one document does not make a site
+
+
+def test_quality_keeps_other_columns_and_nulls(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    wide = docs.withColumn("good", quality.F.lit("x")).withColumn("host", quality.F.lit(1)).withColumn("score", quality.F.lit(None).cast("double"))
+    assert quality.judge(wide, labels).count() == docs.count()
