@@ -234,3 +234,19 @@ def test_quality_keeps_other_columns_and_nulls(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
     wide = docs.withColumn("good", quality.F.lit("x")).withColumn("host", quality.F.lit(1)).withColumn("score", quality.F.lit(None).cast("double"))
     assert quality.judge(wide, labels).count() == docs.count()
+
+
+def test_media_and_license_queries_keep_every_row(spark, docs, corpus, tmp_path):
+    long = spark.createDataFrame([(None, "word " * 60_000), (1_000, "Licensed under the MIT License. " + "x " * 200_000)], "doc_id long, text string")
+    docs.withColumn("media", license_scan.F.lit(1)).unionByName(long, allowMissingColumns=True).write.parquet(f"{tmp_path}/some/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    media = jpeg_media.op8_jpeg_media(spark, f"{tmp_path}/some").collect()
+    scans = license_scan.op9_license_scan(spark, f"{tmp_path}/some").collect()
+    ids = Counter(i for i, _ in corpus) + Counter([None, 1_000])
+    assert Counter(r["doc_id"] for r in media) == Counter(r["doc_id"] for r in scans) == ids
+    assert {r["n_bytes"] for r in media} >= {300_000, 400_032} and [r["labels"] for r in scans if r["doc_id"] == 1_000] == ["mit"]
+    by_text = {}
+    for r in media:  # equal texts, equal values
+        by_text.setdefault((r["payload_sha256"], r["n_bytes"]), set()).add(tuple(r)[1:])
+    assert all(len(v) == 1 for v in by_text.values())
+    assert jpeg_media.op8_jpeg_media(spark, f"{tmp_path}/none").count() == license_scan.op9_license_scan(spark, f"{tmp_path}/none").count() == 0

@@ -14,7 +14,9 @@ inverse-transforms in numpy, upsamples chroma and converts to RGB. Scans whose c
 the width written here are read as arrays; scans of other files go through a bit reader.
 
 Defined results: a null or empty text is 64 zero bytes; texts of any length work (the grid has
-up to 4095 x 4095 units of six blocks); a truncated or foreign file raises ValueError.
+up to 4095 x 4095 units of six blocks); a truncated or foreign file raises ValueError; null ids
+and repeated rows keep a row each, with equal values; an empty table gives an empty one; other
+columns are ignored.
 """
 
 from __future__ import annotations

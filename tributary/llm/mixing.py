@@ -10,11 +10,15 @@ so the tokens that it has supplied by time t are target * ((1 - g) t + g t^2) wi
 g = (end - start) / (end + start). Inverting that integral at a document's first token of each
 pass gives that pass's position in training, and the result is range-sorted by position.
 
-Prefix sums come in two steps (4,096 ranges of the digest, then within a range), so no window
-spans a source, however large. The only undivided windows have one row per source.
+Prefix sums come in two steps (ranges of the digest, 4,096 or as many more as keep them at some
+RANGE_ROWS rows, then within a range), so no window spans a source, however large; the windows
+over ranges have a row for each of them (2^20 at most) and source, the only undivided ones a row
+for each source.
 
 Defined results: a null text has size 0; null is a source of its own, the last one; sources of
-size 0 have target 0; untaken documents have a null position; repeated rows each count.
+size 0 have target 0; untaken documents have a null position; repeated rows each count; rows
+with one doc_id (or none) share a range; an empty table gives an empty one; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
+#: rows of a range of digests, while there are no more than 2^20 ranges
+RANGE_ROWS = 50_000
 #: start and end of each source's weight, as multiples of it, repeating like the weights
 SCHEDULE = ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0))
 
@@ -82,7 +88,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, schedule=SCHEDUL
         )
     )
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = base.withColumn("span", F.substring(digest, 1, 3))
+    count, digits = base.count(), 3
+    while digits < 5 and count > RANGE_ROWS * 16**digits:
+        digits += 1
+    rows = base.withColumn("span", F.substring(digest, 1, digits))
     spans = rows.groupBy("no_source", "src", "span").agg(F.sum("size").alias("span_size"))
     sources = spans.groupBy("no_source", "src").agg(F.sum("span_size").alias("source_size"))
     before = Window.partitionBy("no_source", "src").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)

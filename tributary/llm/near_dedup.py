@@ -9,9 +9,10 @@ are corrected for chance matches.
 1. Equal sets form a class at once, by a 128-bit digest; all later work is on classes.
 2. In every band bucket each class meets the bucket's smallest class (a join on an aggregate: no
    bucket is gathered). Each class is confirmed against the one that it meets most often.
+   Buckets of one class end before that, and all later steps see the others only.
 3. Buckets that still hold classes of different components are searched: every class outside
    the bucket's largest component is confirmed against the class of another component with the
-   highest estimate.
+   highest estimate. Sketches join only the rows of such buckets.
 4. Buckets that even then hold several components (few) are searched in full: every class
    outside the bucket's largest component against all classes of other components whose
    estimate is not far below the threshold, each pair in the first bucket that it shares. The
@@ -24,7 +25,11 @@ compared are found by a bitmap of bounded size, so texts are never shuffled.
 
 Defined results: a text without words has an empty set and no links; a null doc_id is linked by
 its text like any other row and never names a component unless the whole component has none;
-repeated rows keep a row each; component_id is the smallest doc_id reachable.
+repeated rows keep a row each; component_id is the smallest doc_id reachable; an empty table
+gives an empty one; other columns are ignored.
+
+Two sets at exactly the threshold share no bucket with a probability of (1 - 0.75^4)^32, some
+5e-6; such a link is lost unless others join its ends.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ probability of being toxic is over one half.
 
 Defined results: a null text is empty; null sources and languages are sites of their own; with
 no usable labels every document has probability one half and is kept; repeated labels of an id
-count as one (the worst); repeated rows keep a row each.
+count as one (the worst); repeated rows and null ids keep a row each; an empty table gives an
+empty one; other columns are ignored.
 """
 
 from __future__ import annotations
