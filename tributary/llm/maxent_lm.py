@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.bytestext import U, blocks, encode, mix, prefix_hashes, substring_hashes, word_spans
-from tributary.llm.store import documents, materialize, tidied
+from tributary.llm.store import documents, materialize, small_batches, tidied
 
 FOLDS, HELD = 7, 2
 WORDS = 1 << 18
@@ -320,6 +320,7 @@ def held_out(doc_id="doc_id"):
 
 def scores(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     training = rows.where(~F.col("held_out"))

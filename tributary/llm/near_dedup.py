@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm.bytestext import blocks, encode, shingle_sets
 from tributary.llm.components import components
-from tributary.llm.store import bitmap, discard, documents, has_bit, keep_rows, materialize, maybe_in, text_key, tidied
+from tributary.llm.store import bitmap, discard, documents, has_bit, keep_rows, materialize, maybe_in, small_batches, text_key, tidied
 
 BUCKETS, BANDS, ROWS = 256, 32, 4
 MANTISSA = 10
@@ -288,6 +288,7 @@ def _remaining(bands: DataFrame, classes: DataFrame, named: DataFrame, docs: Dat
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, key (of the text), n_shingles, component_id, n_texts (different sets in the component) and kept of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     threshold = percent / 100
     rows = materialize(sketches(docs, width))
     classes = materialize(

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.bytestext import NOT_LETTER, blocks, encode, mix, prefix_hashes, substring_hashes, word_spans
-from tributary.llm.store import documents, keep_rows, materialize, text_key, tidied
+from tributary.llm.store import documents, keep_rows, materialize, small_batches, text_key, tidied
 
 SAMPLE = 20_000
 BUCKETS = 1 << 20
@@ -252,6 +252,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, key, classifier and combined scores and kept, of every row of docs (doc_id, text, source, lang)."""
+    small_batches(docs.sparkSession)
     scored = materialize(classify(docs, fit(docs, labels, sample)))
     odds = lambda p: F.log(p / (1 - p))
     inside = lambda p: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))

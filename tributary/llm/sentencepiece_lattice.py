@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.bytestext import INVERSE, BASE, mix, powers
-from tributary.llm.store import documents, materialize, tidied
+from tributary.llm.store import documents, materialize, small_batches, tidied
 
 WORDS = 1 << 20
 CHARS = 48
@@ -277,6 +277,7 @@ def _encoded(texts: list[str], table: Pieces, words: Dictionary, memo: dict) ->
 
 def _with_ids(docs: DataFrame, table: Pieces, words: int, use, schema: str) -> DataFrame:
     """use(batch, ids of its texts, those decoded) for every batch of docs, in the task that encodes it."""
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     shared, known = context.broadcast(table), context.broadcast(dictionary(docs, table, words))
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.bytestext import BASE, SPACE, blocks, encode, mix, powers, prefix_hashes, substring_hashes
-from tributary.llm.store import bitmap, discard, documents, has_bit, join_keys, materialize, maybe_in, tidied
+from tributary.llm.store import bitmap, discard, documents, has_bit, join_keys, materialize, maybe_in, small_batches, tidied
 
 LENGTH = 400
 #: words of a passage, of the grams that anchor it, and of the windows that are compared, which lie STEP words apart
@@ -460,6 +460,7 @@ def without_repeats(docs: DataFrame, use, schema, length: int = LENGTH) -> DataF
 
     The batches also have __passage: whether another text holds a run of PASSAGE words of this one.
     """
+    small_batches(docs.sparkSession)
     rows = keyed(docs)
     spans = repeated(rows.select("__tk", "__n", "text"), length)
     spans = materialize(spans.toDF("__tk", "__n", "__spans", "__passage"))
