@@ -241,7 +241,7 @@ def _updated(batches, counts: Counts):
             follow(weights, heat, seen, *feature_rows(counts.symbols(hashes, suffix), sizes, counts.features))
     if seen.any():
         at = range(0, size, ROWS)
-        yield pd.DataFrame({"block": range(len(at)), "n": [seen[i : i + ROWS].tobytes() for i in at], "w": [weights[i : i + ROWS].astype(np.float16).tobytes() for i in at]})
+        yield pd.DataFrame({"block": range(len(at)), "n": [seen[i : i + ROWS].astype(np.int32).tobytes() for i in at], "w": [weights[i : i + ROWS].astype(np.float16).tobytes() for i in at]})
 
 
 def _averaged(batches):
@@ -249,7 +249,7 @@ def _averaged(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, n, w in zip(batch["block"], batch["n"], batch["w"], strict=True):
-            n = np.frombuffer(n, np.int64).astype(float)
+            n = np.frombuffer(n, np.int32).astype(float)
             w = np.frombuffer(w, np.float16).reshape(-1, WIDE) * n[:, None]
             sums[block], total[block] = (sums[block] + w, total[block] + n) if block in sums else (w, n)
     if sums:
@@ -261,7 +261,8 @@ def train(docs: DataFrame, counts: Counts) -> np.ndarray:
     """The weights, from gradient updates of tasks of about TASK_TOKENS tokens over all of docs (text)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     tasks = max(1, -(-counts.tokens // TASK_TOKENS))
-    dealt = docs.select("text", F.xxhash64("text").alias("h")).repartition(tasks, "h").sortWithinPartitions("h", "text").select("text")
+    # a task for so many tokens, even where a session deals keys to more partitions: each task hands on a table of weights
+    dealt = docs.select("text", F.xxhash64("text").alias("h")).repartition(tasks, "h").coalesce(tasks).sortWithinPartitions("h", "text").select("text")
     updates = dealt.mapInPandas(tidied(lambda batches: _updated(batches, shared.value)), "block int, n binary, w binary")
     found = updates.repartition("block").mapInPandas(tidied(_averaged), "block int, w binary").toPandas()  # the table of weights, 16 MB at most
     weights = start(counts.mass, counts.features)
