@@ -50,6 +50,28 @@ def test_repeats_are_those_of_all_substrings(spark, docs, corpus):
         assert Counter(tuple(r)[:5] for r in rows.collect()) == want
 
 
+def test_passages_that_other_texts_hold_are_reported(spark):
+    import random
+
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(n))
+    passage = words(51)
+    assert len(passage) < 400
+    texts = [f"{words(30)}\n{passage}", f"{passage.replace(' ', '  ')} {words(200)}", words(120), f"{words(9)} {' '.join(passage.split()[:43])} {words(9)}", "short", None]
+    texts += [texts[2].rsplit(" ", 80)[0] + " " + words(60), f"{passage.split()[0]} " * 60]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["shares_passage"]) for r in suffix_dedup.without_repeats(rows, suffix_dedup._digests, suffix_dedup.DIGESTS).collect()}
+    assert {i for i, (_, shares) in got.items() if shares} == {0, 1}
+    assert not any(n for i, (n, _) in got.items() if i < 7)
+
+
+def test_columns_keep_their_names_and_values(spark):
+    rows = spark.createDataFrame([(1, "abc " * 300, 7, "k", "s"), (2, None, 8, None, "t")], "doc_id long, text string, n int, tk string, spans string")
+    out = {r["doc_id"]: r for r in suffix_dedup.cut_repeats(spark, rows, "").collect()}
+    assert (out[1]["n"], out[1]["tk"], out[1]["spans"], out[1]["text"]) == (7, "k", "s", "")
+    assert (out[2]["n"], out[2]["tk"], out[2]["spans"], out[2]["text"]) == (8, None, "t", None)
+
+
 def test_large_groups_are_cut_in_two(spark, docs, corpus):
     keyed = suffix_dedup.keyed(docs.select("doc_id", "text")).select("__tk", "__n", "text")
     spans = lambda most: {(r["tk"], r["n"]): suffix_dedup.merged(r["spans"] or [], r["n"]) for r in suffix_dedup.repeated(keyed, 60, most).collect()}
