@@ -19,6 +19,9 @@ NAMES = (
     "jpeg_media",
     "license_scan",
     "quality",
+    "merkle_manifest",
+    "source_divergence",
+    "personal_data",
 )
 
 

@@ -42,8 +42,13 @@ def discard(*tables: DataFrame | None) -> None:
     for table in tables:
         path = _paths.pop(table, None) if table is not None else None
         if path:
-            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            remove(table.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def join_keys(rows: DataFrame, keys: DataFrame, on: str, most: int = 1_024) -> DataFrame:
