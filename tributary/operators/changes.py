@@ -1,6 +1,7 @@
 """Change detection, diffs of data sets, patches and versions.
 
-Everything compares by key with null-safe equality. Where a key repeats, its last row counts.
+Everything compares by key with null-safe equality, so a null key is a key like any other. Where
+a key repeats, its last row by `order` counts; without an order keys are taken to be distinct.
 """
 
 from __future__ import annotations
@@ -17,12 +18,25 @@ def last_by_key(rows: DataFrame, keys: Sequence[str], order: str | None) -> Data
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
 
 
+def _renamed(rows: DataFrame, keys: Sequence[str], *columns: Column) -> DataFrame:
+    """Keys under other names, to be compared by _same, and columns."""
+    return rows.select(*[F.col(k).alias(f"__{k}") for k in keys], *columns)
+
+
+def _same(keys: Sequence[str]) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+
+
+def _either(keys: Sequence[str], here: str) -> list[Column]:
+    """Keys after a full join: a side's key counts where the side is there, be it null or not."""
+    return [F.when(F.col(here).isNotNull(), F.col(k)).otherwise(F.col(f"__{k}")).alias(k) for k in keys]
+
+
 def detect(batch: DataFrame, store: DataFrame, keys: Sequence[str]) -> DataFrame:
     """batch with _change: new, modified or unchanged by content_hash against the store (keys, content_hash)."""
-    old = store.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("content_hash").alias("__hash"))
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    old = _renamed(store, keys, F.col("content_hash").alias("__hash"))
     change = F.when(F.col("__hash").isNull(), "new").when(F.col("__hash") == F.col("content_hash"), "unchanged").otherwise("modified")
-    return batch.join(old, same, "left").withColumn("_change", change).select(*batch.columns, "_change")
+    return batch.join(old, _same(keys), "left").withColumn("_change", change).select(*batch.columns, "_change")
 
 
 def deleted(batch: DataFrame, store: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,11 +46,11 @@ def deleted(batch: DataFrame, store: DataFrame, keys: Sequence[str]) -> DataFram
 
 def updated_store(batch: DataFrame, store: DataFrame, keys: Sequence[str], stamp: Column) -> DataFrame:
     """The store after a batch: first_seen stays, last_seen moves."""
-    new = batch.select(*keys, F.col("content_hash").alias("__new"))
-    both = store.join(new, list(keys), "full_outer")
+    new = _renamed(batch, keys, F.col("content_hash").alias("__new"))
+    both = store.withColumn("__here", F.lit(True)).join(new, _same(keys), "full_outer")
     moved = F.col("__new").isNotNull() & ~F.col("__new").eqNullSafe(F.col("content_hash"))
     return both.select(
-        *keys, F.coalesce("__new", "content_hash").alias("content_hash"), F.coalesce(F.col("first_seen"), stamp).alias("first_seen"), F.when(moved, stamp).otherwise(F.coalesce(F.col("last_seen"), stamp)).alias("last_seen")
+        *_either(keys, "__here"), F.coalesce("__new", "content_hash").alias("content_hash"), F.coalesce(F.col("first_seen"), stamp).alias("first_seen"), F.when(moved, stamp).otherwise(F.coalesce(F.col("last_seen"), stamp)).alias("last_seen")
     )
 
 
@@ -50,7 +64,7 @@ def diff(old: DataFrame, new: DataFrame, keys: Sequence[str], ignore: Sequence[s
     names = [c for c in dict.fromkeys([*left.columns, *right.columns]) if c not in skip]
     side = lambda df, s: df.select(*[F.col(k).alias(f"{s}_{k}") for k in keys], F.lit(True).alias(f"{s}_here"), *[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(f"{s}_{c}") for c in names])
     fold = lambda c: c if case else F.lower(c)
-    both = side(left, "a").join(side(right, "b"), [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys], "full_outer")
+    both = side(left, "a").join(side(right, "b"), [F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in keys], "full_outer")
     found = []
     for c in names:
         a, b = F.col(f"a_{c}"), F.col(f"b_{c}")
@@ -83,22 +97,21 @@ def warnings(counts: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array_compact(F.array(*found))))
 
 
-def delta(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+def delta(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
     """What turns old into new: new's changed and added rows with _op upsert, and deleted keys with _op delete."""
+    old, new = last_by_key(old, keys, order), last_by_key(new, keys, order)
     kinds, there = dict(new.dtypes), set(old.columns)
     names = [c for c in new.columns if c not in keys]
     row = lambda have: F.struct(*[(F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in names])
-    before = old.select(*[F.col(k).alias(f"__{k}") for k in keys], row(there).alias("__old"))
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    changed = new.withColumn("__new", row(kinds)).join(before, same, "left").where(~F.col("__new").eqNullSafe(F.col("__old"))).select(*new.columns, F.lit("upsert").alias("_op"))
+    before = _renamed(old, keys, row(there).alias("__old"))
+    changed = new.withColumn("__new", row(kinds)).join(before, _same(keys), "left").where(~F.col("__new").eqNullSafe(F.col("__old"))).select(*new.columns, F.lit("upsert").alias("_op"))
     gone = _without(old.select(*keys), new, keys).withColumn("_op", F.lit("delete"))
     return changed.unionByName(gone, allowMissingColumns=True)
 
 
 def _without(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
     """rows whose keys (nulls equal nulls) are not among those of others."""
-    other = others.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
-    return rows.join(other, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_anti")
+    return rows.join(_renamed(others, keys).distinct(), _same(keys), "left_anti")
 
 
 def apply(base: DataFrame, patch: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -121,10 +134,10 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], stamp: Colu
     """target after a batch: its rows by key from the batch, _first_seen as it was, with _outcome (kept, updated, same, inserted)."""
     new = last_by_key(batch, keys, order)
     names = [c for c in new.columns if c not in keys]
-    both = target.select(*keys, F.struct(*[F.col(c) for c in names]).alias("__t"), "_first_seen").join(new.select(*keys, F.struct(*names).alias("__b")), list(keys), "full_outer")
+    both = target.select(*keys, F.struct(*names).alias("__t"), "_first_seen").join(_renamed(new, keys, F.struct(*names).alias("__b")), _same(keys), "full_outer")
     outcome = F.when(F.col("__b").isNull(), "kept").when(F.col("__t").isNull(), "inserted").when(F.col("__t").eqNullSafe(F.col("__b")), "same").otherwise("updated")
     row = F.coalesce("__b", "__t")
-    return both.select(*keys, *[row[c].alias(c) for c in names], F.coalesce(F.col("_first_seen"), stamp).alias("_first_seen"), outcome.alias("_outcome"))
+    return both.select(*_either(keys, "__t"), *[row[c].alias(c) for c in names], F.coalesce(F.col("_first_seen"), stamp).alias("_first_seen"), outcome.alias("_outcome"))
 
 
 def promote(staging: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
@@ -137,7 +150,7 @@ def promote(staging: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
 
 
 def rollback(production: DataFrame, log: DataFrame, key: str) -> DataFrame:
-    return production.join(log.select(key).distinct(), key, "left_anti")
+    return _without(production, log, [key])
 
 
 def savings(versions: DataFrame) -> DataFrame:

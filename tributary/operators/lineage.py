@@ -7,7 +7,7 @@ the session names, so that a lost executor costs one step at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.session import cut
@@ -44,6 +44,37 @@ def impact(edges: DataFrame, start: DataFrame, types: DataFrame, deleted: bool =
     return far.select("id", "type", "distance", F.element_at(names, F.least(level, F.lit(4))).alias("level"))
 
 
+def critical_paths(edges: DataFrame, most: int = 10, weight: str | None = None) -> DataFrame:
+    """(path, length) of the `most` longest ways from a root to a leaf; with equal lengths, by their nodes from the last back.
+
+    No way is spelled out before the end: nodes are taken level by level, and each keeps its
+    `most` best heads, a head being a length, a predecessor and which of the predecessor's heads
+    it continues. Only the winners are followed back. Edges that lead into or out of a cycle take
+    no part. length counts edges, or sums their weights (not negative); of edges between the same
+    nodes the heaviest counts.
+    """
+    rows = edges.where("source is not null and target is not null")
+    rows = cut(rows.groupBy("source", "target").agg((F.max(weight) if weight else F.lit(1)).cast("double" if weight else "long").alias("weight")))
+    placed = cut(levels(rows).where("level is not null"))
+    deepest = placed.agg(F.max("level")).first()[0]
+    steps = cut(rows.join(placed.select(F.col("id").alias("target"), "level"), "target"))
+    best = Window.partitionBy("id").orderBy(F.desc("length"), F.asc_nulls_first("before"), "before_rank")
+    none = F.lit(None).cast(dict(rows.dtypes)["source"])
+    heads = placed.where("level = 0").select("id", "level", F.lit(1).alias("rank"), F.lit(0).cast(dict(rows.dtypes)["weight"]).alias("length"), none.alias("before"), F.lit(None).cast("int").alias("before_rank"))
+    for level in range(1, (deepest or 0) + 1):
+        here = steps.where(F.col("level") == level).join(heads.drop("level").withColumnRenamed("id", "source"), "source")
+        near = here.select(F.col("target").alias("id"), "level", (F.col("length") + F.col("weight")).alias("length"), F.col("source").alias("before"), F.col("rank").alias("before_rank"))
+        heads = heads.unionByName(cut(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)))
+    leaves = heads.join(rows.select(F.col("source").alias("id")).distinct(), "id", "left_anti")
+    ways = cut(leaves.orderBy(F.desc("length"), "id", "rank").limit(most).select(F.array("id").alias("path"), "length", "before", "before_rank"))
+    back = heads.select(F.col("id").alias("at"), F.col("rank").alias("at_rank"), F.col("before").alias("next"), F.col("before_rank").alias("next_rank"))
+    while not ways.where("before is not null").isEmpty():
+        met = back.join(F.broadcast(ways), (F.col("at") == F.col("before")) & (F.col("at_rank") == F.col("before_rank")))  # `most` ways
+        moved = met.select(F.concat(F.array("at"), "path").alias("path"), "length", F.col("next").alias("before"), F.col("next_rank").alias("before_rank"))
+        ways = cut(moved.unionByName(ways.where("before is null")))
+    return ways.select("path", "length")
+
+
 def paths(edges: DataFrame, start, end, depth: int = 10, most: int | None = None, shortest: bool = False) -> DataFrame:
     """(path, length) of the simple paths from one node to another; with shortest, of the first of the shortest.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tributary.plans import changes, checks, dashboards, flows, graphs, history, order_summary, transforms, workflows
+from tributary.plans import changes, checks, dashboards, flows, graphs, history, live, nested, order_summary, transforms, versions, workflows
 
-MODULES = [order_summary, transforms, dashboards, checks, changes, graphs, flows, workflows, history]
+MODULES = [order_summary, transforms, dashboards, checks, changes, graphs, flows, workflows, history, versions, live, nested]
 FLAGSHIP = "order_summary"
 
 
