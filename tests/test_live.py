@@ -54,8 +54,8 @@ def test_a_stopped_stream_ends_in_the_same_table(spark, broken):
 
 
 def test_tombstones_are_forgotten_in_time(spark):
-    at = datetime.fromtimestamp
     day = 86_400
+    at = lambda seconds: datetime.fromtimestamp(1_000 * day + seconds)
     batches = [
         [(1, 5, "delete", at(0), "gone"), (2, 5, "delete", at(0), "gone")],
         [(1, 4, "update", at(3 * day), "late")],  # the tombstone still stands
