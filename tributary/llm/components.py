@@ -18,7 +18,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
-    """(id, root) of every id in edges; root is the smallest id of its component."""
+    """(id, root) of every id in edges; root is the smallest id of its component. Raises if `max_steps` (enough for 2^60 ids in a chain) do not end it."""
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(max_steps):
@@ -33,4 +33,6 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components did not end after {max_steps} steps")
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select("v", "v").distinct())

@@ -17,8 +17,9 @@ for each source.
 
 Defined results: a null text has size 0; null is a source of its own, the last one; sources of
 size 0 have target 0; untaken documents have a null position; repeated rows each count; rows
-with one doc_id (or none) share a range; an empty table gives an empty one; other columns are
-ignored.
+with one doc_id share a range and stand in the order of their texts' hashes, rows without one are
+dealt by those hashes; an empty table gives an empty one; other columns are ignored. The pipeline
+stage keeps other columns, but for MIX_COLUMNS, which it sets.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ CAP = 2
 RANGE_ROWS = 50_000
 #: start and end of each source's weight, as multiples of it, repeating like the weights
 SCHEDULE = ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0))
+#: what the pipeline stage adds: where in training (0 to 1) a row stands, and which pass of its document it is
+MIX_COLUMNS = ("mix_position", "mix_pass")
 
 
 def _cycle(rank: Column, values) -> Column:
@@ -85,9 +88,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, schedule=SCHEDUL
             F.col("source").isNull().alias("no_source"),
             F.coalesce("source", F.lit("")).alias("src"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            text_key().alias("tie"),
         )
     )
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.col("tie").cast("string"))))
     count, digits = base.count(), 3
     while digits < 5 and count > RANGE_ROWS * 16**digits:
         digits += 1
@@ -100,7 +104,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, schedule=SCHEDUL
         .drop("span_size")
         .join(source_targets(sources, weights, share, cap, schedule), ["no_source", "src"])
     )
-    within = Window.partitionBy("no_source", "src", "span").orderBy(digest, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("no_source", "src", "span").orderBy(digest, "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     want = F.floor("target")
     whole = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(0)
     g = F.col("ramp")
@@ -137,18 +141,22 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it, in order of each pass's position in training.
+    """Pipeline stage: every document as often as the mix takes it, with each pass's position in training (MIX_COLUMNS), by which rows are range-sorted.
 
-    A document that the mix takes in part stands there whole; rows with one doc_id, source and
-    text share their passes evenly.
+    Files do not keep an order when they are read again; the columns do. A document that the mix
+    takes in part stands there whole; rows with one doc_id, source and text share their passes
+    evenly.
     """
+    docs = docs.drop(*MIX_COLUMNS)
     plan = mix(docs, also=[text_key().alias("key"), F.col("source").alias("from")])
     # passes of one source differ by one at most, so each row of a group has as many as the most
     plan = plan.select("doc_id", "from", "key", F.posexplode("positions").alias("pass", "position"))
     plan = plan.groupBy("doc_id", "from", "key", "pass").agg(F.min("position").alias("position"))
-    plan = plan.toDF("__id", "__from", "__key", "__pass", "__position")
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__from")) & (text_key() == F.col("__key"))
-    return docs.join(plan, same).orderBy("__position", "__pass", "__id").select(*docs.columns)
+    row, way = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.struct("doc_id", "from", "key", "pass", "position").alias("way")
+    same = F.col("doc.doc_id").eqNullSafe(F.col("way.doc_id")) & F.col("doc.source").eqNullSafe(F.col("way.from")) & (F.col("key") == F.col("way.key"))
+    both = docs.select(row, text_key().alias("key")).join(plan.select(way), same)
+    kept = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+    return both.orderBy("way.position", "way.pass", "way.doc_id").select(*kept, F.col("way.position").alias(MIX_COLUMNS[0]), F.col("way.pass").alias(MIX_COLUMNS[1]))
 
 
 QUERIES = {"op3_mixing": op3_mixing}

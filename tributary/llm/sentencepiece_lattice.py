@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.bytestext import INVERSE, BASE, mix, powers
+from tributary.llm.mixing import MIX_COLUMNS
 from tributary.llm.store import documents, materialize, small_batches, tidied
 
 WORDS = 1 << 20
@@ -330,15 +331,16 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 RESULT = "doc_id long, n_pieces long, ids array<int>, decoded_bytes long, decoded_crc32 long, round_trip boolean"
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, the ids, and whether they decode to the text, of every row of docs (doc_id, text)."""
+def round_trip(docs: DataFrame, path: str | None = None, also: tuple = ()) -> DataFrame:
+    """doc_id, the ids, whether they decode to the text, and the columns `also` of every row of docs (doc_id, text)."""
     table = pieces(path or default_model())
     text = F.coalesce(F.col("text"), F.lit(""))
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(text).alias("crc"), F.octet_length(text).alias("n"))
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(text).alias("crc"), F.octet_length(text).alias("n"), *also)
+    kinds = "".join(f", `{c}` {t}" for c, t in docs.select(*also).dtypes)
 
     def checked(batch: pd.DataFrame, ids: list, back: list) -> pd.DataFrame:
         sums, sizes = np.array([zlib.crc32(x) for x in back], np.int64), np.array([len(x) for x in back], np.int64)
-        return pd.DataFrame(
+        made = pd.DataFrame(
             {
                 "doc_id": batch["doc_id"].astype("Int64"),
                 "n_pieces": [len(x) for x in ids],
@@ -348,8 +350,9 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 "round_trip": (sums == batch["crc"].to_numpy(np.int64)) & (sizes == batch["n"].to_numpy(np.int64)),
             }
         )
+        return made.assign(**{c: batch[c] for c in also})
 
-    return _with_ids(both, table, WORDS, checked, RESULT)
+    return _with_ids(both, table, WORDS, checked, RESULT + kinds)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,8 +360,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the ids of every text, checked by decoding."""
-    return round_trip(docs)
+    """Pipeline stage: the ids of every text, checked by decoding, with the row's place in the mix."""
+    return round_trip(docs, also=tuple(c for c in MIX_COLUMNS if c in docs.columns))
 
 
 QUERIES = {"op2_sentencepiece": op2_sentencepiece}
