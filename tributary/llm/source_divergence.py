@@ -39,7 +39,7 @@ MIN_DOCS = 10
 #: terms of a slice, on average
 SLICE = 8_192
 #: distinct terms that a task holds before it hands on what it has counted
-HELD = 400_000
+HELD = 800_000
 #: bytes of a text that are taken apart at once
 PIECE = 1 << 22
 BILLION = 1_000_000_000
@@ -60,41 +60,53 @@ def _pieces(data: bytes):
 
 
 def _count(batches):
-    import pandas as pd
+    import numpy as np
+    import pyarrow as pa
 
     names = [c.split()[0] for c in COUNTED.split(", ")]
 
-    def handed_on(groups):
+    def handed_on():
         for (lang, source), (n, docs) in groups.items():
-            terms = [b"", *n]  # the empty term stands for the group
+            # both hold the same terms in the same order; the empty term stands for the group
+            terms = pa.array([b"", *n], pa.binary()).cast(pa.string())
+            sums = [pa.array(np.fromiter((0, *c.values()), np.int64, len(terms))) for c in (n, docs)]
+            table = pa.RecordBatch.from_arrays([pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), terms, *sums], names)
             for i in range(0, len(terms), 50_000):
-                some = terms[i : i + 50_000]
-                yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode("utf-8", "replace") for t in some], "n": [n[t] for t in some], "docs": [docs[t] for t in some]}, columns=names)
+                yield table.slice(i, 50_000)
 
     groups: dict = defaultdict(lambda: (Counter(), Counter()))
     held = 0
     for batch in batches:
-        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
+        lang_of, source_of = (batch.column(c).to_pylist() for c in ("lang", "source"))
+        for lang, source, text in zip(lang_of, source_of, batch.column("text").cast(pa.binary()), strict=True):
             n, docs = groups[lang, source]
-            before, seen = len(n), set()
-            for piece in _pieces(text.encode("utf-8", "surrogatepass").lower()):  # lowers A-Z only
+            before, seen = len(n), {}
+            for piece in _pieces(text.as_py().lower()):  # lowers A-Z only
                 words = TERM.findall(piece)
                 n.update(words)
-                seen.update(words)
-            docs.update(seen)
+                seen.update(dict.fromkeys(words))
+            docs.update(iter(seen))
             held += len(n) - before
             if held > HELD:
-                yield from handed_on(groups)
+                yield from handed_on()
                 groups.clear()
                 held = 0
-    yield from handed_on(groups)
+    yield from handed_on()
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of every term, and of the empty term for every group."""
+def hits(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(lang, source, term, n, of_lang, first): occurrences of the terms that a language keeps, by group and in all of it, and of the empty term for every group.
+
+    Sums are dealt by language and term once: a group's sums, the language's, and which terms are
+    kept all follow there, from at most a row for each source. first is true in one row a term.
+    """
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    found = docs.select(*text).mapInPandas(tidied(_count), COUNTED)
-    return materialize(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = docs.select(*text).mapInArrow(tidied(_count), COUNTED).repartition(parts, "lang", "term")
+    sums = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    whole = sums.select("lang", "source", "term", "n", F.sum("n").over(term).alias("of_lang"), F.sum("docs").over(term).alias("of_docs"), (F.row_number().over(term.orderBy("source")) == 1).alias("first"))
+    return materialize(whole.where((F.col("of_docs") >= min_docs) | (F.col("term") == "")).drop("of_docs"))
 
 
 def share(n: str, total: str = "total", terms: str = "terms") -> Column:
@@ -157,16 +169,25 @@ def _meet(mine, visitors):
 
 
 def _heaps(most: int):
+    """(lang, source, item, value) to the `most` best of each group in a task: the highest values, then the first items."""
+
     def work(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         best: dict = {}
+        worst: dict = {}
         for batch in batches:
-            for key, rows in batch.groupby(["lang", "source"], sort=False):
-                best[key] = heapq.nsmallest(most, [*best.get(key, []), *zip(-rows["value"], rows["item"], strict=True)])
-        rows = [(*key, item, -value) for key, heap in best.items() for value, item in heap]
+            for lang, source, item, value in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "item", "value")), strict=True):
+                key, one = (lang, source), (-value, item)
+                if key not in worst or one < worst[key]:
+                    held = best.setdefault(key, [])
+                    held.append(one)
+                    if len(held) >= 8 * most:
+                        best[key] = heapq.nsmallest(most, held)
+                        worst[key] = best[key][-1]
+        rows = [(*key, item, -value) for key, held in best.items() for value, item in heapq.nsmallest(most, held)]
         if rows:
-            yield pd.DataFrame(rows, columns=["lang", "source", "item", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "source", "item", "value"])
 
     return work
 
@@ -182,27 +203,24 @@ def partner(rounds: int) -> Column:
 def divergence(docs: DataFrame, most: int = 10, min_docs: int = MIN_DOCS, slice_terms: int = SLICE, block: int = 8) -> DataFrame:
     """lang, source, part (pair or term), item, value and rank for every (lang, source) of docs (lang, source, text)."""
     spark = docs.sparkSession
-    found = counts(docs)
+    found = hits(docs, min_docs)
     words = found.where("term <> ''")
-    sums = words.groupBy("lang", "term").agg(F.sum("n").alias("of_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
-    terms = materialize(sums)
-    langs = materialize(terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("of_lang").alias("lang_total")))
+    langs = materialize(words.groupBy("lang").agg(F.count_if("first").alias("terms"), F.sum("n").alias("lang_total"), F.count("*").alias("c")))
     slices = -(-(langs.agg(F.max("terms")).first()[0] or 1) // slice_terms)
-    here = Window.partitionBy("lang", "slice")
-    kept = join_keys(terms, langs.withColumn("c", F.col("terms")), "lang").withColumn("q", share("of_lang", "lang_total"))
-    kept = kept.withColumn("slice", F.expr(f"cast(pmod(xxhash64(term), {slices}) as int)")).withColumn("place", F.row_number().over(here.orderBy("term")) - 1).select("lang", "term", "slice", "place", "q")
-    hits = materialize(words.select("lang", "source", "term", "n").join(kept, ["lang", "term"]))
+    placed = words.withColumn("slice", F.expr(f"cast(pmod(xxhash64(term), {slices}) as int)")).withColumn("place", F.dense_rank().over(Window.partitionBy("lang", "slice").orderBy("term")) - 1)
 
-    totals = hits.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("c"))
-    every = found.where("term = ''").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs.drop("lang_total"), "lang", "left").na.fill(0, ["total", "c", "terms"])
+    totals = words.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("c"))
+    every = found.where("term = ''").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs.drop("c"), "lang", "left").na.fill(0, ["total", "c", "terms", "lang_total"])
     # at most 8 blocks until those have 512 sources each
     blocks = F.expr(f"greatest(count(*) over (partition by lang) div 512, least(8, (count(*) over (partition by lang) + {block - 1}) div {block}))")
     groups = every.withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(source), blocks)"))
     groups = materialize(groups.withColumn("rest", F.when(F.col("terms") > 0, share("0")).otherwise(1)))
 
-    shares = join_keys(hits, groups.select("lang", "source", "total", "terms", "c"), ["lang", "source"]).withColumn("p", share("n"))
-    beyond = shares.where("p > q").select("lang", "source", F.col("term").alias("item"), apart().alias("value"))
-    heaps = beyond.mapInPandas(_heaps(most), "lang string, source string, item string, value long")
+    table = materialize(placed.drop("first"))
+    of_group = groups.select("lang", "source", "total", "lang_total", "terms", "c")
+    shares = join_keys(table, of_group, ["lang", "source"]).withColumn("p", share("n"))
+    beyond = shares.withColumn("q", share("of_lang", "lang_total")).where("p > q").select("lang", "source", F.col("term").alias("item"), apart().alias("value"))
+    heaps = beyond.mapInArrow(_heaps(most), "lang string, source string, item string, value long")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranks = lambda rows, part: rows.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
     best = materialize(ranks(heaps, "term").where(F.col("rank") <= most))
@@ -210,7 +228,7 @@ def divergence(docs: DataFrame, most: int = 10, min_docs: int = MIN_DOCS, slice_
     pack = F.pandas_udf(lambda places, of: places.combine(of, packed), "binary")
     held = shares.groupBy("lang", "source", "slice").agg(F.collect_list(F.struct("place", "p")).alias("terms"))  # a slice's terms at most
     vectors = held.select("lang", "source", "slice", pack("terms.place", "terms.p").alias("vector"))
-    sizes = hits.groupBy("lang", "slice").agg(F.countDistinct("term").alias("size"))
+    sizes = shares.groupBy("lang", "slice").agg((F.max("place") + 1).alias("size"))
     all_slices = groups.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("lang", "source", "slice", "block", "blocks", "rest")
     resident = all_slices.join(vectors, ["lang", "source", "slice"], "left").join(sizes, ["lang", "slice"], "left").na.fill(0, ["size"])
 
@@ -228,7 +246,7 @@ def divergence(docs: DataFrame, most: int = 10, min_docs: int = MIN_DOCS, slice_
         rounds.append(materialize(met.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))))
     spark.sql(f"DROP TABLE {name}")
     remove(spark, path)
-    discard(found, terms, langs, hits, groups)
+    discard(found, langs, table, groups)
     pairs = rounds[0]
     for more in rounds[1:]:
         pairs = pairs.unionByName(more)
