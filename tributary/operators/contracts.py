@@ -43,8 +43,9 @@ def not_null(column: str, mostly: float = 1.0, severity: str = "error") -> Expec
 
 
 def unique(column: str, mostly: float = 1.0, severity: str = "warning") -> Expectation:
-    """Distinct values over rows, so that nulls lower the ratio; all members of a repeated value are at fault."""
-    many = F.count(column).over(Window.partitionBy(column)) > 1
+    """Distinct values over rows, so that nulls lower the ratio; all members of a repeated value are at fault. Nulls are dealt out, so they do not meet in one task."""
+    some = F.when(F.col(column).isNull(), F.monotonically_increasing_id())
+    many = F.count(column).over(Window.partitionBy(column, some)) > 1
     return Expectation("unique", column, severity, F.lit(True), F.col(column).isNotNull() & many, mostly, "unique")
 
 
@@ -166,10 +167,11 @@ def route(rows: DataFrame, contract: Sequence[Expectation]) -> DataFrame:
     )
 
 
+# The contracts that sources of a kind get, and their bounds.
 TEMPLATES = {
-    "news_article": lambda: [not_null("title", severity="critical"), length_between("title", 2, 500), not_null("content"), match_regex("url", "url", severity="warning")],
-    "financial_data": lambda: [not_null("name", severity="critical"), in_range("price", 0), in_range("volume", 0, severity="warning")],
-    "stock_price": lambda: [match_regex("stock_code", r"[0-9]{6}$", severity="critical"), in_range("price", 0)],
-    "exchange_rate": lambda: [length_between("currency_code", 3, 3, severity="critical"), in_range("base_rate", 0, strict_low=True)],
-    "announcement": lambda: [not_null("title", severity="critical"), in_set("announcement_type", ["earnings", "dividend", "capital", "ma", "other"], severity="warning")],
+    "news_articles": lambda: [not_null("title"), not_null("url"), unique("url", 0.99), length_between("title", 5, 300, severity="warning"), match_regex("url", "url", 0.95), row_count_between(1)],
+    "financial_data": lambda: [not_null("name"), not_null("price"), in_range("price", 0), of_type("price", "number"), row_count_between(1)],
+    "stock_prices": lambda: [not_null("stock_code"), not_null("price"), match_regex("stock_code", "stock_code_kr", 0.95), in_range("price", 0), in_range("volume", 0), row_count_between(1)],
+    "exchange_rates": lambda: [not_null("currency_code"), not_null("base_rate"), length_between("currency_code", 3, 3, severity="warning"), in_range("base_rate", 0), row_count_between(1)],
+    "generic_table": lambda columns=(): [row_count_between(1), *map(not_null, columns)],
 }

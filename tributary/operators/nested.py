@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,11 +135,6 @@ def infer(rows: DataFrame, threshold: float = 0.95) -> list[Field]:
     return sorted(out, key=lambda f: f.name)
 
 
-def loosened(schema: Sequence[Field]) -> list[Field]:
-    """A schema without the bounds of the values that it was inferred from."""
-    return [replace(f, low=None, high=None, shortest=None, longest=None) for f in schema]
-
-
 def _counter(vs: Column):
     """Counts the elements of vs that pass a test."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import text as t
-from tributary.functions.scores import quality_score, severity_weight
+from tributary.functions.scores import quality_score, realtime_score, severity_weight
 
 # Formats and signs of broken encodings that results must agree on.
 FORMATS = {
@@ -107,6 +107,31 @@ def issues(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return tested.withColumn("issues", F.array_compact(F.array(*found))).drop(*[f"__t{i}" for i in range(len(rules))])
 
 
+def staged(rows: DataFrame, stages: Sequence[tuple[str, Sequence[Rule]]], go_on: bool = True) -> DataFrame:
+    """rows with stages, (stage, passed, score, issues) in order, and passed, whether all that ran were.
+
+    A stage fails with an error or worse. Without go_on, stages behind a row's first failing one do
+    not run for it, and leave no entry.
+    """
+    for i, (name, rules) in enumerate(stages):
+        rows = issues(rows, rules).withColumnRenamed("issues", f"__s{i}")
+    made = []
+    for i, (name, _) in enumerate(stages):
+        bad = lambda kinds, i=i: F.size(F.filter(f"__s{i}", _of(kinds)))
+        score = realtime_score(bad(("error", "critical")), bad(("warning",)))
+        made.append(F.struct(F.lit(name).alias("stage"), (bad(("error", "critical")) == 0).alias("passed"), score.alias("score"), F.size(f"__s{i}").alias("issues")))
+    every = F.array(*made)
+    if not go_on:
+        failing = F.array_position(F.transform(every, lambda s: s.passed), F.lit(False))
+        every = F.when(failing > 0, F.slice(every, 1, failing.cast("int"))).otherwise(every)
+    out = rows.withColumn("stages", every).drop(*[f"__s{i}" for i in range(len(stages))])
+    return out.withColumn("passed", F.forall("stages", lambda s: s.passed))
+
+
+def _of(kinds: Sequence[str]):
+    return lambda x: x.severity.isin(*kinds)
+
+
 def issue_counts(checked: DataFrame, *by: str) -> DataFrame:
     """Issues by any of rule, field and severity; checked as of issues."""
     return checked.select(F.inline("issues")).groupBy(*by).agg(F.count("*").alias("n"))

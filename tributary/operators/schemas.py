@@ -253,6 +253,57 @@ def migrate(rows: DataFrame, steps: Sequence[tuple]) -> DataFrame:
     return rows
 
 
+def migrate_all(rows: DataFrame, steps: Sequence[tuple], on_error: str = "null") -> DataFrame:
+    """rows after all steps; a row with a value that cannot be turned into its new type is left out (skip), ends the job (fail), or has a null there (null), with _lost naming the fields."""
+    done = migrate(rows, steps)
+    lost = F.size("_lost") > 0
+    if on_error == "skip":
+        return done.where(~lost).drop("_lost")
+    if on_error == "fail":
+        names = [c for c in done.columns if c != "_lost"]
+        checked = done.where(F.when(lost, F.raise_error(F.concat(F.lit("values cannot be migrated: "), F.array_join("_lost", ", "))).cast("boolean")).otherwise(True))
+        return checked.select(*names)
+    if on_error != "null":
+        raise ValueError(f"no such mode: {on_error}")
+    return done
+
+
+def migration_counts(rows: DataFrame, steps: Sequence[tuple]) -> DataFrame:
+    """One row: total, migrated and failed rows of a migration."""
+    return migrate(rows, steps).agg(F.count("*").alias("total"), F.count_if(F.size("_lost") == 0).alias("migrated"), F.count_if(F.size("_lost") > 0).alias("failed"))
+
+
+def estimate(rows: DataFrame, steps: Sequence[tuple]) -> DataFrame:
+    """(step, action, field, affected, lost) of each step, taken by itself, from one aggregate over the rows as they are.
+
+    affected: rows that the step changes; lost: values that it drops or cannot turn.
+    """
+    made, said = [], []
+    for i, step in enumerate(steps):
+        what, name = step[0], step[1]
+        there = F.col(name).isNotNull() if isinstance(name, str) and name in rows.columns else F.lit(False)
+        affected, lost = F.lit(True), F.lit(False)
+        if what == "remove":
+            affected = lost = there
+        elif what in ("rename", "split"):
+            affected = there
+        elif what == "default":
+            affected = ~there
+        elif what == "merge":
+            affected = F.coalesce(*[F.col(n).cast("string") for n in name]).isNotNull()
+        elif what == "type":
+            affected = there
+            lost = there & (F.lit(False) if step[3] in ("string", "any") else typed(F.col(name).cast("string"), step[3]).isNull() if (step[2], step[3]) not in (("float", "integer"), ("boolean", "integer"), ("integer", "boolean")) else F.lit(False))
+        made += [F.count_if(affected).alias(f"a{i}"), F.count_if(lost).alias(f"l{i}")]
+        said.append(F.struct(F.lit(i).alias("step"), F.lit(what).alias("action"), F.lit(name if isinstance(name, str) else ",".join(name)).alias("field"), F.col(f"a{i}").alias("affected"), F.col(f"l{i}").alias("lost")))
+    return rows.agg(*made).select(F.inline(F.array(*said)))
+
+
+def loosened(schema: Sequence[Field]) -> list[Field]:
+    """A schema without the bounds of the values that it was inferred from."""
+    return [replace(f, low=None, high=None, shortest=None, longest=None) for f in schema]
+
+
 def drift(expected: Sequence[Field], rows: DataFrame) -> list[str]:
     """How a table differs from its schema: types, and fields that came or went."""
-    return compatible(expected, [replace(f, low=None, high=None, shortest=None, longest=None) for f in infer(rows)], "full")
+    return compatible(expected, loosened(infer(rows)), "full")
