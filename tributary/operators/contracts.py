@@ -144,6 +144,24 @@ def measure(rows: DataFrame, contract: Sequence[Expectation]) -> DataFrame:
     return one.select(F.inline(F.array(*parts)))
 
 
+def measure_all(rows: DataFrame, contract: Sequence[Expectation]) -> DataFrame:
+    """As measure, with status: an expectation that cannot be evaluated on these rows (a column is missing, or of a type that it cannot read) is skipped and fails, and does not stop the others."""
+    from pyspark.errors import AnalysisException
+
+    skipped = {}
+    for i, e in enumerate(contract):
+        try:
+            rows.select(e.counted.alias("c"), e.unexpected.alias("u"), *([e.column] if e.whole == "unique" else [])).schema  # analysed, not run
+        except AnalysisException as problem:
+            skipped[i] = str(problem).splitlines()[0][:200]
+    left = [i for i in range(len(contract)) if i not in skipped]
+    out = measure(rows, [contract[i] for i in left])
+    numbers = F.array(*[F.lit(i) for i in left]) if left else F.array().cast("array<int>")
+    done = out.withColumn("id", F.try_element_at(numbers, F.col("id") + 1)).withColumn("status", F.when(F.col("success"), "passed").otherwise("failed"))
+    none = [(i, contract[i].name, contract[i].column, contract[i].severity, 0, 0, 0.0, False, "skipped") for i in skipped]
+    return done.unionByName(rows.sparkSession.createDataFrame(none, done.schema)) if none else done
+
+
 def holds(results: Sequence, fail_on_error: bool = True, fail_on_warning: bool = False) -> bool:
     """Whether a contract holds, from measured rows: critical always counts, the rest as asked."""
     failing = {"critical"} | ({"error"} if fail_on_error else set()) | ({"warning"} if fail_on_warning else set())

@@ -116,7 +116,13 @@ def stream_dead_letters(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (page_records, page_items, page_lists, page_languages, export_rows, category_tables, csv_round_trip, stream_events, stream_validation, stream_first_seen, stream_hours, stream_throttle, stream_dead_letters)}
 _OPERATION = "CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' WHEN 'view' THEN 'replace' ELSE 'update' END"
+_LINKS = r"""regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', {})"""
 ORACLE = {
+    # the pages' own markup is regular, so patterns find what the parser does
+    "page_records": r"""SELECT page_id, 0::INTEGER AS place, nullif(trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '') AS title,
+        nullif(regexp_extract(html, '<meta charset="([^"]*)"', 1), '') AS charset, nullif(regexp_extract(html, '<a href="([^"]*)"', 1), '') AS link FROM pages""",
+    "page_items": f"""SELECT page_id, (i - 1)::INTEGER AS place, l[i] AS item FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, {_LINKS.format(2)} AS l FROM pages))""",
+    "page_lists": f"""SELECT page_id, (i - 1)::INTEGER AS place, l[i] AS item, h[i] AS link FROM (SELECT page_id, l, h, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, {_LINKS.format(2)} AS l, {_LINKS.format(1)} AS h FROM pages))""",
     "page_languages": """SELECT nullif(regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1), '') AS language, nullif(regexp_extract(html, '(?i)<!doctype [a-z]+>', 0), '') AS kind, count(*) AS n FROM pages GROUP BY ALL""",
     "export_rows": """SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS of_o_custkey, o_orderstatus AS of_state_o_orderstatus, '''=' || o_orderpriority AS priority, CASE WHEN o_orderkey % 200 = 0 THEN 'TRUE' ELSE 'FALSE' END AS even,
         strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, '["' || o_orderstatus || '","' || o_orderpriority || '"]' AS parts, CASE WHEN o_orderkey % 300 = 0 THEN 'x' ELSE '' END AS gap FROM orders""",

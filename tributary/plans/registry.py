@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tributary.plans import changes, checks, dashboards, flows, graphs, history, impact, live, nested, order_summary, stores, transforms, versions, workflows
+from tributary.plans import changes, checks, dashboards, flows, graphs, history, impact, live, nested, order_summary, reports, stores, transforms, versions, workflows
 
-MODULES = [order_summary, transforms, dashboards, checks, changes, graphs, flows, workflows, history, versions, live, nested, impact, stores]
+MODULES = [order_summary, transforms, dashboards, checks, changes, graphs, flows, workflows, history, versions, live, nested, impact, stores, reports]
 FLAGSHIP = "order_summary"
 
 
