@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import summaries
 from tributary.session import scratch
-from tributary.sources import clustered, databases, workbooks
+from tributary.sources import clustered, databases, exports, files, workbooks
 
 
 def test_workbooks_come_back():
@@ -53,6 +53,25 @@ def test_sheets_that_are_too_long_go_on(spark):
     assert sorted((int(r["n"]), r["v"]) for r in back.collect()) == [(i, None if i % 2 else f"v{i}") for i in range(25)]
 
 
+def test_sheets_of_several_layouts(spark, tmp_path):
+    one = {"a": [["Stock Name", "Price"], ["x", 1.5], [None, None]], "b": [["Stock Name", "Price"], ["y", None]]}
+    (tmp_path / "one.xlsx").write_bytes(workbooks.to_xlsx(one))
+    (tmp_path / "two.xlsx").write_bytes(workbooks.to_xlsx({"a": [["Price", "Price", None], [1, 2, 3]], "empty": []}))
+    (tmp_path / "note.txt").write_text("no workbook")
+    rows = files.read_sheets(spark, str(tmp_path))
+    got = sorted((r["_sheet"], str(r["stock_name"]), str(r["price"]), str(r["price_1"])) for r in rows.collect())
+    assert got == [("a", "None", "1", "2"), ("a", "x", "1.5", "None"), ("b", "y", "None", "None")]
+    assert files.read_sheets(spark, str(tmp_path), sheets=["b"]).count() == 1
+    assert files.read_sheets(spark, str(tmp_path / "two.xlsx"), sheets=["empty"]).count() == 0
+
+
+def test_exported_workbooks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"=n{i}") for i in range(5)], "_id long, name string")
+    exports.to_workbook(rows, f"{tmp_path}/out.xlsx", 3)
+    back = files.read_sheets(spark, f"{tmp_path}/out.xlsx")
+    assert back.count() == 3 and back.where("id = '1'").first()["name"] == "'=n1"
+
+
 def _state(rng, n):
     return {(rng.choice((None, 1, 2)), rng.randrange(20)): f"v{rng.randrange(9)}" for _ in range(n)}
 

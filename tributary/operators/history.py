@@ -214,6 +214,7 @@ def source_report(affected: DataFrame) -> DataFrame:
 
 
 #: Words in an error's message, in order of their weight: (cause, words).
+# The words that the survey names.
 CAUSES = (
     ("network_error", ("timeout", "timed out")),
     ("selector_broken", ("selector", "not found", "none")),
@@ -230,6 +231,7 @@ def diagnosis(message: Column) -> Column:
 
 
 #: Words in a source's name or address: (kind, words).
+# The words that the survey names.
 KINDS = (
     ("news", ("news", "뉴스", "article", "기사")),
     ("financial", ("stock", "주식", "finance", "금융")),
@@ -244,6 +246,7 @@ def collection_kind(name: Column, url: Column) -> Column:
 
 
 #: Fields that speak for a category.
+# The words that the survey names.
 INDICATORS = {
     "news_article": ("title", "content", "published_at", "summary"),
     "stock_price": ("stock_code", "price", "volume", "high", "low"),

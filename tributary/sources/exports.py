@@ -59,12 +59,15 @@ def to_json(rows: DataFrame, path: str) -> None:
 
 
 def to_workbook(rows: DataFrame, path: str, limit: int = 50_000) -> None:
-    """At most `limit` rows as a workbook, which is one file on the driver. Needs openpyxl."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("writing workbooks needs openpyxl") from e
-    sanitized(rows).limit(limit).toPandas().to_excel(path, index=False)
+    """At most `limit` rows (what one sheet is meant to hold) as one workbook file, by any path that Spark can write; workbooks.workbooks() makes many of all rows."""
+    from tributary.sources.workbooks import to_xlsx
+
+    shown = sanitized(rows).limit(limit)
+    data = to_xlsx({"Sheet1": [shown.columns, *map(list, shown.collect())]})
+    place = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(rows.sparkSession._jsparkSession.sessionState().newHadoopConf()).create(place, True)
+    out.write(bytearray(data))
+    out.close()
 
 
 def selected(rows: DataFrame, equal: dict | None = None, stamp: str | None = None, first=None, last=None) -> DataFrame:

@@ -83,15 +83,26 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None, lines:
 
 
 def read_sheets(spark: SparkSession, path: str, sheets: Sequence[str] | None = None, header_row: int = 0) -> DataFrame:
-    """All sheets of a workbook as strings, with the sheet's name in _sheet. Needs openpyxl."""
-    import pandas as pd
+    """All sheets of the workbooks at a path as strings, with the sheet's name in _sheet and the file in _path; columns that a sheet lacks are null.
 
-    try:
-        found = pd.read_excel(path, sheet_name=list(sheets) if sheets else None, header=header_row, dtype=str)
-    except ImportError as e:
-        raise RuntimeError("reading workbooks needs openpyxl") from e
-    parts = [spark.createDataFrame(rows.rename(columns=clean_name).astype(object).where(rows.notna().to_numpy(), None), ", ".join(f"`{clean_name(c)}` string" for c in rows.columns)).withColumn("_sheet", F.lit(name)) for name, rows in found.items()]
-    return union_all(parts)
+    Workbooks are read in tasks; only the head of each different sheet layout reaches the driver.
+    """
+    from tributary.sources.workbooks import read_files, sheet_rows
+
+    rows = sheet_rows(read_files(spark, path)).where(F.col("row") >= header_row)
+    rows = rows.where(F.col("sheet").isin(list(sheets))) if sheets else rows
+    heads = rows.where(F.col("row") == header_row).select("path", "sheet", F.col("cells").alias("head"))
+    both = rows.where(F.col("row") > header_row).join(heads, ["path", "sheet"])
+    parts = []
+    for (head,) in heads.select("head").distinct().collect():  # one for each layout
+        names: dict[str, int] = {}
+        for i, c in enumerate(head):
+            name = clean_name(c)
+            names[name if name not in names else f"{name}_{i}"] = i
+        mine = both.where(F.col("head").eqNullSafe(F.lit([c for c in head]).cast("array<string>")))
+        cells = [F.try_element_at("cells", F.lit(i + 1)).alias(n) for n, i in names.items()]
+        parts.append(mine.select(*cells, F.col("sheet").alias("_sheet"), F.col("path").alias("_path")).dropna(how="all", subset=list(names)))
+    return union_all(parts) if parts else rows.select(F.col("sheet").alias("_sheet"), F.col("path").alias("_path")).where("false")
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:

@@ -183,6 +183,21 @@ def workbooks(rows: DataFrame, book: str, sheet: str, columns: Sequence[str], or
     return rows.select(*dict.fromkeys([book, sheet, order, *columns])).groupBy(book).applyInPandas(made, f"`{book}` {kind}, content binary")
 
 
+def sheet_rows(files: DataFrame) -> DataFrame:
+    """(path, sheet, row, cells) of the workbooks among files (path, content)."""
+    import pandas as pd
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for path, data in zip(batch["path"], batch["content"], strict=True):
+                if data is not None and bytes(data[:4]) == b"PK\x03\x04":
+                    out += [(path, name, i, cells) for name, lines in from_xlsx(bytes(data)).items() for i, cells in enumerate(lines)]
+            yield pd.DataFrame(out, columns=["path", "sheet", "row", "cells"])
+
+    return files.select("path", "content").mapInPandas(rows, "path string, sheet string, row int, cells array<string>")
+
+
 def encodings(files: DataFrame) -> DataFrame:
     """(path, encoding) as the bytes tell."""
     found = F.pandas_udf(lambda content: content.map(lambda c: encoding_of(bytes(c))), "string")
