@@ -49,3 +49,17 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder's path beside the checkpoints, which all executors share."""
     return f"{spark.sparkContext.getCheckpointDir() or shared(spark)}/t-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """A path as Hadoop's object, and the file system that holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = False) -> None:
+    """A small file of the driver's, by any path that Spark can write."""
+    place, system = file_system(spark, path)
+    out = system.create(place, overwrite)
+    out.write(bytearray(data))
+    out.close()

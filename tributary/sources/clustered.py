@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators.changes import last_by_key
+from tributary.session import file_system
 
 
 def _version(spark: SparkSession, name: str) -> int:
@@ -83,5 +84,5 @@ def drop_before(spark: SparkSession, name: str, path: str, keep: int = 2) -> Non
     last = _version(spark, name)
     for number in range(1, last - keep + 1):
         spark.sql(f"DROP TABLE IF EXISTS {name}_v{number}")
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v-{number}")
-        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        place, fs = file_system(spark, f"{path}/v-{number}")
+        fs.delete(place, True)

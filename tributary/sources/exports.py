@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, BooleanType, MapType, StringType, Struc
 
 from tributary.functions.text import sql_text
 from tributary.operators.changes import upsert
+from tributary.session import file_system, write_bytes
 
 
 def flat(rows: DataFrame, deep: bool = True) -> DataFrame:
@@ -64,10 +65,7 @@ def to_workbook(rows: DataFrame, path: str, limit: int = 50_000) -> None:
 
     shown = sanitized(rows).limit(limit)
     data = to_xlsx({"Sheet1": [shown.columns, *map(list, shown.collect())]})
-    place = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    out = place.getFileSystem(rows.sparkSession._jsparkSession.sessionState().newHadoopConf()).create(place, True)
-    out.write(bytearray(data))
-    out.close()
+    write_bytes(rows.sparkSession, path, data, overwrite=True)
 
 
 def selected(rows: DataFrame, equal: dict | None = None, stamp: str | None = None, first=None, last=None) -> DataFrame:
@@ -103,9 +101,7 @@ def by_category(rows: DataFrame, category: str, tables: dict[str, list[str]], de
 
 def _pointers(spark: SparkSession, path: str):
     """The folder of pointers, its file system, and the names in it in order: <number>-<snapshot>."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
-    fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    place, fs = file_system(spark, f"{path}/_current")
     names = sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
     return place, fs, names
 

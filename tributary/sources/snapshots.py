@@ -21,19 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators.changes import delta, last_by_key, materialized
+from tributary.session import file_system, write_bytes
 
 KINDS = ("full", "differential", "incremental")
 ENTRY = "number int, id string, kind string, parent string, taken_at string, records long, stored long, digest string"
 
 
-def _fs(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
 def manifest(spark: SparkSession, path: str) -> list[dict]:
     """Entries of all snapshots, oldest first: a few hundred bytes each."""
-    place, fs = _fs(spark, f"{path}/_manifest")
+    place, fs = file_system(spark, f"{path}/_manifest")
     if not fs.exists(place) or not fs.listStatus(place):
         return []
     return [r.asDict() for r in spark.read.schema(ENTRY).json(f"{path}/_manifest/*.json").orderBy("number", "id").collect()]
@@ -74,10 +70,7 @@ def take(rows: DataFrame, path: str, keys: Sequence[str], kind: str, taken_at: s
     stored.write.option("compression", "zstd").parquet(f"{path}/{name}")
     records, total = digest(rows)
     entry = {"number": max((e["number"] for e in entries), default=0) + 1, "id": name, "kind": kind, "parent": parent, "taken_at": taken_at, "records": records, "stored": spark.read.parquet(f"{path}/{name}").count(), "digest": total}
-    place, fs = _fs(spark, f"{path}/_manifest/{entry['number']:012d}-{name}.json")
-    out = fs.create(place, False)
-    out.write(bytearray(json.dumps(entry).encode()))
-    out.close()
+    write_bytes(spark, f"{path}/_manifest/{entry['number']:012d}-{name}.json", json.dumps(entry).encode())
     return name
 
 
@@ -120,6 +113,6 @@ def expire(spark: SparkSession, path: str, before: str, keep: int = 1) -> dict[s
     for e in reversed(entries):  # children before parents
         if not counts[e["id"]]:
             for name in (f"_manifest/{e['number']:012d}-{e['id']}.json", e["id"]):
-                place, fs = _fs(spark, f"{path}/{name}")
+                place, fs = file_system(spark, f"{path}/{name}")
                 fs.delete(place, True)
     return {e["id"]: counts[e["id"]] for e in entries}

@@ -15,19 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.scores import realtime_score
+from tributary.session import file_system
 
 LIFETIME = 300.0  # seconds
 RULE = "struct<rule_id:string,field:string,kind:string,low:double,high:double,pattern:string,allowed:array<string>,severity:string>"
 
 
-def _fs(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
 def bookings(spark: SparkSession, path: str) -> list[tuple[int, int, int]]:
     """(batch, copy, milliseconds at which the copy was read) of all batches so far, in order."""
-    place, fs = _fs(spark, f"{path}/_batches")
+    place, fs = file_system(spark, f"{path}/_batches")
     names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
     return sorted(tuple(map(int, n.split("-"))) for n in names)
 
@@ -43,7 +39,7 @@ def side_of_batch(spark: SparkSession, load: Callable[[float], DataFrame], path:
         else:
             mine = (batch, last[1] + 1 if last else 1, int(now * 1000))
             load(now).write.mode("overwrite").parquet(f"{path}/copy-{mine[1]}")  # a copy without a booking is of a batch that never began
-        place, fs = _fs(spark, f"{path}/_batches/{mine[0]:012d}-{mine[1]:012d}-{mine[2]:015d}")
+        place, fs = file_system(spark, f"{path}/_batches/{mine[0]:012d}-{mine[1]:012d}-{mine[2]:015d}")
         fs.createNewFile(place)
     return spark.read.parquet(f"{path}/copy-{mine[1]}")
 
@@ -54,10 +50,10 @@ def forget(spark: SparkSession, path: str, before: int) -> None:
     kept = {c for b, c, _ in booked if b >= before} | {booked[-1][1]} if booked else set()
     for b, c, ms in booked[:-1]:
         if b < before:
-            place, fs = _fs(spark, f"{path}/_batches/{b:012d}-{c:012d}-{ms:015d}")
+            place, fs = file_system(spark, f"{path}/_batches/{b:012d}-{c:012d}-{ms:015d}")
             fs.delete(place, False)
     for c in {c for _, c, _ in booked} - kept:
-        place, fs = _fs(spark, f"{path}/copy-{c}")
+        place, fs = file_system(spark, f"{path}/copy-{c}")
         fs.delete(place, True)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from tributary.session import cut
+from tributary.session import cut, file_system
 
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
@@ -208,8 +208,8 @@ def replay(dead: DataFrame, to: str, key: str, stamp: str, at: str) -> int:
     names = [c for c in dead.columns if c not in ("attempt", "at", "outcome", "error", "batch")]
     last = dead.where("outcome = 'dead'").groupBy(key).agg(F.max_by(F.struct(*[c for c in names if c != key]), F.struct("replays", "at")).alias("r"))
     fresh = last.select(key, "r.*").select(names).withColumn("replays", F.col("replays") + 1).withColumn(stamp, F.lit(at).cast("timestamp"))
-    place = spark._jvm.org.apache.hadoop.fs.Path(to)
-    if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+    place, fs = file_system(spark, to)
+    if fs.exists(place):
         fresh = fresh.join(spark.read.schema(fresh.schema).parquet(to).select(key, "replays"), [key, "replays"], "left_anti")
     fresh = cut(fresh)
     fresh.write.mode("append").parquet(to)
