@@ -1,5 +1,7 @@
 """The registry of schemas, previews and contracts that skip, on small tables."""
 
+from pyspark.sql import functions as F
+
 from tributary.operators import contracts, reports
 from tributary.operators.schemas import Field
 
@@ -36,3 +38,9 @@ def test_contracts_that_cannot_be_evaluated(spark):
     contract = [contracts.not_null("none"), contracts.not_null("v"), contracts.unique("gone")]
     assert {r["id"]: r["status"] for r in contracts.measure_all(rows, contract).collect()} == {0: "skipped", 1: "passed", 2: "skipped"}
     assert {r["status"] for r in contracts.measure_all(rows, contract[:1]).collect()} == {"skipped"}
+
+
+def test_rates_round_their_halves_up(spark):
+    rows = spark.createDataFrame([(1, "2024-01-06 10:00:00", 1, x, []) for x in (1.1, 40.0, 36.45)], "k int, at string, records int, score double, issues array<struct<severity:string,rule:string>>")
+    day = reports.quality_timeline(rows.withColumn("created_at", F.col("at").cast("timestamp_ntz")), "day").first()  # 77.55 / 3 prints as 25.849999999999998
+    assert (day["avg_score"], day["min_score"], day["max_score"]) == (25.9, 1.1, 40.0)

@@ -11,6 +11,12 @@ FRESHNESS_SCORES = {"fresh": 100.0, "stale": 50.0, "critical": 0.0, "unknown": 5
 LOWER_IS_BETTER = ("latency", "error_rate", "freshness")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double to so many digits, halves away from zero: what prints as 25.849999999999998, as 77.55 / 3 does, is 25.9 and not 25.8."""
+    scale = F.lit(10.0**digits)
+    return F.round(value * scale) / scale
+
+
 def quality_score(weighted_issues: Column, rows: Column) -> Column:
     """0 to 100: each row may hold five points of issues."""
     return F.when(rows > 0, F.greatest(F.lit(0.0), 100 - weighted_issues / (5 * rows) * 100)).otherwise(100.0)
@@ -31,7 +37,7 @@ def quality_level(score: Column) -> Column:
 def source_score(success_rate: Column, quality: Column, freshness: Column, records: Column, runs: Column) -> Column:
     fresh = F.coalesce(*[F.when(freshness == k, F.lit(v)) for k, v in FRESHNESS_SCORES.items()], F.lit(50.0))
     per_run = F.least(F.lit(100.0), records / F.greatest(runs, F.lit(1)))
-    return F.round(0.3 * F.coalesce(success_rate, F.lit(0.0)) + 0.25 * F.coalesce(quality, F.lit(0.0)) + 0.25 * fresh + 0.2 * per_run, 1)
+    return rounded(0.3 * F.coalesce(success_rate, F.lit(0.0)) + 0.25 * F.coalesce(quality, F.lit(0.0)) + 0.25 * fresh + 0.2 * per_run, 1)
 
 
 def sla_state(kind: Column, actual: Column, target: Column, warning: Column, critical: Column) -> Column:
@@ -48,4 +54,4 @@ def freshness_state(age_hours: Column, warning: Column, critical: Column, enable
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """part of whole in percent; null if there is no whole."""
-    return F.round(F.try_divide(part * 100.0, whole.cast("double")), digits)
+    return rounded(F.try_divide(part * 100.0, whole.cast("double")), digits)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.functions.scores import freshness_state, percent, sla_state
+from tributary.functions.scores import freshness_state, percent, rounded, sla_state
 
 
 def exact_sum(c: Column) -> Column:
@@ -34,7 +34,7 @@ def status_counts(status: Column = F.col) -> list[Column]:
 
 def by_status(runs: DataFrame) -> DataFrame:
     """Runs, sum and mean of time by status, with each status's share."""
-    grouped = runs.groupBy("status").agg(F.count("*").alias("runs"), F.round(exact_sum(F.col("ms")), 2).alias("total_ms"), F.round(exact_mean(F.col("ms")), 4).alias("mean_ms"))
+    grouped = runs.groupBy("status").agg(F.count("*").alias("runs"), rounded(exact_sum(F.col("ms")), 2).alias("total_ms"), rounded(exact_mean(F.col("ms")), 4).alias("mean_ms"))
     every = grouped.agg(F.sum("runs").alias("all_runs"))
     return grouped.join(F.broadcast(every)).withColumn("share", percent(F.col("runs"), F.col("all_runs"))).drop("all_runs")  # one row
 
@@ -42,7 +42,7 @@ def by_status(runs: DataFrame) -> DataFrame:
 def by_source(runs: DataFrame, top: int | None = 50) -> DataFrame:
     out = (
         runs.groupBy("source_id")
-        .agg(*status_counts(), F.round(exact_sum(F.col("ms")), 2).alias("total_ms"), F.round(exact_mean(F.col("ms")), 4).alias("mean_ms"), F.max("started_at").alias("last_run"))
+        .agg(*status_counts(), rounded(exact_sum(F.col("ms")), 2).alias("total_ms"), rounded(exact_mean(F.col("ms")), 4).alias("mean_ms"), F.max("started_at").alias("last_run"))
         .withColumn("success_rate", percent(F.col("success"), F.col("total")))
     )
     return out.orderBy(F.desc("total"), "source_id").limit(top) if top else out
@@ -52,7 +52,7 @@ def bucketed(runs: DataFrame, unit: str, shape: str) -> DataFrame:
     """Counts by hour or day: unit is a date_trunc unit, shape the label's format."""
     return (
         runs.groupBy(F.date_format(F.date_trunc(unit, F.col("started_at").cast("timestamp_ntz")), shape).alias("bucket"))
-        .agg(*status_counts(), F.round(exact_mean(F.col("ms")), 4).alias("mean_ms"))
+        .agg(*status_counts(), rounded(exact_mean(F.col("ms")), 4).alias("mean_ms"))
         .withColumn("success_rate", percent(F.col("success"), F.col("total")))
     )
 
@@ -69,8 +69,8 @@ def sla_values(runs: DataFrame, hours: int) -> DataFrame:
         F.coalesce(percent(F.count_if(s.isin("success", "partial")), F.count("*")), F.lit(100.0)).alias("availability"),
         F.coalesce(percent(F.count_if(s == "success"), F.count("*")), F.lit(100.0)).alias("success_rate"),
         F.coalesce(percent(F.count_if(s == "failed"), F.count("*")), F.lit(0.0)).alias("error_rate"),
-        F.coalesce(F.round(exact_mean(F.col("ms")), 2), F.lit(0.0)).alias("latency"),
-        F.round(F.count("*") / float(max(hours, 1)), 2).alias("throughput"),
+        F.coalesce(rounded(exact_mean(F.col("ms")), 2), F.lit(0.0)).alias("latency"),
+        rounded(F.count("*") / float(max(hours, 1)), 2).alias("throughput"),
     )
 
 
@@ -83,7 +83,7 @@ def sla_states(values: DataFrame, levels: Sequence[tuple[str, float, float, floa
 def freshness(runs: DataFrame, as_of: Column, warning: float, critical: float) -> DataFrame:
     """Each source's age in hours since its last run that gave data."""
     last = runs.groupBy("source_id").agg(F.max(F.when(F.col("status").isin("success", "partial"), F.col("started_at"))).alias("last_data"))
-    age = F.round(hours_between(as_of, F.col("last_data")), 4)
+    age = rounded(hours_between(as_of, F.col("last_data")), 4)
     return last.withColumn("age_hours", age).withColumn("state", freshness_state(F.col("age_hours"), F.lit(warning), F.lit(critical)))
 
 
@@ -95,7 +95,7 @@ def expected_interval(runs: DataFrame, last: int = 10, default: float = 24.0) ->
     out = good.where(F.col("n") <= last).groupBy("source_id").agg(F.count("*").alias("runs"), (F.sum(gap) / F.count(gap) / 3600.0).alias("mean_gap"))
     hours = F.when(F.col("runs") >= 2, F.col("mean_gap")).otherwise(F.lit(default))
     levels = (("expected_hours", 1.0), ("warning_hours", 1.5), ("critical_hours", 2.0))
-    return out.select("source_id", "runs", *[F.round(hours * k, 6).alias(n) for n, k in levels])
+    return out.select("source_id", "runs", *[rounded(hours * k, 6).alias(n) for n, k in levels])
 
 
 def consecutive_failures(runs: DataFrame, most: int = 10) -> DataFrame:
@@ -111,7 +111,7 @@ def period_change(runs: DataFrame, as_of: Column, hours: int, measure: Column, m
     start, before = (F.timestamp_add("HOUR", F.lit(-hours * k), as_of) for k in (1, 2))
     at = F.col("started_at")
     now, old = F.when((at >= start) & (at < as_of), measure), F.when((at >= before) & (at < start), measure)
-    out = runs.where((at >= before) & (at < as_of)).agg(F.round(exact_mean(now), 4).alias("current"), F.round(exact_mean(old), 4).alias("previous"))
+    out = runs.where((at >= before) & (at < as_of)).agg(rounded(exact_mean(now), 4).alias("current"), rounded(exact_mean(old), 4).alias("previous"))
     move = F.col("current") - F.col("previous")
     return out.withColumn("trend", F.when(move.isNull(), "unknown").when(move > margin, "up").when(move < -margin, "down").otherwise("stable"))
 

@@ -9,6 +9,7 @@ from dataclasses import asdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.functions.scores import percent, rounded
 from tributary.operators.schemas import Field, compatible, fingerprint
 
 LEVELS = ("critical", "error", "warning")
@@ -20,7 +21,7 @@ def quality_timeline(validations: DataFrame, interval: str, *by: str) -> DataFra
     count = lambda kind: F.size(F.filter("issues", lambda x: x.severity == kind))
     score = F.col("score").cast("decimal(24,6)")
     return validations.groupBy(*by, F.date_format("created_at", form).alias("bucket")).agg(
-        F.count("*").alias("validations"), F.sum("records").alias("records"), F.round(F.sum(score).cast("double") / F.count("score"), 1).alias("avg_score"), F.round(F.min("score"), 1).alias("min_score"), F.round(F.max("score"), 1).alias("max_score"),
+        F.count("*").alias("validations"), F.sum("records").alias("records"), rounded(F.sum(score).cast("double") / F.count("score"), 1).alias("avg_score"), rounded(F.min("score"), 1).alias("min_score"), rounded(F.max("score"), 1).alias("max_score"),
         F.sum(F.size("issues")).alias("issues"), *[F.sum(count(k)).alias(k) for k in LEVELS], F.count_if(F.size("issues") == 0).alias("clean"),
     )
 
@@ -28,7 +29,7 @@ def quality_timeline(validations: DataFrame, interval: str, *by: str) -> DataFra
 def quality_trend(validations: DataFrame, by: str, most: int = 10) -> DataFrame:
     """By source: overall average, lowest and highest score, validations, issues, and the `most` frequent rules (rule:count, ties by rule)."""
     score = F.col("score").cast("decimal(24,6)")
-    overall = validations.groupBy(by).agg(F.round(F.sum(score).cast("double") / F.count("score"), 4).alias("avg_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.count("*").alias("validations"), F.sum(F.size("issues")).alias("issues"))
+    overall = validations.groupBy(by).agg(rounded(F.sum(score).cast("double") / F.count("score"), 4).alias("avg_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.count("*").alias("validations"), F.sum(F.size("issues")).alias("issues"))
     rules = validations.select(by, F.explode("issues.rule").alias("rule")).groupBy(by, "rule").agg(F.count("*").alias("n"))
     best = rules.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "rule"))).where(F.col("place") <= most)
     told = best.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "rule", "n"))), lambda x: F.concat_ws(":", x.rule, x.n.cast("string"))).alias("top_rules"))
@@ -40,7 +41,7 @@ def snapshot_statistics(snapshots: DataFrame, by: str) -> DataFrame:
     kinds = F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "kinds"))))
     counted = snapshots.groupBy(by, "status", "kind").agg(F.count("*").alias("kinds"), F.sum("original").alias("original"), F.sum("stored").alias("stored"), F.sum("records").alias("records"))
     out = counted.groupBy(by, "status").agg(F.sum("kinds").alias("snapshots"), F.sum("original").alias("original"), F.sum("stored").alias("stored"), F.sum("records").alias("records"), kinds.alias("by_kind"))
-    saved = F.round(F.try_divide((F.col("original") - F.col("stored")) * 100.0, F.col("original").cast("double")), 2)
+    saved = percent(F.col("original") - F.col("stored"), F.col("original"))
     active = F.when(F.col("status") == "active", F.array_join(F.transform(F.map_entries("by_kind"), lambda e: F.concat_ws(":", e.key, e.value.cast("string"))), ",")).otherwise("")
     return out.select(by, "status", "snapshots", "original", "stored", "records", active.alias("by_kind"), F.when(F.col("status") != "deleted", F.coalesce(saved, F.lit(0.0))).alias("saved"))
 
