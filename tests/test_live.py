@@ -137,3 +137,24 @@ def test_rules_of_a_table(spark):
     rows = spark.createDataFrame([(1, "a", "3", "abc"), (2, "a", "9", "xyz"), (3, "a", "n/a", " "), (4, "a", None, None), (5, "b", "0", "k"), (6, "b", "0", "q"), (7, "c", "0", "q"), (8, None, "0", "q")], "id int, s string, x string, y string")
     got = {r["id"]: ([i["rule_id"] for i in r["issues"]], r["valid"], r["score"]) for r in refresh.checked(rows, rules, "s").collect()}
     assert got == {1: ([], True, 100.0), 2: (["r1", "r2"], False, 88.0), 3: (["r1", "r2", "r3"], False, 78.0), 4: (["r3"], False, 90.0), 5: (["r5"], True, 100.0), 6: (["r4", "r5"], False, 90.0), 7: ([], True, 100.0), 8: ([], True, 100.0)}
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_keys_of_a_bucket_share_calls_and_a_timer(spark, buckets):
+    """Many keys meet in few calls of Python; a repeated key, an early timer after a late one, and a key that comes back."""
+    at = lambda s: datetime.fromtimestamp(1_000_000 + s)
+    events = [[(i, at(500 - i), i % 3, 0) for i in range(60)] + [(59, at(441), 2, 0)], [(60, at(90_000), 0, 0)], [(61, at(180_000), 0, 0)]]
+    stream = _stream(spark, events, "id int, ts timestamp, fails int, replays int")
+    seen = lambda event, attempt: "no" if attempt <= event["fails"] else None
+    with state.settings(spark, state.STORE):
+        made = drain(state.retried(stream, seen, "id", "ts", [60.0, 86_400.0], "1 minute", buckets), scratch(spark)).collect()
+    want = sorted((i, a, 1_000_500.0 - i + (0, 60, 86_460)[a - 1], "done" if a > i % 3 else "retry") for i in range(60) for a in range(1, i % 3 + 2))
+    assert sorted((r["id"], r["attempt"], r["at"].timestamp(), r["outcome"]) for r in made if r["id"] < 60) == want
+
+    day = 86_400
+    at = lambda s: datetime.fromtimestamp(1_000 * 86_400 + s)
+    changes = [[(i, 5, "delete" if i % 2 else "insert", at(-i * day), "x") for i in range(20)], [(i, 4, "update", at(day), "late") for i in range(20)], [(50, 1, "insert", at(9 * day), "x")], [(51, 1, "insert", at(10 * day), "x")], [(i, 4, "update", at(10 * day), "late") for i in range(20)]]
+    path = scratch(spark)
+    state.land(state.last_changes(_stream(spark, changes, CHANGES), "id", ["v"], "ts", "30 days", 35 * day, buckets), f"{path}/out", f"{path}/state").awaitTermination()
+    late = sorted(r["id"] for r in state.landed(spark, f"{path}/out").where("operation = 'update'").collect())
+    assert late == []  # no tombstone has ended: the watermark is 20 days back

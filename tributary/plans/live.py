@@ -12,10 +12,10 @@ from tributary.streaming.events import drain
 
 
 def _slices(spark, rows, number, path):
-    """rows written as so many slices, one after the other, so that a stream reads them in that order; slice is a column from 0."""
+    """(number of a slice, stream of all slices so far) for so many slices, written one after the other; slice is a column from 0. A query that goes on for each takes a slice a batch, in as many files as it has."""
     for i in range(number):
-        rows.where(F.col("slice") == i).coalesce(1).write.parquet(f"{path}/slice-{i}")
-    return ev.read_stream(spark, f"{path}/slice-*", rows.schema, 1)
+        rows.where(F.col("slice") == i).write.parquet(f"{path}/slice-{i}")
+        yield i, ev.read_stream(spark, f"{path}/slice-*", rows.schema)
 
 
 def _documents_changed(spark, d):
@@ -27,17 +27,18 @@ def _documents_changed(spark, d):
 
 
 def stream_merge_resumed(spark: SparkSession, d: str) -> DataFrame:
-    """The last change of each user's document, from a stream that breaks off in its third batch, starts again, and is summed up in between."""
+    """The last change of each user's document, from a stream that breaks off in its third slice, starts again, and is summed up in between."""
     path = scratch(spark)
-    stream = _slices(spark, _documents_changed(spark, d), 4, f"{path}/in").drop("slice")
-    changes = state.last_changes(stream, "user_id", ["moved", "event_id"], "ts", "60 days", 90 * 86_400)
-    try:
-        state.land(changes, f"{path}/out", f"{path}/state", lambda n: n == 2).awaitTermination()
-    except Exception as e:
-        if "broke off" not in str(e):
-            raise
-    state.compacted(spark, f"{path}/out", f"{path}/sums", "user_id", ["moved", "event_id"], 2)
-    state.land(changes, f"{path}/out", f"{path}/state").awaitTermination()
+    for i, stream in _slices(spark, _documents_changed(spark, d), 4, f"{path}/in"):
+        changes = state.last_changes(stream.drop("slice"), "user_id", ["moved", "event_id"], "ts", "60 days", 90 * 86_400)
+        if i == 2:
+            try:
+                state.land(changes, f"{path}/out", f"{path}/state", lambda n: True).awaitTermination()
+            except Exception as e:
+                if "broke off" not in str(e):
+                    raise
+            state.compacted(spark, f"{path}/out", f"{path}/sums", "user_id", ["moved", "event_id"], 2)
+        state.land(changes, f"{path}/out", f"{path}/state").awaitTermination()
     return state.table_of(state.landed(spark, f"{path}/out", f"{path}/sums"), "user_id", ["moved", "event_id"]).drop("ts", "moved")
 
 
@@ -54,12 +55,14 @@ def _offered(spark, d, path):
     """Events in two slices by time, and a heartbeat after them all, which lets the last ones' timers run."""
     rows = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(0).alias("replays"), (F.dayofmonth("ts") > 15).cast("int").alias("slice"))
     late = spark.createDataFrame([(-6, 0, 2)], "event_id long, replays int, slice int").select("event_id", F.lit("2030-01-01").cast("timestamp").alias("ts"), "replays", "slice")
-    return _slices(spark, rows.unionByName(late), 3, path).drop("slice")
+    return _slices(spark, rows.unionByName(late), 3, path)
 
 
-def _attempts(spark, stream, path):
+def _attempts(spark, slices, path):
     with state.settings(spark, state.STORE):
-        return drain(state.retried(stream, _attempt, "event_id", "ts", DELAYS, "40 days").drop("ts"), path)
+        for _, stream in slices:
+            made = drain(state.retried(stream.drop("slice"), _attempt, "event_id", "ts", DELAYS, "40 days").drop("ts"), path)
+    return made
 
 
 def stream_retries(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +80,7 @@ def stream_replays(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/again")
     late = spark.createDataFrame([(-6, 1)], "event_id long, replays int").withColumn("ts", F.lit("2030-01-01").cast("timestamp"))
     slices = rows.withColumn("slice", F.lit(0)).unionByName(late.withColumn("slice", F.lit(1)))
-    second = _attempts(spark, _slices(spark, slices, 2, f"{path}/next").drop("slice"), f"{path}/second")
+    second = _attempts(spark, _slices(spark, slices, 2, f"{path}/next"), f"{path}/second")
     return second.where("event_id >= 0 and outcome <> 'retry'").groupBy("replays", "attempt", "outcome").agg(F.count("*").alias("n"), F.lit(sent[0]).cast("long").alias("sent"), F.lit(sent[1]).cast("long").alias("sent_again"))
 
 
@@ -98,7 +101,8 @@ def stream_rules_reread(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark)
     rows = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), F.least(F.floor((F.dayofmonth("ts") - 1) / 5), F.lit(5)).cast("int").alias("slice"))
     clock = lambda batch: batch.agg(F.max(F.unix_micros("ts"))).first()[0] / 1e6
-    refresh.validate(_slices(spark, rows, 6, f"{path}/in"), lambda now: _rules(spark, d, now), "user_id", f"{path}/out", f"{path}/state", _DAYS * 86_400.0, clock).awaitTermination()
+    for _, stream in _slices(spark, rows, 6, f"{path}/in"):
+        refresh.validate(stream, lambda now: _rules(spark, d, now), "user_id", f"{path}/out", f"{path}/state", _DAYS * 86_400.0, clock).awaitTermination()
     done = spark.read.parquet(f"{path}/out/data")
     return done.select("event_id", "slice", "score", "valid", F.array_join(F.transform("issues", lambda x: x.rule_id), ",").alias("rules"))
 
