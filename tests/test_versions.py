@@ -38,6 +38,17 @@ def test_merge_bases_of_random_histories(spark):
     assert {r["base"] for r in branches.merge_bases(crossed, spark.createDataFrame([(4, 5)], "ours long, theirs long")).collect()} == {2, 3}
 
 
+def test_merge_bases_cost_the_way_to_them(spark):
+    """A long history of which only the last versions are read, by a column that tells their order; parents that are no versions, and versions that descend from themselves."""
+    chain = [(i, [i - 1] if i else [-7], i) for i in range(300)] + [(1_000, [298], 299), (1_001, [-7], 5)]
+    versions = spark.createDataFrame(chain, "version_id long, parents array<long>, n long")
+    got = branches.merge_bases(versions, spark.createDataFrame([(299, 1_000), (299, 297), (3, 1_001), (1_001, 1_001)], "ours long, theirs long"), "n")
+    assert {(r["ours"], r["theirs"], r["base"]) for r in got.collect()} == {(299, 1_000, 298), (299, 297, 297), (3, 1_001, -7), (1_001, 1_001, 1_001)}
+    ring = spark.createDataFrame([(1, [2]), (2, [1])], "version_id long, parents array<long>")
+    with pytest.raises(ValueError):
+        branches.merge_bases(ring, spark.createDataFrame([(1, 2)], "ours long, theirs long"))
+
+
 def _plain_merge(b, o, t, prefer):
     """Of one key's three rows (tuples or None): (row or None, conflicting fields)."""
     if o is not None and t is not None:

@@ -73,7 +73,7 @@ def merge_base_versions(spark: SparkSession, d: str) -> DataFrame:
     rows = _history(spark, d)
     pairs = rows.where("p1 is not null").select(F.col("p1").alias("ours"), F.col("version_id").alias("theirs"))
     wide = rows.where("p2 is not null").select(F.col("p2").alias("ours"), F.col("version_id").alias("theirs"))
-    return b.merge_bases(rows, pairs.unionByName(wide))
+    return b.merge_bases(rows, pairs.unionByName(wide), "n")
 
 
 def _sides(spark, d):
