@@ -109,3 +109,11 @@ def test_an_error_meets_two_cases_at_most(spark):
     assert [(r["error_id"], r["case_id"]) for r in best.orderBy("error_id").collect()] == [(i, 59) for i in range(100)]
     plan = best._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 3 and plan.count("Join") == 2  # cases are reduced to one a key before each join
+
+
+def test_throttled_goes_through_a_task_once(spark):
+    rows = spark.createDataFrame([(k, t) for k in ("a", "b", None) for t in ("2024-01-01 00:00:00", "2024-01-01 00:00:05", "2024-01-01 00:00:10", "2024-01-02 00:00:00", None)], "k string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    out = metrics.throttled(rows, "k", "t", 1, 10)
+    got = [(r["k"], r["t"] and r["t"].day, r["t"] and r["t"].second, r["sent"]) for r in out.orderBy("k", F.asc_nulls_last("t")).collect()]
+    assert got == [(k, d, s, sent) for k in (None, "a", "b") for d, s, sent in ((1, 0, True), (1, 5, False), (1, 10, True), (2, 0, True), (None, None, True))]
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # no call of Python for each stretch

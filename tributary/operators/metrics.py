@@ -188,33 +188,33 @@ def cooled(fired: DataFrame, keys: Sequence[str], stamp: str, minutes: int) -> D
 def throttled(fired: DataFrame, keys: str | Sequence[str], stamp: str, most: int, seconds: int) -> DataFrame:
     """fired with sent: at most `most` sends of a key in any trailing window. What counts is what was sent.
 
-    A key's rows are cut where it was silent for longer than the window: first by the buckets of one
+    A key's rows are cut where it was silent for longer than the window, by the buckets of one
     window's length in which it fired (a partial aggregate), since two empty buckets apart nothing
-    can count, then by the gaps inside such a stretch. So only what hangs together meets in one task.
+    can count. Such stretches are dealt to tasks and sorted there by Spark; Python goes through a
+    task's rows once, whatever stretches they are of, and holds the sends of one window.
     """
-    import pandas as pd
-
     keys = [keys] if isinstance(keys, str) else list(keys)
-    bucket = F.floor(F.unix_micros(F.col(stamp).cast("timestamp")) / (seconds * 1_000_000)).cast("long")
-    rows = fired.withColumn("__bucket", bucket)
+    at = F.unix_micros(F.col(stamp).cast("timestamp"))
+    rows = fired.withColumn("__bucket", F.floor(at / (seconds * 1_000_000)).cast("long"))
     busy = rows.groupBy(*keys, "__bucket").agg(F.lit(1).alias("__one"))
     order = Window.partitionBy(*keys).orderBy("__bucket")
     apart = F.coalesce((F.col("__bucket") - F.lag("__bucket").over(order) > 1).cast("int"), F.lit(0))
     stretch = busy.withColumn("__apart", apart).withColumn("__stretch", F.sum("__apart").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__one", "__apart")
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "__bucket"]]
     rows = rows.alias("a").join(stretch.alias("b"), same).select(*[F.col(f"a.`{c}`") for c in fired.columns], "b.__stretch")
-    window = Window.partitionBy(*keys, "__stretch").orderBy(stamp)
-    gap = F.timestamp_diff("SECOND", F.lag(stamp).over(window), F.col(stamp)) > seconds
-    pieces = rows.withColumn("__piece", F.coalesce(F.sum(gap.cast("int")).over(window.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-
-    def send(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, kept, sent = rows.sort_values(stamp, kind="stable"), [], []
-        for at in rows[stamp]:
-            kept = [k for k in kept if (at - k).total_seconds() < seconds]
-            sent.append(len(kept) < most)
-            if sent[-1]:
-                kept.append(at)
-        return rows.drop(columns=["__stretch", "__piece"]).assign(sent=sent)
+    first = F.row_number().over(Window.partitionBy(*keys, "__stretch").orderBy(F.asc_nulls_last(stamp))) == 1  # and rows lie in this order
+    names, length = fired.columns, seconds * 1_000_000
+
+    def send(batches):
+        kept = []
+        for batch in batches:
+            sent = []
+            for now, begins in zip(batch["__at"].tolist(), batch["__first"].tolist(), strict=True):
+                kept = [] if begins or now != now else [k for k in kept if now - k < length]
+                sent.append(len(kept) < most)
+                if sent[-1] and now == now:  # no number: no time
+                    kept.append(now)
+            yield batch[names].assign(sent=sent)
 
     kinds = ", ".join(f"`{n}` {k}" for n, k in fired.dtypes)
-    return pieces.groupBy(*keys, "__stretch", "__piece").applyInPandas(send, f"{kinds}, sent boolean")
+    return rows.withColumns({"__at": at.cast("double"), "__first": first}).drop("__stretch").mapInPandas(send, f"{kinds}, sent boolean")
