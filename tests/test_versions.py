@@ -174,3 +174,11 @@ def test_null_and_repeated_keys(spark):
     done = changes.upsert(old.where("n = 1").drop("n").withColumn("_first_seen", F.lit("t1")), new.drop("n").where("v <> 'x'"), ["k"], F.lit("t2"))
     assert {(r["k"], r["v"], r["_outcome"], r["_first_seen"]) for r in done.collect()} == {(None, "z", "updated", "t1"), (1, "c", "updated", "t1"), (2, "d", "kept", "t1"), (3, "e", "inserted", "t2")}
     assert {r["k"] for r in changes.rollback(old, new.where("k is null"), "k").collect()} == {1, 2}
+
+
+def test_ends_of_a_graph_need_no_join(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 2), (5, 5), (None, 4), (6, None)], "source long, target long")
+    found = {side: getattr(lineage, side)(edges) for side in ("roots", "leaves")}
+    assert sorted(found["roots"].collect(), key=str) == sorted([(1,), (6,), (None,)], key=lambda r: f"Row(id={r[0]})")
+    assert sorted(r["id"] or 0 for r in found["leaves"].collect()) == [0, 3, 4]
+    assert all("Join" not in f._jdf.queryExecution().executedPlan().toString() for f in found.values())

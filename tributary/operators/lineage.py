@@ -197,12 +197,18 @@ def cyclic(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").distinct().join(of.toDF("source", "a"), "source").join(of.toDF("target", "b"), "target").where("a = b").select("source", "target")
 
 
+def _ends(edges: DataFrame, wanted: str, other: str) -> DataFrame:
+    """(id) of every node that is an edge's `wanted` end and no edge's `other` one: one grouping by node, no join."""
+    both = edges.select(F.inline(F.array(F.struct(F.col(wanted).alias("id"), F.lit(False).alias("other")), F.struct(F.col(other).alias("id"), F.lit(True).alias("other")))))
+    return both.where("id is not null or not other").groupBy("id").agg(F.bool_or("other").alias("other")).where("not other").select("id")
+
+
 def roots(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("source").alias("id")).distinct().join(edges.select(F.col("target").alias("id")), "id", "left_anti")
+    return _ends(edges, "source", "target")
 
 
 def leaves(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("target").alias("id")).distinct().join(edges.select(F.col("source").alias("id")), "id", "left_anti")
+    return _ends(edges, "target", "source")
 
 
 def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
