@@ -144,3 +144,14 @@ def test_odd_json(spark):
     assert [r["a"] for r in mixed.select("doc.a").collect()] == ["1", '{"b":2}', "[1]"]
     assert [p for p, _ in nested.paths(one('[{"a": 1}]', "[]").schema)] == ["doc", "doc[]", "doc[].a"]
     assert nested.profile(one('{"a": []}').select(F.col("doc")), ["doc"]).count() >= 1
+
+
+def test_elements_are_gone_through_once(spark):
+    """Rules of one array share a pass over its elements, and measures take elements as rows."""
+    rows = spark.createDataFrame([(1, ([(1.0, "a"), (None, "b")],))], "id long, doc struct<lines: array<struct<qty: double, name: string>>>").select("doc")
+    schema = [Field("doc.lines[].qty", "float", True, low=3.0, high=45.0), Field("doc.lines[].name", "string", True, longest=1, pattern="[A-M]")]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    checked = nested.errors(rows, schema, extra=False)
+    assert plan(checked).count("aggregate(") == 1 and "transform(" not in plan(checked)
+    assert "lambdafunction" not in plan(nested.profile(rows))
+    assert [tuple(e) for e in checked.first()["errors"]] == [("doc.lines[].qty", "missing_required", 1), ("doc.lines[].qty", "too_small", 1), ("doc.lines[].name", "wrong_pattern", 2), ("doc", "unknown_field", 1), ("doc.lines", "unknown_field", 1)]

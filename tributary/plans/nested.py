@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import nested as n
 from tributary.operators.schemas import Field
-from tributary.session import cut, table
+from tributary.session import file_system, scratch, table
 
 
 def _json(spark, d):
@@ -36,7 +36,14 @@ _KINDS = ("integer", "float", "string", "array", "object")
 
 
 def _docs(spark, d):
-    return n.from_json(cut(_json(spark, d)), "doc")
+    """The documents as structs: their text is read for its type and once more to be parsed, then it goes."""
+    path = scratch(spark)
+    _json(spark, d).write.parquet(f"{path}/text")
+    docs = n.from_json(spark.read.schema("o_orderkey long, doc string").parquet(f"{path}/text"), "doc").select("doc")
+    docs.write.parquet(f"{path}/docs")
+    place, files = file_system(spark, f"{path}/text")
+    files.delete(place, True)
+    return spark.read.schema(docs.schema).parquet(f"{path}/docs")
 
 
 def nested_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +52,7 @@ def nested_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def nested_schema(spark: SparkSession, d: str) -> DataFrame:
     """The schema that the documents themselves show, a row for each path."""
-    found = [astuple(f)[:4] + (f.low, f.high, f.shortest, f.longest) for f in n.infer(_docs(spark, d).select("doc"))]
+    found = [astuple(f)[:4] + (f.low, f.high, f.shortest, f.longest) for f in n.infer(_docs(spark, d))]
     return spark.createDataFrame(found, "path string, kind string, required boolean, nullable boolean, low double, high double, shortest int, longest int")
 
 
@@ -54,7 +61,7 @@ def nested_errors(spark: SparkSession, d: str) -> DataFrame:
         Field("doc", "object", True), Field("doc.id", "integer", True), Field("doc.customer", "object", True), Field("doc.customer.tier", "string", True, values=("1", "2", "3")), Field("doc.lines", "array", True),
         Field("doc.lines[].qty", "float", low=3.0, high=45.0), Field("doc.lines[].price", "float"), Field("doc.lines[].note", "string", True), Field("doc.lines[].state", "object"), Field("doc.lines[].state.flag", "string", True, longest=1, pattern="[A-M]"), Field("doc.customer.key", "string", shortest=2),
     ]
-    return n.error_counts(n.errors(_docs(spark, d).select("doc"), schema, extra=False))
+    return n.error_counts(n.errors(_docs(spark, d), schema, extra=False))
 
 
 QUERIES = {f.__name__: f for f in (nested_profile, nested_schema, nested_errors)}
