@@ -59,3 +59,12 @@ def test_templates_hold_for_good_rows(spark):
     assert not contracts.holds(contracts.measure(news.limit(0), contracts.TEMPLATES["generic_table"](["title"])).collect())
     nulls = news.unionByName(news.selectExpr("cast(null as string) as title", "cast(null as string) as url"))
     assert contracts.route(nulls, contracts.TEMPLATES["news_articles"]()).where("_route = 'valid'").count() == 10
+
+
+def test_walks_do_not_copy_edges(spark, monkeypatch):
+    copied = []
+    monkeypatch.setattr(impact, "cut", lambda df, cut=impact.cut: copied.append(df.columns) or cut(df))
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 1), (None, 3), (3, None)], "source long, target long")
+    starts = spark.createDataFrame([(1, 1), (3, 3)], "origin long, id long")
+    assert {tuple(r) for r in impact.walked(edges, starts, 4).collect()} == {(1, 2, 1), (1, 3, 2), (3, 1, 1), (3, 2, 2)}
+    assert ["source", "target"] not in copied
