@@ -2,9 +2,9 @@
 
 A path names struct fields with dots and elements of arrays with brackets: `a.b[].c` is the field c
 of every element of the array b in a. Records are structs and arrays, or JSON text, which becomes
-such by the type that all rows together have (`schema_of_variant_agg`, one aggregate). All values
-of a path in a row are one array expression, so a check walks a row's arrays where they are and
-multiplies no rows.
+such by the type that all rows together have (`schema_of_variant_agg`, one aggregate). Checks go
+through a row's arrays where they are, once for all rules of what lies in them, and multiply no
+rows; profiles take places as rows.
 """
 
 from __future__ import annotations
