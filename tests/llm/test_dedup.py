@@ -65,6 +65,35 @@ def test_passages_that_other_texts_hold_are_reported(spark):
     assert not any(n for i, (n, _) in got.items() if i < 7)
 
 
+def test_passages_go_from_every_text_of_the_pipeline(spark, docs, corpus):
+    import random
+
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(n))
+    passage, lead = words(52), words(50)
+    texts = [f"{words(30)}\n{passage} {words(7)}", f"é {passage.replace(' ', '  ')} {words(200)}", f"{lead} {words(70)}", f"{lead} {words(7)}", None, *[words(51)] * 2, *[words(50)] * 2, f"{passage} {words(3)} {passage}"]
+    texts += [t for _, t in corpus[60:80]]
+    want = []
+    held = {t: {tuple(x[k : k + 51]) for x in [(t or "").split()] for k in range(len(x) - 50)} for t in texts}
+    for t in texts:
+        gone = [(0, len((t or "").encode()))] if texts.count(t) > 1 and held[t] else []
+        data, at, spans = (t or "").encode(), 0, []
+        for w in data.split():
+            at = data.index(w, at)
+            spans.append((at, at := at + len(w)))
+        others = {r for u, runs in held.items() if u != t for r in runs}
+        x = (t or "").split()
+        gone += [(spans[k][0], spans[k + 50][1]) for k in range(len(x) - 50) if tuple(x[k : k + 51]) in others]
+        want.append(gone)
+    bytes_ = brute.repeats(texts, 400)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.cut_repeats(spark, rows, "").collect()}
+    for i, t in enumerate(texts):
+        cuts = suffix_dedup.merged([{"a": a, "b": b} for a, b in [*want[i], *bytes_[i]]], len((t or "").encode()))
+        assert got[i] == (None if t is None else suffix_dedup._cut(t.encode(), cuts).decode()), i
+    assert passage.split()[25] not in got[0] and lead in got[2] and got[5] == got[6] == "" and got[7]
+
+
 def test_columns_keep_their_names_and_values(spark):
     rows = spark.createDataFrame([(1, "abc " * 300, 7, "k", "s"), (2, None, 8, None, "t")], "doc_id long, text string, n int, tk string, spans string")
     out = {r["doc_id"]: r for r in suffix_dedup.cut_repeats(spark, rows, "").collect()}

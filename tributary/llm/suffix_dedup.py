@@ -21,7 +21,10 @@ have the same anchor, so only anchors and their surroundings need comparing.
 Passages: a run of 51 words or more that another text holds as well may have fewer bytes than
 `length` (it has some 315 in the median). Such runs are found in the same scan by anchors over
 words (grams of 11), whose windows of 44 words, 8 words apart, are compared by hash: one of them
-lies inside every common run of 51 words around the anchor. They are reported, not removed.
+lies inside every common run of 51 words around the anchor. op4 reports them and removes none.
+The pipeline's stage removes them in every text: only runs that hold a window found twice are
+compared, whole, by 128-bit digests of their words, so runs of 50 words stay. Texts of 51 words
+or more that occur twice go whole.
 
 Equal texts are repeats as a whole and take part once a task; texts are known by their MD5 and
 length. Texts travel only if a bitmap of bounded size says that they have something to compare
@@ -100,18 +103,22 @@ class _Block:
         ]
         return whose, at - begin, grams[at], around
 
-    def passages(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The text of each word anchor, the hash of its gram, and of its windows (a row each; NONE where the text has no such window)."""
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all words, each text's first word and number of words, and the prefix hashes over words."""
         word = np.concatenate([[False], ~SPACE[self.data], [False]])
         edges = np.flatnonzero(word[1:] != word[:-1])
         starts, ends = edges[::2], edges[1::2]
+        firsts = np.searchsorted(starts, self.begins)
+        run = np.concatenate([np.zeros(1, U), np.cumsum(substring_hashes(self.prefix, starts, ends) * powers(BASE, len(starts)))])
+        return starts, ends, firsts, np.diff(np.append(firsts, len(starts))), run
+
+    def passages(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The text of each word anchor, the hash of its gram, and of its windows (a row each; NONE where the text has no such window)."""
+        starts, _, firsts, counts, run = self.words()
         n = len(starts)
         if n < PASSAGE:
             return np.zeros(0, np.int64), np.zeros(0, U), np.zeros((0, len(WINDOWS)), np.int64)
-        firsts = np.searchsorted(starts, self.begins)
-        counts = np.diff(np.append(firsts, n))
         last = np.repeat(firsts + counts, counts)
-        run = np.concatenate([np.zeros(1, U), np.cumsum(substring_hashes(self.prefix, starts, ends) * powers(BASE, n))])
         at = np.arange(n - WORD_GRAM + 1)
         grams = substring_hashes(run, at, at + WORD_GRAM)
         at = _least(grams, PASSAGE - WORD_GRAM + 1, last - np.arange(n) >= PASSAGE)
@@ -122,6 +129,22 @@ class _Block:
         windows = substring_hashes(run, inside, inside + WINDOW).view(np.int64)
         return whose, grams[at], np.where(there, windows, NONE)
 
+    def runs_with(self, windows: list[np.ndarray]) -> list[tuple[int, int, int, bytes]]:
+        """(text, first and last byte, digest) of the runs of PASSAGE words that hold one of the text's listed windows."""
+        starts, ends, firsts, counts, run = self.words()
+        out = []
+        for i, (first, count, begin) in enumerate(zip(firsts.tolist(), counts.tolist(), self.begins.tolist(), strict=True)):
+            if count < PASSAGE:
+                continue
+            at = np.arange(first, first + count - WINDOW + 1)
+            found = np.flatnonzero(np.isin(substring_hashes(run, at, at + WINDOW).view(np.int64), windows[i]))
+            some = np.unique(found[:, None] - np.arange(PASSAGE - WINDOW + 1))
+            words = self.text[begin : begin + int(self.sizes[i])].split()
+            for k in some[(some >= 0) & (some + PASSAGE <= count)].tolist():
+                digest = hashlib.blake2b(b" ".join(words[k : k + PASSAGE]), digest_size=16).digest()
+                out.append((i, int(starts[first + k]) - begin, int(ends[first + k + PASSAGE - 1]) - begin, digest))
+        return out
+
 
 NONE = np.iinfo(np.int64).min
 WINDOWS = [f"w{i}" for i in range(len(range(0, PASSAGE - WORD_GRAM + 1, STEP)))]
@@ -385,38 +408,68 @@ def _grouped(rows: DataFrame, length: int, most: int) -> DataFrame:
 
 
 def _passages(rows: DataFrame) -> DataFrame:
-    """(tk, n) of the texts that share a run of words; rows: those of ANCHORS that anchor words."""
+    """(tk, n, windows) of the texts that share a run of words, with the windows shared; rows: those of ANCHORS that anchor words."""
     shared = materialize(rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("tk").alias("x"), F.max("tk").alias("y")).where("x <> y").select("gram", "c"))
     window = F.explode(F.array(*WINDOWS)).alias("window")
     windows = materialize(join_keys(rows, shared, "gram").select("tk", "n", window).where(F.col("window") != NONE).distinct())
     again = materialize(windows.groupBy("window").agg(F.count("*").alias("c"), F.min("tk").alias("x"), F.max("tk").alias("y")).where("x <> y").select("window", "c"))
-    found = materialize(join_keys(windows, again, "window").select("tk", "n").distinct())
+    found = materialize(join_keys(windows, again, "window").groupBy("tk", "n").agg(F.collect_set("window").alias("windows")))
     discard(shared, windows, again)
     return found
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, most: int = GROUP_ROWS) -> DataFrame:
-    """(tk, n, spans, passage) of each different text with repeats; docs as of keyed. spans: array of (a, b), may overlap; null without any."""
+def _runs(batches):
+    for batch in batches:
+        parts = encode(batch["text"])
+        for a, b in blocks(parts):
+            found = _Block(parts[a:b]).runs_with([np.asarray(w) for w in batch["windows"].iloc[a:b]])
+            whose = a + np.array([r[0] for r in found], np.int64)
+            rest = pd.DataFrame([r[1:] for r in found], columns=["a", "b", "run"])
+            yield pd.concat([batch[["tk", "n"]].iloc[whose].reset_index(drop=True), rest], axis=1)
+
+
+def _shared_runs(docs: DataFrame, passage: DataFrame) -> DataFrame:
+    """(tk, n, a, b) of every run of PASSAGE words that another text holds too; passage as of _passages."""
+    some = _possible(docs, passage).select(F.col("__tk").alias("tk"), F.col("__n").alias("n"), "text").dropDuplicates(["tk", "n"])
+    runs = materialize(some.join(passage, ["tk", "n"]).mapInPandas(tidied(_runs), "tk binary, n int, a int, b int, run binary"))
+    again = materialize(runs.groupBy("run").agg(F.count("*").alias("c"), F.min("tk").alias("x"), F.max("tk").alias("y")).where("x <> y").select("run", "c"))
+    return join_keys(runs, again, "run").select("tk", "n", "a", "b")
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, most: int = GROUP_ROWS, passages: bool = False) -> DataFrame:
+    """(tk, n, spans, passage) of each different text with repeats; docs as of keyed. spans: array of (a, b), may overlap; null without any.
+
+    With passages, runs of PASSAGE words that another text or a copy holds count as repeats, too.
+    """
     every = materialize(docs.select("__tk", "text").mapInPandas(tidied(lambda batches: _anchored(batches, length)), ANCHORS))
     passage = _passages(every.where("words").select("tk", "n", "gram", *WINDOWS))
+    copies = docs.select(F.col("__tk").alias("tk"), F.col("__n").alias("n")).groupBy("tk", "n").agg(F.count("*").alias("c")).where(F.col("c") > 1)
+    entire = copies.where(F.col("n") >= length)
+    if passages:
+        worded = copies.where(F.col("n") < length).join(every.where("words").select("tk", "n"), ["tk", "n"], "left_semi")
+        entire = materialize(entire.union(worded))
     rows = every.where("not words").select("tk", "n", "at", "gram", "around")
     grams = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("around").alias("x"), F.max("around").alias("y")).where("c > 1")
     grams = materialize(grams.select("gram", "c", (F.col("x") != F.col("y")).alias("mixed")))
     shared = materialize(join_keys(rows, grams, "gram"))
-    twice = materialize(shared.groupBy("around").agg(F.count("*").alias("c")).where("c > 1"))
+    # where all of a gram's surroundings are one, they occur as often as the gram
+    twice = materialize(shared.where("mixed").groupBy("around").agg(F.count("*").alias("c")).where("c > 1"))
     discard(every, grams)
     window = length - _gram(length) + 1
-    whole = join_keys(shared, twice, "around").select("tk", "n", F.greatest(F.lit(0), F.col("at") - window + 1).alias("a"), F.least("n", F.col("at") + length).alias("b"))
+    named = ["tk", "n", "at"]
+    whole = shared.where("not mixed").select(named).union(join_keys(shared.where("mixed"), twice, "around").select(named))
+    whole = whole.select("tk", "n", F.greatest(F.lit(0), F.col("at") - window + 1).alias("a"), F.least("n", F.col("at") + length).alias("b"))
     edges = shared.where("mixed").groupBy("gram", "around").agg(F.count("*").alias("c"), F.min(F.struct("tk", "n", "at")).alias("r"))
     edges = edges.select("gram", (F.col("c") == 1).alias("lone"), "r.tk", "r.n", "r.at")
     listed = edges.groupBy("tk", "n").agg(F.collect_list(F.struct("at", "gram", "lone")).alias("rows"))
     listed = materialize(listed.select("tk", "n", *[F.expr(f"transform(rows, r -> r.{c})").alias(c) for c in ("at", "gram", "lone")]))
     some = _possible(docs, listed).select(F.col("__tk").alias("tk"), F.col("__n").alias("n"), "text").dropDuplicates(["tk", "n"])
     around = materialize(some.join(listed, ["tk", "n"]).mapInPandas(tidied(lambda batches: _surroundings(batches, length)), AROUND))
-    copies = docs.select(F.col("__tk").alias("tk"), F.col("__n").alias("n")).groupBy("tk", "n").agg(F.count("*").alias("c")).where(F.col("c") > 1).where(F.col("n") >= length)
-    spans = whole.union(_grouped(around, length, most)).union(copies.select("tk", "n", F.lit(0).alias("a"), F.col("n").alias("b")))
+    spans = whole.union(_grouped(around, length, most)).union(entire.select("tk", "n", F.lit(0).alias("a"), F.col("n").alias("b")))
+    if passages:
+        spans = spans.union(_shared_runs(docs, passage))
     spans = spans.groupBy("tk", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return spans.join(passage.withColumn("passage", F.lit(True)), ["tk", "n"], "full").withColumn("passage", F.coalesce("passage", F.lit(False)))
+    return spans.join(passage.select("tk", "n", F.lit(True).alias("passage")), ["tk", "n"], "full").withColumn("passage", F.coalesce("passage", F.lit(False)))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -455,14 +508,14 @@ def _cut(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def without_repeats(docs: DataFrame, use, schema, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, use, schema, length: int = LENGTH, passages: bool = False) -> DataFrame:
     """use(batch of docs' rows, runs to remove of each row) for every row of docs (doc_id, text, ...), as a table of `schema`.
 
-    The batches also have __passage: whether another text holds a run of PASSAGE words of this one.
+    The batches also have __passage: whether another text holds a run of PASSAGE words of this one. With passages, such runs are removed as well.
     """
     small_batches(docs.sparkSession)
     rows = keyed(docs)
-    spans = repeated(rows.select("__tk", "__n", "text"), length)
+    spans = repeated(rows.select("__tk", "__n", "text"), length, passages=passages)
     spans = materialize(spans.toDF("__tk", "__n", "__spans", "__passage"))
 
     def spanned(batches):
@@ -498,7 +551,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeats of LENGTH bytes go from every text; characters cut in two go whole. Null texts stay null."""
+    """Pipeline stage: repeats of LENGTH bytes and runs of PASSAGE words that another text holds go from every text; characters cut in two go whole. Null texts stay null."""
     names = docs.columns
 
     def shortened(batch: pd.DataFrame, runs: list) -> pd.DataFrame:
@@ -512,7 +565,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     out.iat[i, names.index("n_chars")] = len(text)
         return out
 
-    return without_repeats(docs.withColumn("__null", F.col("text").isNull()), shortened, docs.schema)
+    return without_repeats(docs.withColumn("__null", F.col("text").isNull()), shortened, docs.schema, passages=True)
 
 
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
