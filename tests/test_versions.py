@@ -165,6 +165,17 @@ def test_longest_ways_leave_cycles_out(spark):
     assert lineage.critical_paths(edges.limit(0)).count() == 0
 
 
+def test_longest_ways_keep_one_row_a_node(spark, monkeypatch):
+    # 2^40 ways from end to end through pairs of nodes, and a tail that waits for its last edge
+    edges = [(3 * k, 3 * k + i, 1) for k in range(40) for i in (1, 2)] + [(3 * k + i, 3 * k + 3, 1) for k in range(40) for i in (1, 2)] + [(0, 119, 1), (-1, 119, 50)]
+    kept, widest = lineage._kept, []
+    monkeypatch.setattr(lineage, "_kept", lambda df: (out := kept(df), widest.append(out.count()))[0])
+    rows = spark.createDataFrame(edges[:48] + [(0, 36, 1)], "source long, target long, w long")
+    got = [(r["path"], r["length"]) for r in lineage.critical_paths(rows, 7, "w").collect()]
+    assert sorted(got, key=lambda x: (-x[1], x[0][::-1])) == _plain_ways(edges[:48] + [(0, 36, 1)], "w")[:7]
+    assert max(widest) <= 49  # no table has more rows than there are edges
+
+
 def test_null_and_repeated_keys(spark):
     old = spark.createDataFrame([(None, "a", 1), (1, "b", 1), (1, "c", 2), (2, "d", 1)], "k int, v string, n int")
     assert {r["k"]: r["change"] for r in changes.diff(old, old, ["k"], order="n").collect()} == {None: "unchanged", 1: "unchanged", 2: "unchanged"}

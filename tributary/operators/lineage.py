@@ -7,10 +7,12 @@ the session names, so that a lost executor costs one step at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.session import cut
+from tributary.session import cut, scratch
+
+SMALL = 65_536  # nodes of a front that is sent to the edges
 
 
 def _clean(edges: DataFrame) -> DataFrame:
@@ -44,35 +46,58 @@ def impact(edges: DataFrame, start: DataFrame, types: DataFrame, deleted: bool =
     return far.select("id", "type", "distance", F.element_at(names, F.least(level, F.lit(4))).alias("level"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df as a compressed table in the shared folder, which is read again in every step of a walk."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """(id, level, length) of the nodes neither on nor behind a cycle: the most edges, and the most weight, of a way from a root to a node; rows: (source, target, weight), each edge once.
+
+    A node is placed in the step that brings the last of its edges, so a step holds a front and the
+    nodes that wait for more edges, not all that is left. A small front is sent to the edges.
+    """
+    start = roots(rows).select("id", F.lit(0).cast(dict(rows.dtypes)["weight"]).alias("length"))
+    rows = _kept(rows.join(rows.groupBy("target").agg(F.count("*").alias("needed")), "target"))
+    front, waiting, out, level = _kept(start), None, None, 0
+    while n := front.count():
+        here = front.select("id", F.lit(level).alias("level"), "length")
+        out = here if out is None else out.union(here)
+        front = front.withColumnRenamed("id", "source")
+        near = (F.broadcast(front) if n <= SMALL else front).join(rows, "source").select(F.col("target").alias("id"), "needed", F.lit(1).cast("long").alias("come"), (F.col("length") + F.col("weight")).alias("length"))
+        near = near if waiting is None else near.unionByName(waiting)
+        near = _kept(near.groupBy("id").agg(F.max("needed").alias("needed"), F.sum("come").alias("come"), F.max("length").alias("length")))
+        front, waiting = near.where("come = needed").select("id", "length"), near.where("come < needed")
+        level += 1
+    return start.select("id", F.lit(0).alias("level"), "length") if out is None else out
+
+
 def critical_paths(edges: DataFrame, most: int = 10, weight: str | None = None) -> DataFrame:
     """(path, length) of the `most` longest ways from a root to a leaf; with equal lengths, by their nodes from the last back.
 
-    No way is spelled out before the end: nodes are taken level by level, and each keeps its
-    `most` best heads, a head being a length, a predecessor and which of the predecessor's heads
-    it continues. Only the winners are followed back. Edges that lead into or out of a cycle take
-    no part. length counts edges, or sums their weights (not negative); of edges between the same
-    nodes the heaviest counts.
+    Forward, each node gets the length of the longest way to it, one row a node. Backward from the
+    `most` best leaves, each way is continued to all predecessors, and the `most` stay whose longest
+    completion, known from the first walk, comes first: every other one has as many ways before it.
+    Edges that lead into or out of a cycle take no part. length counts edges, or sums their weights
+    (not negative, summed from the root); of edges between the same nodes the heaviest counts.
     """
     rows = edges.where("source is not null and target is not null")
-    rows = cut(rows.groupBy("source", "target").agg((F.max(weight) if weight else F.lit(1)).cast("double" if weight else "long").alias("weight")))
-    placed = cut(levels(rows).where("level is not null"))
-    deepest = placed.agg(F.max("level")).first()[0]
-    steps = cut(rows.join(placed.select(F.col("id").alias("target"), "level"), "target"))
-    best = Window.partitionBy("id").orderBy(F.desc("length"), F.asc_nulls_first("before"), "before_rank")
-    none = F.lit(None).cast(dict(rows.dtypes)["source"])
-    heads = placed.where("level = 0").select("id", "level", F.lit(1).alias("rank"), F.lit(0).cast(dict(rows.dtypes)["weight"]).alias("length"), none.alias("before"), F.lit(None).cast("int").alias("before_rank"))
-    for level in range(1, (deepest or 0) + 1):
-        here = steps.where(F.col("level") == level).join(heads.drop("level").withColumnRenamed("id", "source"), "source")
-        near = here.select(F.col("target").alias("id"), "level", (F.col("length") + F.col("weight")).alias("length"), F.col("source").alias("before"), F.col("rank").alias("before_rank"))
-        heads = heads.unionByName(cut(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)))
-    leaves = heads.join(rows.select(F.col("source").alias("id")).distinct(), "id", "left_anti")
-    ways = cut(leaves.orderBy(F.desc("length"), "id", "rank").limit(most).select(F.array("id").alias("path"), "length", "before", "before_rank"))
-    back = heads.select(F.col("id").alias("at"), F.col("rank").alias("at_rank"), F.col("before").alias("next"), F.col("before_rank").alias("next_rank"))
-    while not ways.where("before is not null").isEmpty():
-        met = back.join(F.broadcast(ways), (F.col("at") == F.col("before")) & (F.col("at_rank") == F.col("before_rank")))  # `most` ways
-        moved = met.select(F.concat(F.array("at"), "path").alias("path"), "length", F.col("next").alias("before"), F.col("next_rank").alias("before_rank"))
-        ways = cut(moved.unionByName(ways.where("before is null")))
-    return ways.select("path", "length")
+    rows = _kept(rows.groupBy("source", "target").agg((F.max(weight) if weight else F.lit(1)).cast("double" if weight else "long").alias("weight")))
+    zero = F.lit(0).cast(dict(rows.dtypes)["weight"])
+    placed = _placed(rows)
+    steps = _kept(rows.join(placed.select(F.col("id").alias("source"), (F.col("level") == 0).alias("first"), F.col("length").alias("upto")), "source"))
+    order = [F.desc("total"), F.reverse("path")]
+    ways = placed.join(rows.select(F.col("source").alias("id")).distinct(), "id", "left_anti")
+    ways = ways.select(F.array("id").alias("path"), F.array_repeat(zero, 0).alias("weights"), F.col("length").alias("total"), zero.alias("behind"), F.lit(False).alias("done"))
+    ways = _kept(ways.orderBy(*order).limit(most))
+    while not ways.where("not done").isEmpty():
+        met = steps.join(F.broadcast(ways.where("not done").drop("done", "total")), F.col("target") == F.element_at("path", 1))  # `most` ways
+        behind = F.col("weight") + F.col("behind")
+        moved = met.select(F.concat(F.array("source"), "path").alias("path"), F.concat(F.array("weight"), "weights").alias("weights"), (F.col("upto") + behind).alias("total"), behind.alias("behind"), F.col("first").alias("done"))
+        ways = _kept(moved.unionByName(ways.where("done")).orderBy(*order).limit(most))
+    return ways.select("path", F.aggregate("weights", zero, lambda a, w: a + w).alias("length"))
 
 
 def paths(edges: DataFrame, start, end, depth: int = 10, most: int | None = None, shortest: bool = False) -> DataFrame:
@@ -124,21 +149,10 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 def levels(edges: DataFrame) -> DataFrame:
     """(id, level): the length of the longest way to a node from any root; nodes on or behind a cycle have none."""
-    edges = _clean(edges)
-    nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
-    left = cut(nodes)
-    rest, out, level = edges, None, 0
-    while True:
-        roots = cut(left.join(rest.select(F.col("target").alias("id")), "id", "left_anti"))
-        if roots.isEmpty():
-            break
-        here = roots.withColumn("level", F.lit(level))
-        out = here if out is None else out.union(here)
-        left = cut(left.join(roots, "id", "left_anti"))
-        rest = cut(rest.join(roots.select(F.col("id").alias("source")), "source", "left_anti"))
-        level += 1
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return stuck if out is None else out.union(stuck)
+    rows = _kept(edges.select("source", "target").where("source is not null and target is not null").distinct().withColumn("weight", F.lit(1)))
+    placed = _placed(rows).select("id", "level")
+    nodes = rows.select(F.col("source").alias("id")).union(rows.select("target")).distinct()
+    return placed.union(nodes.join(placed, "id", "left_anti").withColumn("level", F.lit(None).cast("int")))
 
 
 def _peeled(rest: DataFrame) -> DataFrame:
