@@ -158,3 +158,39 @@ def test_keys_of_a_bucket_share_calls_and_a_timer(spark, buckets):
     state.land(state.last_changes(_stream(spark, changes, CHANGES), "id", ["v"], "ts", "30 days", 35 * day, buckets), f"{path}/out", f"{path}/state").awaitTermination()
     late = sorted(r["id"] for r in state.landed(spark, f"{path}/out").where("operation = 'update'").collect())
     assert late == []  # no tombstone has ended: the watermark is 20 days back
+
+
+def test_a_call_reads_and_writes_its_bucket_once():
+    import pandas as pd
+
+    class Value:
+        def __init__(self):
+            self.held, self.calls = None, []
+
+        exists = lambda self: self.held is not None
+        get = lambda self: (self.calls.append("get"), self.held)[1]
+        update = lambda self, new: (self.calls.append("update"), setattr(self, "held", new))
+        clear = lambda self: (self.calls.append("clear"), setattr(self, "held", None))
+
+    class Handle:
+        def __init__(self):
+            self.value, self.timers = Value(), []
+
+        getValueState = lambda self, name, schema: self.value  # noqa: E731, N815
+        registerTimer = lambda self, at: self.timers.append(at)  # noqa: E731, N815
+
+    class Now:
+        at = 0
+        getCurrentWatermarkInMs = lambda self: self.at  # noqa: E731, N815
+
+    writer, handle, now = state.LastWriter("id", ["id", "v", "operation", "ts"], ["v"], "ts", 10), Handle(), Now()
+    writer.init(handle)
+    rows = lambda v, operation, second, ids: pd.DataFrame({"id": ids, "v": v, "operation": operation, "ts": pd.Timestamp(second, unit="s")})
+    take = lambda *batches: sorted(x for out in writer.handleInputRows((0,), iter(batches), now) for x in out["id"])
+    assert take(rows(5, "insert", 1, range(500)), rows(6, "delete", 2, range(300, 600))) == list(range(600))
+    assert take(rows(5, "update", 3, range(600)), rows(7, "insert", 3, [300])) == [300]
+    assert handle.value.calls == ["update", "get", "update"] and handle.timers == [12_000]
+    now.at = 12_000
+    assert list(writer.handleExpiredTimer((0,), now, None)) == []
+    assert take(rows(4, "update", 20, range(600))) == list(range(301, 600))  # tombstones have ended, what came back has not
+    assert handle.timers == [12_000] and handle.value.calls.count("update") == 4
