@@ -173,6 +173,19 @@ def test_updates_come_every_2048_tokens():
     assert all(np.array_equal(a, b) for a, b in zip(once, twice, strict=True))
 
 
+def test_gradients_are_summed_by_row():
+    rng = np.random.default_rng(6)
+    rows = np.minimum(rng.zipf(1.3, (3, 5, 700)), 900).astype(np.int32)
+    vectors = rng.normal(size=(3, 700, maxent_lm.WIDE)).astype(np.float32)
+    want, n = np.zeros((901, maxent_lm.WIDE)), np.bincount(rows.ravel(), minlength=901)
+    for level, feature in np.ndindex(3, 5):
+        np.add.at(want, rows[level, feature], vectors[level])
+    used, sums, count = maxent_lm._summed(vectors, rows)
+    assert used.tolist() == np.flatnonzero(n).tolist() and count.tolist() == n[used].tolist()
+    assert np.abs(sums - want[used]).max() < 1e-3
+    assert maxent_lm._summed(vectors[:, :1], rows[:, :, :1])[2].sum() == 15
+
+
 def test_the_model_does_not_depend_on_partitions(spark, docs):
     found = [sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["score"]) for r in maxent_lm.scores(docs.repartition(n)).collect()) for n in (1, 5)]
     assert np.allclose([s for _, s in found[0]], [s for _, s in found[1]])

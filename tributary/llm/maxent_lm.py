@@ -197,37 +197,55 @@ def log_probability(weights: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -
     """Natural logarithm of the probability of each token's class and member."""
     out = np.empty(rows.shape[2])
     for i in range(0, len(out), STEP):
-        z, want = _logits(weights, rows[:, :, i : i + STEP]), wanted[:, i : i + STEP, None]
-        own = np.take_along_axis(z, want, axis=2)[:, :, 0]
+        z, want = _logits(weights, rows[:, :, i : i + STEP]), wanted[:, i : i + STEP]
+        own = z.ravel().take(np.arange(want.size) * WIDE + want.ravel()).reshape(want.shape)
         out[i : i + STEP] = (own - np.log(np.exp(z, out=z) @ ONES)).sum(axis=0)
     return out
 
 
+def _summed(vectors: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values of rows (factors, features, tokens), the sum of their vectors (one a factor and token), and how many there were.
+
+    Vectors lie sorted by row; in each row the second is added to the first, the fourth to the
+    third, then the third to the first, and so on, so sums depend on nothing but the order.
+    """
+    levels, features, n = rows.shape
+    own = np.repeat(np.arange(levels * n).reshape(levels, 1, n), features, axis=1)
+    key = np.sort((rows.astype(np.int64) << 32 | own).ravel())
+    row = key >> 32
+    sums = vectors.reshape(-1, WIDE).take(key & 0xFFFFFFFF, axis=0)
+    head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    count = np.diff(np.append(head, len(row)))
+    left = (np.repeat(head + count, count) - np.arange(len(row))).astype(np.int32)  # of the row, from each place on
+    rank = np.repeat(count, count).astype(np.int32) - left
+    at, step = np.arange(len(row)), 1
+    while len(at := at[(rank.take(at) & (2 * step - 1) == 0) & (left.take(at) > step)]):
+        _put(sums, at, sums.take(at, axis=0) + sums.take(at + step, axis=0))
+        step *= 2
+    return row.take(head), sums.take(head, axis=0), count
+
+
+def _put(table: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """table[at] = values for whole rows, each moved as one item."""
+    item = np.dtype((np.void, table.itemsize * table.shape[1]))
+    table.view(item).ravel()[at] = values.view(item).ravel()
+
+
 def follow(weights: np.ndarray, heat: np.ndarray, seen: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> None:
     """One pass of gradient updates, in place. heat: of each row, the squared gradients so far."""
-    place, there = np.zeros(len(weights), np.int64), np.zeros(len(weights), bool)
     for i in range(0, rows.shape[2], STEP):
         part = rows[:, :, i : i + STEP]
         p = _logits(weights, part)
         np.exp(p, out=p)
         p *= (1 / (p @ ONES))[:, :, None]
-        want = wanted[:, i : i + STEP, None]
-        np.put_along_axis(p, want, np.take_along_axis(p, want, axis=2) - 1, axis=2)
-        flat = part.ravel()
-        there[flat] = True
-        used = np.flatnonzero(there)
-        there[used] = False
-        place[used] = np.arange(len(used))
-        flat = place[flat]
-        grad = np.empty((WIDE, len(used)), np.float32)
-        for c, own in enumerate(np.ascontiguousarray(p.transpose(2, 0, 1), np.float64)):  # sums by row, a column at a time
-            grad[c] = np.bincount(flat, np.repeat(own[:, None], part.shape[1], axis=1).ravel(), len(used))
-        grad = np.ascontiguousarray(grad.T)
-        hot = heat[used] + np.einsum("ij,ij->i", grad, grad) / WIDE
+        want = wanted[:, i : i + STEP].ravel()
+        p.ravel()[np.arange(len(want)) * WIDE + want] -= 1
+        used, grad, count = _summed(p, part)
+        hot = heat.take(used) + (grad * grad) @ ONES / WIDE
         heat[used] = hot
         grad *= (RATE / np.sqrt(hot + CALM / WIDE))[:, None]
-        weights[used] -= grad
-        seen[used] += np.bincount(flat, minlength=len(used))
+        _put(weights, used, weights.take(used, axis=0) - grad)
+        seen[used] += count
 
 
 def _updated(batches, counts: Counts):
