@@ -101,6 +101,23 @@ def test_columns_keep_their_names_and_values(spark):
     assert (out[2]["n"], out[2]["tk"], out[2]["spans"], out[2]["text"]) == (8, None, "t", None)
 
 
+def test_joins_do_not_grow_with_the_copies_of_a_passage(spark, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(n))
+    passage = words(400)
+    texts = [f"{words(5)} {passage} {words(5)}" for _ in range(150)]
+    made, join = [], suffix_dedup.join_keys
+    monkeypatch.setattr(suffix_dedup, "join_keys", lambda rows, keys, on: made.append((on, join(rows, keys, on).count())) or join(rows, keys, on))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = suffix_dedup.keyed(rows).select("__tk", "__n", "text")
+    spans = [suffix_dedup.merged(r["spans"], r["n"]) for r in suffix_dedup.repeated(keyed).collect()]
+    assert len(spans) == 150 and all(len(s) == 1 and s[0][1] - s[0][0] >= len(passage) for s in spans)
+    anchors = 150 * len(passage) // 280  # one in every 281 bytes at least
+    assert sum(n for on, n in made if on in ("gram", "around")) < anchors
+
+
 def test_large_groups_are_cut_in_two(spark, docs, corpus):
     keyed = suffix_dedup.keyed(docs.select("doc_id", "text")).select("__tk", "__n", "text")
     spans = lambda most: {(r["tk"], r["n"]): suffix_dedup.merged(r["spans"] or [], r["n"]) for r in suffix_dedup.repeated(keyed, 60, most).collect()}

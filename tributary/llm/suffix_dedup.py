@@ -6,8 +6,10 @@ document. Every such string holds an anchor: the position of the least hash of a
 have the same anchor, so only anchors and their surroundings need comparing.
 
 1. Anchors with the gram's hash and a 128-bit BLAKE2b digest of their whole surroundings (all
-   strings that could hold the anchor). Anchors whose gram occurs once end here.
-2. Surroundings that occur twice are repeats from end to end.
+   strings that could hold the anchor). Anchors whose gram occurs once end here, but for a few
+   that a bitmap of the others lets through; they meet nothing later.
+2. Anchors with equal surroundings become a few lists. Surroundings that occur twice are repeats
+   from end to end.
 3. The remaining anchors and one of each repeated surroundings meet by gram. In a group, the
    suffixes at one offset before the anchor are merge-sorted: two suffixes are compared by
    prefix polynomial hashes and a binary search for their common extension. Neighbours that
@@ -52,6 +54,12 @@ LENGTH = 400
 #: words of a passage, of the grams that anchor it, and of the windows that are compared, which lie STEP words apart
 PASSAGE, WORD_GRAM, WINDOW, STEP = 51, 11, 44, 8
 GROUP_ROWS = 16_384
+#: bytes of texts whose anchors are looked for together: their arrays stay in a core's cache
+BLOCK = 1 << 17
+#: lists into which the anchors with equal surroundings are dealt at least, and anchors for which there is one list more
+SALTS, SALT_ROWS = 16, 500_000
+#: bits of the table by which strings without a twin are told apart
+TWIN_BITS = 19
 BATCH_BYTES = 1 << 22
 U = np.uint64
 LOW = U(0xFFFFFFFF)
@@ -155,7 +163,7 @@ def _anchored(batches, length):
     for batch in batches:
         texts = dict(zip(batch["__tk"], encode(batch["text"]), strict=True))
         keys, parts = np.array([*texts, None], object)[:-1], list(texts.values())
-        for a, b in blocks(parts):
+        for a, b in blocks(parts, BLOCK):
             block = _Block(parts[a:b])
             whose, at, gram, around = block.anchors(length)
             who, word_gram, windows = block.passages()
@@ -260,8 +268,8 @@ def _sorted_runs(data: np.ndarray, prefix: np.ndarray, run: np.ndarray, start: n
 
 def _twins(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the keys that occur more than once, and for each the place of another one."""
-    slot = (keys & U((1 << 21) - 1)).astype(np.int64)
-    last, several = np.empty(1 << 21, np.int32), np.zeros(1 << 21, bool)
+    slot = (keys & U((1 << TWIN_BITS) - 1)).astype(np.int64)
+    last, several = np.empty(1 << TWIN_BITS, np.int32), np.zeros(1 << TWIN_BITS, bool)
     every = np.arange(len(keys), dtype=np.int32)
     last[slot] = every
     several[slot[last[slot] != every]] = True
@@ -407,13 +415,28 @@ def _grouped(rows: DataFrame, length: int, most: int) -> DataFrame:
         rows = materialize(join_keys(rows, wide, "key").select("key", *[c.split()[0] for c in AROUND.split(", ")[1:]]).mapInPandas(tidied(lambda batches: _halved(batches, length)), AROUND))
 
 
+def _maybe(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """The rows whose gram is in grams (gram), and a few others, by a bitmap of bounded size."""
+    table = rows.sparkSession.sparkContext.broadcast(bitmap(grams))
+
+    def chosen(batches):
+        for batch in batches:
+            some = has_bit(table.value, batch.column("bit").to_numpy())
+            if some.any():
+                yield batch.drop_columns("bit").filter(some)
+
+    return rows.withColumn("bit", maybe_in(table.value, "gram")).mapInArrow(chosen, rows.schema)
+
+
 def _passages(rows: DataFrame) -> DataFrame:
     """(tk, n, windows) of the texts that share a run of words, with the windows shared; rows: those of ANCHORS that anchor words."""
-    shared = materialize(rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("tk").alias("x"), F.max("tk").alias("y")).where("x <> y").select("gram", "c"))
+    shared = materialize(rows.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"))
     window = F.explode(F.array(*WINDOWS)).alias("window")
-    windows = materialize(join_keys(rows, shared, "gram").select("tk", "n", window).where(F.col("window") != NONE).distinct())
-    again = materialize(windows.groupBy("window").agg(F.count("*").alias("c"), F.min("tk").alias("x"), F.max("tk").alias("y")).where("x <> y").select("window", "c"))
-    found = materialize(join_keys(windows, again, "window").groupBy("tk", "n").agg(F.collect_set("window").alias("windows")))
+    # a common run has its anchor's gram in both texts, so grams that the bitmap lets through by chance add nothing
+    windows = _maybe(rows, shared).select("tk", "n", "gram", window).where(F.col("window") != NONE).distinct()
+    windows = materialize(windows.select("tk", "n", "window", F.xxhash64("gram", "window").alias("key")))
+    again = materialize(windows.groupBy("key").agg(F.count("*").alias("c"), F.min("tk").alias("x"), F.max("tk").alias("y")).where("x <> y").select("key", "c"))
+    found = materialize(join_keys(windows, again, "key").groupBy("tk", "n").agg(F.collect_set("window").alias("windows")))
     discard(shared, windows, again)
     return found
 
@@ -449,18 +472,20 @@ def repeated(docs: DataFrame, length: int = LENGTH, most: int = GROUP_ROWS, pass
         worded = copies.where(F.col("n") < length).join(every.where("words").select("tk", "n"), ["tk", "n"], "left_semi")
         entire = materialize(entire.union(worded))
     rows = every.where("not words").select("tk", "n", "at", "gram", "around")
-    grams = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("around").alias("x"), F.max("around").alias("y")).where("c > 1")
-    grams = materialize(grams.select("gram", "c", (F.col("x") != F.col("y")).alias("mixed")))
-    shared = materialize(join_keys(rows, grams, "gram"))
-    # where all of a gram's surroundings are one, they occur as often as the gram
-    twice = materialize(shared.where("mixed").groupBy("around").agg(F.count("*").alias("c")).where("c > 1"))
+    grams = materialize(rows.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"))
+    salts = max(SALTS, (grams.agg(F.sum("c")).first()[0] or 0) // SALT_ROWS)
+    salt = F.pmod(F.xxhash64("tk", "at"), F.lit(salts)).alias("salt")
+    # equal surroundings have one gram; a list holds a share of their anchors, so rows do not grow with the copies
+    lists = _maybe(rows, grams.select("gram")).groupBy("gram", "around", salt).agg(F.collect_list(F.struct("tk", "n", "at")).alias("rows"))
+    lists = materialize(lists)
     discard(every, grams)
+    edges = materialize(lists.groupBy("gram", "around").agg(F.sum(F.size("rows")).alias("copies"), F.count("*").alias("c"), F.min(F.array_min("rows")).alias("r")))
+    twice = materialize(edges.where("copies > 1").select("around", "c"))
     window = length - _gram(length) + 1
-    named = ["tk", "n", "at"]
-    whole = shared.where("not mixed").select(named).union(join_keys(shared.where("mixed"), twice, "around").select(named))
+    whole = join_keys(lists, twice, "around").select(F.inline("rows"))
     whole = whole.select("tk", "n", F.greatest(F.lit(0), F.col("at") - window + 1).alias("a"), F.least("n", F.col("at") + length).alias("b"))
-    edges = shared.where("mixed").groupBy("gram", "around").agg(F.count("*").alias("c"), F.min(F.struct("tk", "n", "at")).alias("r"))
-    edges = edges.select("gram", (F.col("c") == 1).alias("lone"), "r.tk", "r.n", "r.at")
+    mixed = materialize(edges.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"))
+    edges = join_keys(edges.select("gram", (F.col("copies") == 1).alias("lone"), "r.tk", "r.n", "r.at"), mixed, "gram")
     listed = edges.groupBy("tk", "n").agg(F.collect_list(F.struct("at", "gram", "lone")).alias("rows"))
     listed = materialize(listed.select("tk", "n", *[F.expr(f"transform(rows, r -> r.{c})").alias(c) for c in ("at", "gram", "lone")]))
     some = _possible(docs, listed).select(F.col("__tk").alias("tk"), F.col("__n").alias("n"), "text").dropDuplicates(["tk", "n"])
