@@ -167,3 +167,20 @@ def test_chains_just_above_the_threshold(spark):
     rows = list(enumerate(texts))
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: root for i, (_, root) in brute.near_components(rows).items()}
+
+
+def test_bitmaps_reach_the_driver_as_bytes(spark):
+    import tracemalloc
+
+    from tributary.llm import store
+
+    keys = spark.range(300_000).toDF("k")
+    tracemalloc.start()
+    table = store.bitmap(keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert table.nbytes == 1 << 20 and peak < 8 * table.nbytes  # a row for each word took 96 times the table
+    bits = lambda low, high: spark.range(low, high).toDF("k").select(store.maybe_in(table, "k").alias("bit")).toPandas()["bit"].to_numpy()
+    assert store.has_bit(table, bits(0, 300_000)).all()
+    assert store.has_bit(table, bits(1_000_000, 1_300_000)).mean() < 0.06
+    assert not store.bitmap(keys.limit(0)).any()

@@ -117,10 +117,15 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (text_key() == F.col("__key")), "left_semi")
 
 
+#: words of a bitmap that travel as one row's bytes
+CHUNK_WORDS = 1 << 11
+
+
 def bitmap(keys: DataFrame):
     """A numpy bitmap of the hashes in keys (one long column), 16 bits a row and at most 16 MB.
 
-    Built by partial aggregates; what reaches the driver is the bitmap, whatever the input's size.
+    Built by partial aggregates and packed in tasks; what reaches the driver is the bitmap's bytes
+    in at most 2,048 rows, whatever the input's size.
     """
     import numpy as np
 
@@ -128,9 +133,22 @@ def bitmap(keys: DataFrame):
     bits = 1 << min(max((16 * keys.count()).bit_length(), 10), 27)
     bit = F.pmod(F.xxhash64(name), F.lit(bits))
     words = keys.select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("set"))
+
+    def packed(batches):
+        import pyarrow as pa
+
+        table, chunks = np.zeros(bits // 32, np.uint32), set()
+        for batch in batches:
+            word = batch.column("word").to_numpy()
+            table[word] = batch.column("set").to_numpy().astype(np.uint32)
+            chunks.update(np.unique(word // CHUNK_WORDS).tolist())
+        for chunk in chunks:
+            set_ = table[chunk * CHUNK_WORDS : (chunk + 1) * CHUNK_WORDS].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([set_], pa.binary())], ["chunk", "set"])
+
     out = np.zeros(bits // 32, np.uint32)
-    found = words.toPandas()
-    out[found["word"].to_numpy(np.int64)] = found["set"].to_numpy(np.int64).astype(np.uint32)
+    for chunk, set_ in words.repartition(F.expr(f"word div {CHUNK_WORDS}")).mapInArrow(packed, "chunk int, set binary").collect():
+        out[chunk * CHUNK_WORDS : (chunk + 1) * CHUNK_WORDS] = np.frombuffer(set_, np.uint32)
     return out
 
 
