@@ -133,6 +133,38 @@ def test_colliding_hashes_do_not_matter(monkeypatch, corpus):
     assert suffix_dedup._repeats(np.zeros(3, int), rows.assign(left=5, last=5), 6)["most"].tolist() == [4, 4, -1]
 
 
+def _groups(seed: int, rows: int, size: int, left: int):
+    """Rows of few letters around an anchor, in groups, with changes here and there, so that offsets of all kinds repeat."""
+    import pandas as pd
+
+    rng = np.random.default_rng(seed)
+    base = rng.integers(97, 100, size, dtype=np.uint8)
+    parts = []
+    for _ in range(rows):
+        part = base.copy()
+        part[rng.integers(0, size, rng.integers(0, 4))] = 120 + rng.integers(0, 2)
+        parts.append(part)
+    cut = rng.integers(0, left, rows)
+    return rng.integers(0, 3, rows), pd.DataFrame({"bytes": [p[c:].tobytes() for p, c in zip(parts, cut, strict=True)], "left": left - cut, "first": 0, "last": left})
+
+
+def test_outermost_repeats_are_those_of_all_bytes():
+    for seed in range(20):
+        for length in (6, 60, 200):
+            ids, rows = _groups(seed, 40, 2 * length, length * 7 // 10)
+            got, want = suffix_dedup._repeats(ids, rows, length), suffix_dedup._by_bytes(ids, rows, length)
+            assert got["least"].tolist() == want["least"].tolist() and got["most"].tolist() == want["most"].tolist()
+
+
+def test_few_strings_of_a_repeat_are_hashed(monkeypatch):
+    ids, rows = _groups(3, 300, 680, 280)
+    made, hashes = [], suffix_dedup.substring_hashes
+    monkeypatch.setattr(suffix_dedup, "substring_hashes", lambda p, a, b: made.append(len(a)) or hashes(p, a, b))
+    suffix_dedup._repeats(ids, rows, 400)
+    strings = np.minimum(rows["left"], 280) - np.maximum(400 - (rows["bytes"].map(len) - rows["left"]), 0) + 1
+    assert sum(made) < strings.sum()  # before, all strings and then the sort's comparisons
+
+
 def test_cut_repeats_keeps_columns_and_whole_characters(spark, docs):
     out = suffix_dedup.cut_repeats(spark, docs, "")
     assert out.schema == docs.schema and out.count() == docs.count()

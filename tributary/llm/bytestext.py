@@ -59,6 +59,14 @@ def substring_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) ->
     return mix((prefix[end] - prefix[start]) * powers(INVERSE, len(prefix))[start] + (end - start).astype(np.uint64))
 
 
+def gram_hashes(prefix: np.ndarray, gram: int) -> np.ndarray:
+    """substring_hashes of every run of `gram` values."""
+    out = prefix[gram:] - prefix[:-gram]
+    out *= powers(INVERSE, len(prefix))[: len(out)]
+    out += U(gram)
+    return mix(out)
+
+
 def encode(texts) -> list[bytes]:
     """UTF-8 bytes of each text; a null text is empty."""
     return [t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in texts]

@@ -121,8 +121,8 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
 CHUNK_WORDS = 1 << 11
 
 
-def bitmap(keys: DataFrame):
-    """A numpy bitmap of the hashes in keys (one long column), 16 bits a row and at most 16 MB.
+def bitmap(keys: DataFrame, hashed: bool = False):
+    """A numpy bitmap of the hashes in keys (one long column; hashed: whose values are hashes, known by their lowest bits), 16 bits a row and at most 16 MB.
 
     Built by partial aggregates and packed in tasks; what reaches the driver is the bitmap's bytes
     in at most 2,048 rows, whatever the input's size.
@@ -131,7 +131,7 @@ def bitmap(keys: DataFrame):
 
     (name,) = keys.columns
     bits = 1 << min(max((16 * keys.count()).bit_length(), 10), 27)
-    bit = F.pmod(F.xxhash64(name), F.lit(bits))
+    bit = F.pmod(F.col(name) if hashed else F.xxhash64(name), F.lit(bits))
     words = keys.select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("set"))
 
     def packed(batches):

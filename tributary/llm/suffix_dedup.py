@@ -44,10 +44,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.bytestext import BASE, SPACE, blocks, encode, mix, powers, prefix_hashes, substring_hashes
+from tributary.llm.bytestext import BASE, SPACE, blocks, encode, gram_hashes, mix, powers, prefix_hashes, substring_hashes
 from tributary.llm.store import bitmap, discard, documents, has_bit, join_keys, materialize, maybe_in, small_batches, tidied
 
 LENGTH = 400
@@ -58,8 +59,10 @@ GROUP_ROWS = 16_384
 BLOCK = 1 << 17
 #: lists into which the anchors with equal surroundings are dealt at least, and anchors for which there is one list more
 SALTS, SALT_ROWS = 16, 500_000
-#: bits of the table by which strings without a twin are told apart
+#: bits of the table by which strings without a twin are told apart, at most
 TWIN_BITS = 19
+#: offsets whose strings are first told apart by what they all share
+SPAN = 16
 BATCH_BYTES = 1 << 22
 U = np.uint64
 LOW = U(0xFFFFFFFF)
@@ -71,14 +74,16 @@ def _gram(length: int) -> int:
 
 def _least(grams: np.ndarray, window: int, valid: np.ndarray) -> np.ndarray:
     """Positions that have the least hash (by its upper half, the rightmost of equal ones) in some valid window."""
-    order = (grams & ~LOW) | (LOW - np.arange(len(grams)).astype(U))
-    full = np.full(-(-len(order) // window) * window, ~U(0))
-    full[: len(order)] = order
-    full = full.reshape(-1, window)
-    ahead = np.minimum.accumulate(full, axis=1).ravel()
-    behind = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = len(order) - window + 1
-    least = np.minimum(behind[:count], ahead[window - 1 : window - 1 + count])[valid[:count]]
+    order = np.arange(len(grams), dtype=U)
+    np.subtract(LOW, order, out=order)
+    order |= grams & ~LOW
+    width = 1
+    while 2 * width <= window:  # from here on, order has the least of `width` places
+        order = np.minimum(order[:-width], order[width:])
+        width *= 2
+    if width < window:
+        order = np.minimum(order[: width - window], order[window - width :])
+    least = order[valid[: len(order)]]
     least = (LOW - (least & LOW)).astype(np.int64)
     return least[np.concatenate([[True], least[1:] != least[:-1]])] if len(least) else least
 
@@ -99,10 +104,12 @@ class _Block:
         if n < length:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), []
         window = length - gram + 1
-        at = np.arange(n - gram + 1)
-        grams = substring_hashes(self.prefix, at, at + gram)
-        left = np.repeat(self.begins + self.sizes, self.sizes + 1)[:n] - np.arange(n)
-        at = _least(grams, window, left >= length)
+        grams = gram_hashes(self.prefix, gram)
+        long = self.sizes >= length
+        edge = np.zeros(n + 1, np.int8)
+        edge[self.begins[long]] = 1
+        edge[(self.begins + self.sizes)[long] - length + 1] = -1
+        at = _least(grams, window, np.cumsum(edge[:n], dtype=np.int8).view(bool))
         whose = np.searchsorted(self.begins, at, side="right") - 1
         begin, end = self.begins[whose], (self.begins + self.sizes)[whose]
         low, high = np.maximum(at - window + 1, begin), np.minimum(at + length, end)
@@ -127,8 +134,7 @@ class _Block:
         if n < PASSAGE:
             return np.zeros(0, np.int64), np.zeros(0, U), np.zeros((0, len(WINDOWS)), np.int64)
         last = np.repeat(firsts + counts, counts)
-        at = np.arange(n - WORD_GRAM + 1)
-        grams = substring_hashes(run, at, at + WORD_GRAM)
+        grams = gram_hashes(run, WORD_GRAM)
         at = _least(grams, PASSAGE - WORD_GRAM + 1, last - np.arange(n) >= PASSAGE)
         whose = np.repeat(np.arange(len(firsts)), counts)[at]
         begin = at[:, None] - np.arange(0, PASSAGE - WORD_GRAM + 1, STEP)
@@ -156,29 +162,79 @@ class _Block:
 
 NONE = np.iinfo(np.int64).min
 WINDOWS = [f"w{i}" for i in range(len(range(0, PASSAGE - WORD_GRAM + 1, STEP)))]
-ANCHORS = "tk binary, n int, words boolean, at int, gram long, around binary, " + ", ".join(f"{w} long" for w in WINDOWS)
+ANCHORS = "tk binary, n int, at binary, gram binary, around binary, word_gram binary, windows binary"
+
+
+def _binary(data: bytes, edges: np.ndarray) -> pa.Array:
+    """The bytes of data between neighbouring edges, as values."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _unpacked(column: pa.Array, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
 def _anchored(batches, length):
+    """A row for each different text of a batch with anchors, which lie side by side in its columns (as of _Block)."""
     for batch in batches:
-        texts = dict(zip(batch["__tk"], encode(batch["text"]), strict=True))
-        keys, parts = np.array([*texts, None], object)[:-1], list(texts.values())
+        texts = dict(zip(batch.column("__tk").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True))
+        keys, parts = list(texts), list(texts.values())
         for a, b in blocks(parts, BLOCK):
             block = _Block(parts[a:b])
             whose, at, gram, around = block.anchors(length)
             who, word_gram, windows = block.passages()
-            both, n, m = np.concatenate([whose, who]), len(whose), len(who)
-            yield pd.DataFrame(
-                {
-                    "tk": keys[a + both],
-                    "n": block.sizes[both],
-                    "words": np.repeat([False, True], [n, m]),
-                    "at": np.concatenate([at, np.full(m, -1)]),
-                    "gram": np.concatenate([gram, word_gram]).view(np.int64),
-                    "around": [*around, *[None] * m],
-                }
-                | {w: np.concatenate([np.full(n, NONE), windows[:, i]]) for i, w in enumerate(WINDOWS)}
-            )
+            edges, word_edges = (np.searchsorted(w, np.arange(b - a + 1)) for w in (whose, who))
+            columns = [
+                pa.array(keys[a:b], pa.binary()),
+                pa.array(block.sizes, pa.int32()),
+                _binary(at.astype(np.int32).tobytes(), edges * 4),
+                _binary(gram.tobytes(), edges * 8),
+                _binary(b"".join(around), edges * 16),
+                _binary(word_gram.tobytes(), word_edges * 8),
+                _binary(windows.tobytes(), word_edges * 8 * len(WINDOWS)),
+            ]
+            some = (np.diff(edges) > 0) | (np.diff(word_edges) > 0)
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ANCHORS.split(", ")]).filter(pa.array(some))
+
+
+def _repeated_grams(every: DataFrame, name: str) -> DataFrame:
+    """(gram, c) of the grams in a packed column that occur c > 1 times."""
+
+    def single(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_unpacked(batch.column(0), np.int64))], ["gram"])
+
+    return materialize(every.select(name).mapInArrow(single, "gram long").groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"))
+
+
+def _meeting(every: DataFrame, grams: DataFrame, names: list[str], unpack, schema: str) -> DataFrame:
+    """A row for each anchor whose gram (the first of the packed columns `names`) is in grams, and for a few others, by a bitmap of bounded size.
+
+    unpack(packed columns, which anchors) gives the columns that follow (tk, n, gram).
+    """
+    table = every.sparkSession.sparkContext.broadcast(bitmap(grams.select("gram"), hashed=True))
+    fields = [c.split()[0] for c in schema.split(", ")]
+
+    def chosen(batches):
+        for batch in batches:
+            tk, n, packed, *rest = batch.columns
+            gram = _unpacked(packed, np.int64)
+            some = has_bit(table.value, gram & (len(table.value) * 32 - 1))
+            whose = np.repeat(np.arange(len(tk)), [len(g) // 8 for g in packed.to_pylist()])[some]
+            if len(whose):
+                yield pa.RecordBatch.from_arrays([tk.take(pa.array(whose)), n.take(pa.array(whose)), pa.array(gram[some]), *unpack(rest, some)], fields)
+
+    return every.select("tk", "n", *names).mapInArrow(tidied(chosen), schema)
+
+
+def _places(columns: list[pa.Array], some: np.ndarray) -> list[pa.Array]:
+    at, around = (_unpacked(c, kind)[some] for c, kind in zip(columns, (np.int32, "V16"), strict=True))
+    return [pa.array(at), _binary(around.tobytes(), 16 * np.arange(len(at) + 1))]
+
+
+def _windows(columns: list[pa.Array], some: np.ndarray) -> list[pa.Array]:
+    windows = _unpacked(columns[0], np.int64).reshape(-1, len(WINDOWS))[some]
+    return [pa.array(np.ascontiguousarray(w)) for w in windows.T]
 
 
 def _surroundings(batches, length):
@@ -254,22 +310,28 @@ def _merge_sorted(data: np.ndarray, prefix: np.ndarray, run: np.ndarray, start:
     return order
 
 
-def _sorted_runs(data: np.ndarray, prefix: np.ndarray, run: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
-    """Runs (arrays of indexes into start, two at least) of suffixes that agree on `length` bytes, within the given runs."""
-    if not len(start):
-        return []
+def _sorted_runs(data: np.ndarray, prefix: np.ndarray, run: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of start, and whether each suffix agrees with the next one in that order on `length` bytes, within the given runs."""
     order = _merge_sorted(data, prefix, run, start, length)
     same = run[order][1:] == run[order][:-1]
     pair = np.flatnonzero(same)
     same[pair] = _common(prefix, start[order[pair]], start[order[pair + 1]], length) == length
-    edges = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(order)]])
-    return [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1]
+    return order, same
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int, most: int = 4_096) -> bool:
+    """Whether the strings of `length` bytes at a are those at b."""
+    if not len(a):
+        return True
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)
+    return all(np.array_equal(strings[a[i : i + most]], strings[b[i : i + most]]) for i in range(0, len(a), most))
 
 
 def _twins(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the keys that occur more than once, and for each the place of another one."""
-    slot = (keys & U((1 << TWIN_BITS) - 1)).astype(np.int64)
-    last, several = np.empty(1 << TWIN_BITS, np.int32), np.zeros(1 << TWIN_BITS, bool)
+    bits = min(TWIN_BITS, (8 * len(keys)).bit_length())
+    slot = (keys & U((1 << bits) - 1)).astype(np.int64)
+    last, several = np.empty(1 << bits, np.int32), np.zeros(1 << bits, bool)
     every = np.arange(len(keys), dtype=np.int32)
     last[slot] = every
     several[slot[last[slot] != every]] = True
@@ -281,11 +343,68 @@ def _twins(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return some[after | before], np.where(after, np.roll(some, -1), np.roll(some, 1))[after | before]
 
 
+def _outermost(group_ids: np.ndarray, prefix: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row (anchor at place, strings at low..high before it), the least and the greatest offset at which another
+    row of its group has a string of the same hash (-1 without any), and a twin at each of the two.
+
+    Offsets go by spans. Strings can be equal only if what all strings of the span share is equal, so
+    rows form classes by that, and strings are looked at in those classes alone in which some row has
+    not found its least offset (from below) or its greatest (from above): all rows of such a class.
+    """
+    golden = U(0x9E3779B97F4A7C15)
+    least, most = np.full(len(place), -1), np.full(len(place), -1)
+    twin = np.full((2, len(place)), -1)
+    span = max(1, min(SPAN, length // 4))
+    spans = np.arange(int(high.max(initial=-1)) // span + 1)
+    row, k = np.nonzero((spans * span <= high[:, None]) & (spans * span + span > low[:, None]) & (low <= high)[:, None])
+    start = place[row] - k * span
+    value = substring_hashes(prefix, start, start + length - span + 1)
+    value = mix(value + (group_ids[row] * (length + 1) + k).astype(U) * golden)
+    some = _twins(value)[0]  # in the values' order
+    row, k, value = row[some], k[some], value[some]
+    which = np.cumsum(np.concatenate([[False], value[1:] != value[:-1]])[: len(value)])
+    seen = np.zeros(len(value) + 1, bool)
+
+    def look(mine: np.ndarray, s: int) -> None:
+        some = row[mine]
+        offsets = s * span + np.arange(span)
+        r, p = np.nonzero((offsets >= low[some][:, None]) & (offsets <= high[some][:, None]))
+        r, p = some[r], offsets[p]
+        start = place[r] - p
+        value = substring_hashes(prefix, start, start + length)
+        one, other = _twins(mix(value + (group_ids[r] * (length + 1) + p).astype(U) * golden))
+        if not len(one):
+            return
+        one, other = r[one] * (length + 1) + p[one], r[other]
+        order = np.argsort(one)
+        other = other[order]
+        r, p = np.divmod(one[order], length + 1)
+        head = np.concatenate([[True], r[1:] != r[:-1]])
+        tail = np.concatenate([head[1:], [True]])
+        head &= (least[r] < 0) | (p < least[r])
+        tail &= p > most[r]
+        least[r[head]], twin[0, r[head]] = p[head], other[head]
+        most[r[tail]], twin[1, r[tail]] = p[tail], other[tail]
+
+    order = np.argsort(k, kind="stable")
+    of = np.split(order, np.searchsorted(k[order], spans[1:]))
+    for upward in (True, False):
+        for s in spans if upward else spans[::-1]:
+            mine = of[s]
+            open_ = least[row[mine]] < 0 if upward else most[row[mine]] < s * span
+            wanted = np.zeros(len(value) + 1, bool)
+            wanted[which[mine[open_]]] = True
+            mine = mine[wanted[which[mine]] & ~seen[which[mine]]]
+            if len(mine):
+                seen[which[mine]] = True
+                look(mine, int(s))
+    return least, most, twin
+
+
 def _repeats(group_ids: np.ndarray, rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """For each row, the first and last offset before the anchor at which a repeated string starts; -1 if none.
 
-    Strings whose hash nothing else at their offset has are no repeats and stay out of the sort;
-    so do all but each row's outermost ones, with a twin each.
+    Only each row's outermost strings whose hash occurs again at their offset, with a twin each, enter the sort.
     """
     parts = rows["bytes"].tolist()
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -295,41 +414,21 @@ def _repeats(group_ids: np.ndarray, rows: pd.DataFrame, length: int) -> pd.DataF
     left, first, last = (rows[c].to_numpy(np.int64) for c in ("left", "first", "last"))
     low = np.maximum(first, length - (sizes - left))
     high = np.minimum(last, left)
-    least, most = np.full(len(parts), -1), np.full(len(parts), -1)
-    twin = np.full((2, len(parts)), -1)
-    step = max(1, 200_000 // max(len(parts), 1))
-    for offset in range(max(int(low.min()), 0), int(high.max()) + 1, step):
-        offsets = np.arange(offset, offset + step)
-        row, place = np.nonzero((offsets >= low[:, None]) & (offsets <= high[:, None]))
-        if not len(row):
-            continue
-        place = offsets[place]
-        start = begin[row] + left[row] - place
-        value = substring_hashes(prefix, start, start + length)
-        one, other = _twins(mix(value + (group_ids[row] * (length + 1) + place).astype(U) * U(0x9E3779B97F4A7C15)))
-        r, p, other = row[one], place[one], row[other]
-        lowest = np.lexsort((p, r))
-        r, p, other = r[lowest], p[lowest], other[lowest]
-        head = np.concatenate([[True], r[1:] != r[:-1]]) if len(r) else np.zeros(0, bool)
-        tail = np.concatenate([head[1:], [True]]) if len(r) else head
-        head &= least[r] < 0
-        least[r[head]], twin[0, r[head]] = p[head], other[head]
-        most[r[tail]], twin[1, r[tail]] = p[tail], other[tail]
+    least, most, twin = _outermost(group_ids, prefix, begin + left, low, high, length)
     found = np.flatnonzero(most >= 0)
     both = [(found, least[found]), (twin[0, found], least[found]), (found, most[found]), (twin[1, found], most[found])]
     pairs = np.unique(np.concatenate([r * (length + 1) + p for r, p in both])) if len(found) else np.zeros(0, np.int64)
     row, place = np.divmod(pairs, length + 1)
     start = begin[row] + left[row] - place
     least[:], most[:] = -1, -1  # what follows decides: strings that the sort brings together and whose bytes agree
-    for run in _sorted_runs(data, prefix, group_ids[row] * (length + 1) + place, start, length):
-        at = start[run].tolist()
-        model = data[at[0] : at[0] + length].tobytes()
-        if any(data[x : x + length].tobytes() != model for x in at[1:]):
-            return _by_bytes(group_ids, rows, length)
-        p = place[run[0]]
-        who = row[run]
-        least[who] = np.where(least[who] < 0, p, np.minimum(least[who], p))
-        most[who] = np.maximum(most[who], p)
+    order, same = _sorted_runs(data, prefix, group_ids[row] * (length + 1) + place, start, length)
+    pair = np.flatnonzero(same)
+    if not _equal(data, start[order[pair]], start[order[pair + 1]], length):
+        return _by_bytes(group_ids, rows, length)
+    both = order[np.unique(np.concatenate([pair, pair + 1]))]
+    np.maximum.at(most, row[both], place[both])
+    least[row[both]] = length
+    np.minimum.at(least, row[both], place[both])
     return pd.DataFrame({"least": least, "most": most}, index=rows.index)
 
 
@@ -356,18 +455,25 @@ def _compared(batches, length):
         out = rows[["tk", "n"]].assign(a=rows["at"] - found["most"], b=rows["at"] - found["least"] + length)
         return out[(found["most"] >= 0).to_numpy() & rows["lone"].to_numpy(bool)]
 
-    held, size = [], 0
+    held, size, before = [], 0, None
     for batch in batches:
-        cuts = [0, *(np.flatnonzero(batch["key"].to_numpy()[1:] != batch["key"].to_numpy()[:-1]) + 1), len(batch)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            part = batch.iloc[a:b]
-            if not len(part):
-                continue
-            if size > BATCH_BYTES and held[-1]["key"].iat[-1] != part["key"].iat[0]:
-                yield spans(pd.concat(held, ignore_index=True))
-                held, size = [], 0
-            held.append(part)
-            size += sum(map(len, part["bytes"]))
+        if not len(batch):
+            continue
+        key = batch["key"].to_numpy()
+        ends = np.cumsum([0, *map(len, batch["bytes"])])
+        heads = np.flatnonzero(np.concatenate([[bool(held) and key[0] != before], key[1:] != key[:-1]]))
+        begin = 0
+        while True:
+            cut = heads[(heads >= begin) & (size + ends[heads] - ends[begin] > BATCH_BYTES)][:1]
+            end = int(cut[0]) if len(cut) else len(batch)
+            held.append(batch.iloc[begin:end])
+            size += ends[end] - ends[begin]
+            begin = end
+            if not len(cut):
+                break
+            yield spans(pd.concat(held, ignore_index=True))
+            held, size = [], 0
+        before = key[-1]
     if held:
         yield spans(pd.concat(held, ignore_index=True))
 
@@ -415,25 +521,13 @@ def _grouped(rows: DataFrame, length: int, most: int) -> DataFrame:
         rows = materialize(join_keys(rows, wide, "key").select("key", *[c.split()[0] for c in AROUND.split(", ")[1:]]).mapInPandas(tidied(lambda batches: _halved(batches, length)), AROUND))
 
 
-def _maybe(rows: DataFrame, grams: DataFrame) -> DataFrame:
-    """The rows whose gram is in grams (gram), and a few others, by a bitmap of bounded size."""
-    table = rows.sparkSession.sparkContext.broadcast(bitmap(grams))
-
-    def chosen(batches):
-        for batch in batches:
-            some = has_bit(table.value, batch.column("bit").to_numpy())
-            if some.any():
-                yield batch.drop_columns("bit").filter(some)
-
-    return rows.withColumn("bit", maybe_in(table.value, "gram")).mapInArrow(chosen, rows.schema)
-
-
-def _passages(rows: DataFrame) -> DataFrame:
-    """(tk, n, windows) of the texts that share a run of words, with the windows shared; rows: those of ANCHORS that anchor words."""
-    shared = materialize(rows.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"))
+def _passages(every: DataFrame) -> DataFrame:
+    """(tk, n, windows) of the texts that share a run of words, with the windows shared; every: rows of ANCHORS."""
+    shared = _repeated_grams(every, "word_gram")
     window = F.explode(F.array(*WINDOWS)).alias("window")
     # a common run has its anchor's gram in both texts, so grams that the bitmap lets through by chance add nothing
-    windows = _maybe(rows, shared).select("tk", "n", "gram", window).where(F.col("window") != NONE).distinct()
+    windows = _meeting(every, shared, ["word_gram", "windows"], _windows, "tk binary, n int, gram long, " + ", ".join(f"{w} long" for w in WINDOWS))
+    windows = windows.select("tk", "n", "gram", window).where(F.col("window") != NONE).distinct()
     windows = materialize(windows.select("tk", "n", "window", F.xxhash64("gram", "window").alias("key")))
     again = materialize(windows.groupBy("key").agg(F.count("*").alias("c"), F.min("tk").alias("x"), F.max("tk").alias("y")).where("x <> y").select("key", "c"))
     found = materialize(join_keys(windows, again, "key").groupBy("tk", "n").agg(F.collect_set("window").alias("windows")))
@@ -464,19 +558,19 @@ def repeated(docs: DataFrame, length: int = LENGTH, most: int = GROUP_ROWS, pass
 
     With passages, runs of PASSAGE words that another text or a copy holds count as repeats, too.
     """
-    every = materialize(docs.select("__tk", "text").mapInPandas(tidied(lambda batches: _anchored(batches, length)), ANCHORS))
-    passage = _passages(every.where("words").select("tk", "n", "gram", *WINDOWS))
+    every = materialize(docs.select("__tk", "text").mapInArrow(tidied(lambda batches: _anchored(batches, length)), ANCHORS))
+    passage = _passages(every)
     copies = docs.select(F.col("__tk").alias("tk"), F.col("__n").alias("n")).groupBy("tk", "n").agg(F.count("*").alias("c")).where(F.col("c") > 1)
     entire = copies.where(F.col("n") >= length)
     if passages:
-        worded = copies.where(F.col("n") < length).join(every.where("words").select("tk", "n"), ["tk", "n"], "left_semi")
+        worded = copies.where(F.col("n") < length).join(every.where("octet_length(word_gram) > 0").select("tk", "n"), ["tk", "n"], "left_semi")
         entire = materialize(entire.union(worded))
-    rows = every.where("not words").select("tk", "n", "at", "gram", "around")
-    grams = materialize(rows.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"))
+    grams = _repeated_grams(every, "gram")
     salts = max(SALTS, (grams.agg(F.sum("c")).first()[0] or 0) // SALT_ROWS)
     salt = F.pmod(F.xxhash64("tk", "at"), F.lit(salts)).alias("salt")
     # equal surroundings have one gram; a list holds a share of their anchors, so rows do not grow with the copies
-    lists = _maybe(rows, grams.select("gram")).groupBy("gram", "around", salt).agg(F.collect_list(F.struct("tk", "n", "at")).alias("rows"))
+    rows = _meeting(every, grams, ["gram", "at", "around"], _places, "tk binary, n int, gram long, at int, around binary")
+    lists = rows.groupBy("gram", "around", salt).agg(F.collect_list(F.struct("tk", "n", "at")).alias("rows"))
     lists = materialize(lists)
     discard(every, grams)
     edges = materialize(lists.groupBy("gram", "around").agg(F.sum(F.size("rows")).alias("copies"), F.count("*").alias("c"), F.min(F.array_min("rows")).alias("r")))
