@@ -204,6 +204,21 @@ def test_quality_on_held_out_labels(spark):
     assert len(got) > 50 and right / len(got) > 0.85
 
 
+def test_fitting_takes_a_few_times_the_words_of_the_sample():
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    words = [np.unique(rng.integers(0, quality.BUCKETS, 20_000, dtype=np.int32)).tobytes() for _ in range(400)]
+    sample = pd.DataFrame({"quality": np.arange(400) % 2, "toxic": 0, "measures": [rng.random(quality.MEASURES).tobytes() for _ in range(400)], "buckets": words})
+    tracemalloc.start()
+    quality._fit(sample)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * sum(map(len, words))  # 7.8 times, when all of them were counted and looked up at once
+
+
 def test_quality_edges(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["kept"] and r["classifier_score"] == 0.5 for r in quality.judge(docs, none).collect())

@@ -34,6 +34,8 @@ from tributary.llm.store import documents, keep_rows, materialize, small_batches
 SAMPLE = 20_000
 BUCKETS = 1 << 20
 MOST_WORDS = 1_000
+#: words whose labels are counted together
+SLICE = 1 << 20
 #: twice the log-likelihood ratio of a word against the base rate
 LEAST_GAIN = 8.0
 WEIGHT = 4.0
@@ -132,8 +134,9 @@ def _fit(sample: pd.DataFrame) -> dict:
     x = np.frombuffer(b"".join(sample["measures"]), np.float64).reshape(-1, MEASURES)
     middle, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     buckets = [np.frombuffer(b, "<i4") for b in sample["buckets"]]
-    text = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets])
-    bucket = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
+    text = np.repeat(np.arange(len(buckets), dtype=np.int32), [len(b) for b in buckets])
+    bucket = np.concatenate(buckets) if buckets else np.zeros(0, np.int32)
+    del buckets
     model = {"middle": middle, "scale": scale}
     for name in ("quality", "toxic"):
         y = sample[name].to_numpy(float)
@@ -141,14 +144,19 @@ def _fit(sample: pd.DataFrame) -> dict:
         if not ones or not zeros:
             model[name] = (np.zeros(0, np.int64), np.concatenate([np.zeros(MEASURES), [4.0 * (1 if ones else -1)]]))
             continue
-        there = np.bincount(bucket, y[text], BUCKETS)
-        other = np.bincount(bucket, 1 - y[text], BUCKETS)
+        there, other = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for i in range(0, len(bucket), SLICE):  # whole numbers, so slices change no sum
+            mine = y[text[i : i + SLICE]]
+            there += np.bincount(bucket[i : i + SLICE], mine, BUCKETS)
+            other += np.bincount(bucket[i : i + SLICE], 1 - mine, BUCKETS)
         n, rate = np.maximum(there + other, 1), ones / (ones + zeros)
         gain = 2 * (there * np.log(np.maximum(there, 1e-9) / (n * rate)) + other * np.log(np.maximum(other, 1e-9) / (n * (1 - rate))))
         chosen = np.argsort(-gain, kind="stable")[:MOST_WORDS]
         chosen = np.sort(chosen[gain[chosen] > LEAST_GAIN])
-        some = np.isin(bucket, chosen)
-        w = _logistic((x - middle) / scale, text[some], np.searchsorted(chosen, bucket[some]), y, len(chosen))
+        place = np.full(BUCKETS, -1, np.int16)
+        place[chosen] = np.arange(len(chosen))
+        some = np.flatnonzero(place[bucket] >= 0)
+        w = _logistic((x - middle) / scale, text[some].astype(np.int64), place[bucket[some]].astype(np.int64), y, len(chosen))
         model[name] = (chosen, w)
     return model
 
